@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import linededup, mixing, quality, simhash
+from quillspark.llm import chat, decontam, langid, linededup, mixing, quality, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = F.expr("crc32(encode(cast(doc_id AS string), 'UTF-8')) % 4")
+    dictionaries = langid.train_dictionaries(docs.filter(rest != 2).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -30,14 +44,44 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages")))
+    return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    events = rows.unionByName(fixed).withColumn("kind", F.lit("message")).withColumn("seq", F.lit(0).cast("long"))
+    return chat.read_chats(chat.format_chats(events))
+
+
 def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 
@@ -121,4 +165,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdict USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": _OP2_SQL, "op4_quality_rules": _OP4_SQL}
+_OP8_SQL = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), first AS (
+  SELECT payload_digest, min(page_id) AS least FROM own WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, own.payload_digest,
+       CASE WHEN least IS NULL OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM own LEFT JOIN first ON own.payload_digest = first.payload_digest
+"""
+
+_OP9_SQL = r"""
+WITH events AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS esc,
+         replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS who FROM events
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(who) + 2 + length(esc) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {
+    "op2_line_dedup": _OP2_SQL,
+    "op4_quality_rules": _OP4_SQL,
+    "op8_warc": _OP8_SQL,
+    "op9_chat_formatting": _OP9_SQL,
+}

@@ -2,7 +2,7 @@
 
 Every document's line keys become 128-bit hashes. Documents arrive in batches;
 a batch counts, for each hash, the documents that hold it, drops by a merge
-anti-join the hashes already known to be frequent, and adds the rest as a new
+anti-join (an outer join that keeps the unmatched) the hashes already known to be frequent, and adds the rest as a new
 sorted run of level 0. ``fanout`` runs of a level are compacted into one run of
 the next; hashes that reach the threshold move to the frequent set. After the
 last batch all runs are merged once.
@@ -87,7 +87,9 @@ class LineRuns:
             .agg(F.count(F.lit(1)).alias("n"))
         )
         for known in self.known:
-            counts = counts.join(known.hint("merge"), ["h1", "h2"], "left_anti")
+            # an outer join, as Spark would push an anti join below the sums and shuffle every line
+            seen = known.withColumn("seen", F.lit(True)).hint("merge")
+            counts = counts.join(seen, ["h1", "h2"], "left").filter(F.col("seen").isNull()).drop("seen")
         run, level = self._keep(counts, "line-run"), 0
         while True:
             if len(self.levels) == level:
