@@ -12,6 +12,7 @@ from __future__ import annotations
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.session import ship
@@ -23,7 +24,7 @@ BLOCK = 2048
 
 
 def train_dictionaries(
-    rows: DataFrame, docs_per_lang: int = 400, slice_chars: int = 1500, dict_bytes: int = 160_000, max_langs: int = 200
+    rows: DataFrame, docs_per_lang: int = 400, slice_chars: int = 1500, dict_bytes: int = 100_000, max_langs: int = 200
 ) -> dict[str, bytes]:
     """Raw dictionaries from rows with ``doc_id``, ``text`` and ``lang``.
 
@@ -43,21 +44,20 @@ def train_dictionaries(
     h = F.xxhash64(F.lit(5), "doc_id")
     at = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1).cast("int") + 1
     thinned = usable.filter(F.pmod(h, F.lit(space)) < share[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", at, F.lit(slice_chars)).alias("t"))
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
     sample = thinned.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect()
     parts: dict[str, list[bytes]] = {}
     for r in sample:
         parts.setdefault(r.lang, []).append(r.t.lower().encode())
-    # a raw dictionary is searched from its end: what is cut is the start of the joined slices
-    return {k: b"\n".join(dict.fromkeys(v))[-dict_bytes:] for k, v in sorted(parts.items())}
+    # the languages with most rows come first and so win ties of the shortest texts
+    order = sorted(parts, key=lambda k: (-counts[k], k))
+    return {k: b"\n".join(dict.fromkeys(parts[k]))[-dict_bytes:] for k in order}
 
 
 class Classifier:
     """Compressors for every language, built once for each Python worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 6):
         self.langs, self.packers = list(dictionaries), []
         for raw in dictionaries.values():
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
