@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import word_count
-from quillspark.session import bounded_broadcast, written
+from quillspark.session import written
 
 ROUNDS = 20
 
@@ -100,7 +100,7 @@ def mix_sources(
     most: float = 2.0,
     block_words: int = 128,
     shard_slots: int = 4096,
-    bin_rows: int = 20_000,
+    bin_rows: int = 4_000,
     max_sources: int = 10_000,
     seed: int = 17,
 ) -> DataFrame:
@@ -135,31 +135,29 @@ def mix_sources(
         full, tail = divmod(size, block_words)
         epochs, rest = divmod(words, size) if size else (0, 0)
         quota = epochs * (full + (tail > 0)) + rest // block_words + (rest % block_words > 0)
-        plan.append({"source": row[0], "size": size, "target": float(target), "full": full, "per_epoch": full + (tail > 0), "quota": quota, "epochs": epochs, "rest": rest})
+        plan.append({"source": row[0], "size": size, "target": float(target), "full": full, "per_epoch": full + (tail > 0), "quota": quota, "epochs": epochs, "rest": rest, "bins": max(1, row["n"] // bin_rows)})
     sources = spark.createDataFrame(
-        [(i, p["source"], p["size"], p["target"], p["full"], p["per_epoch"], p["quota"], p["epochs"], p["rest"]) for i, p in enumerate(plan)],
-        "s int, __source string, source_size long, target double, full long, per_epoch long, quota long, epochs long, rest long",
+        [(i, p["source"], p["size"], p["target"], p["full"], p["per_epoch"], p["quota"], p["epochs"], p["rest"], p["bins"]) for i, p in enumerate(plan)],
+        "s int, __source string, source_size long, target double, full long, per_epoch long, quota long, epochs long, rest long, bins long",
     )
-    bins = max(1, sum(r["n"] for r in totals) // bin_rows)
-    few = F.broadcast(sources.select("s", "__source", "source_size", "target"))
-    ids = [f"{c}" for c in passed]
-    binned = sized.withColumn("__bin", F.pmod("__h", F.lit(bins)))
+    few = F.broadcast(sources.select("s", F.col("__source").alias("__name"), "source_size", "target", "bins"))
+    known = sized.join(few, F.col("__source").eqNullSafe(F.col("__name"))).drop("__name", "__source")
+    # a source's rows are numbered in bins of bounded size, then the bins' totals are added up
+    binned = known.withColumn("__bin", F.pmod("__h", F.col("bins"))).drop("bins")
     order = [F.asc_nulls_first("__h"), F.asc_nulls_first("size")] + ([F.asc_nulls_first("doc_id")] if "doc_id" in passed else [])
-    inside = W.partitionBy("__source", "__bin").orderBy(*order)
-    binned = (
+    inside = W.partitionBy("s", "__bin").orderBy(*order)
+    edges = binned.groupBy("s", "__bin").agg(F.sum("size").alias("n"))
+    ahead = W.partitionBy("s").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.select("s", "__bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
+    placed = (
         binned.withColumn("__rn", F.row_number().over(inside))
         .withColumn("__in", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+        .join(edges, ["s", "__bin"])
+        .withColumn("__off", F.col("__base") + F.col("__in"))
+        .drop("__h", "__in", "__base")
     )
-    edges = sized.groupBy("__source", F.pmod("__h", F.lit(bins)).alias("__bin")).agg(F.sum("size").alias("n"))
-    ahead = W.partitionBy("__source").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select(F.col("__source").alias("__s2"), F.col("__bin").alias("__b2"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
-    edges = bounded_broadcast(edges, 100_000)
-    placed = binned.join(edges, F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__bin") == F.col("__b2")), "left")
-    few = few.withColumnRenamed("__source", "__s3")
-    placed = placed.join(few, F.col("__source").eqNullSafe(F.col("__s3")), "left")
-    placed = placed.withColumn("__off", F.col("__base") + F.col("__in")).drop("__h", "__in", "__base", "__s2", "__b2", "__s3", "__source")
     if not sum(p["quota"] for p in plan):
-        return placed.select(*ids, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     placed = written(placed, "mix-placed")
     end = F.col("__off") + F.col("size")
     blocks = placed.filter("size > 0").select(
@@ -185,4 +183,4 @@ def mix_sources(
         .agg(F.sum(got).cast("long").alias("taken"))
     )
     out = placed.join(taken, ["s", "__bin", "__rn"], "left")
-    return out.select(*ids, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
