@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillspark.plans import corpus, retrieval
+
+PARTS = (retrieval, corpus)
+QUERIES = {k: v for p in PARTS for k, v in p.REGISTRY.queries.items()}
+ORACLES = {k: v for p in PARTS for k, v in p.REGISTRY.oracles.items()}
