@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans import corpus, metrics, retrieval
+from quillspark.plans import corpus, metrics, retrieval, tasks
 
-PARTS = (retrieval, corpus, metrics)
+PARTS = (retrieval, corpus, metrics, tasks)
 QUERIES = {k: v for p in PARTS for k, v in p.REGISTRY.queries.items()}
 ORACLES = {k: v for p in PARTS for k, v in p.REGISTRY.oracles.items()}
