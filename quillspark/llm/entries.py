@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, langid, linededup, mixing, quality, simhash, tokens, warc
+from quillspark.llm import chat, decontam, langid, linededup, mixing, quality, simhash, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
