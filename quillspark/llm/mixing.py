@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.words import word_count
+from quillspark.llm.words import WORD, let, word_count
 from quillspark.session import written
 
 ROUNDS = 20
@@ -93,29 +93,16 @@ def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) -
     return placed
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
-    block_words: int = 128,
-    shard_slots: int = 4096,
-    bin_rows: int = 4_000,
-    max_sources: int = 10_000,
-    seed: int = 17,
-) -> DataFrame:
-    """One row for each row of ``docs``: its columns but ``text``, ``size``, ``source_size``, ``target``, ``taken``.
+WEIGHTS, SHARE, MOST, BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_SOURCES, SEED = (5, 2, 1), 1.5, 2.0, 128, 4096, 4_000, 10_000, 17
+RESULTS = ("size", "source_size", "target", "taken", "text")
 
-    ``weights`` repeat over the sources in code-point order, null last. Sizes
-    are word counts of whole texts (null: 0). Rows without words are taken 0
-    times; an empty table, or one without words, gives targets of 0. Rows that
-    are repeated are rows of their own. More than ``max_sources`` sources are
-    refused, as their table is held by the driver and broadcast. Input columns
-    with a result's name are replaced.
-    """
+
+def _placed(
+    docs: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, bin_rows: int, max_sources: int, seed: int
+) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """Every row with its offset in the stream of its source; the table of sources; the plan of each."""
     spark = docs.sparkSession
-    results = ("size", "source_size", "target", "taken", "text")
-    passed = [c for c in docs.columns if c not in results]
+    passed = [c for c in docs.columns if c not in RESULTS]
     sized = docs.select(
         *passed,
         F.col("source").alias("__source"),
@@ -154,11 +141,14 @@ def mix_sources(
         .withColumn("__in", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
         .join(edges, ["s", "__bin"])
         .withColumn("__off", F.col("__base") + F.col("__in"))
-        .drop("__h", "__in", "__base")
+        .drop("__in", "__base")
     )
-    if not sum(p["quota"] for p in plan):
-        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    placed = written(placed, "mix-placed")
+    return written(placed, "mix-placed"), sources, plan
+
+
+def _takes(placed: DataFrame, sources: DataFrame, plan: list[dict], block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """Pieces of documents in blocks, with how often the block is taken ``whole`` and how many words of it in ``part``."""
+    spark = placed.sparkSession
     end = F.col("__off") + F.col("size")
     blocks = placed.filter("size > 0").select(
         "s", "__bin", "__rn", "__off", "size",
@@ -176,11 +166,70 @@ def mix_sources(
         .groupBy("s", "block")
         .agg(F.sum(F.when(F.col("words") >= block_words, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("words") < block_words, F.col("words")).otherwise(0)).alias("part"))
     )
+    return blocks.join(takes, ["s", "block"])
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+    bin_rows: int = BIN_ROWS,
+    max_sources: int = MAX_SOURCES,
+    seed: int = SEED,
+) -> DataFrame:
+    """One row for each row of ``docs``: its columns but ``text``, ``size``, ``source_size``, ``target``, ``taken``.
+
+    ``weights`` repeat over the sources in code-point order, null last. Sizes
+    are word counts of whole texts (null: 0). Rows without words are taken 0
+    times; an empty table, or one without words, gives targets of 0. Rows that
+    are repeated are rows of their own. More than ``max_sources`` sources are
+    refused, as their table is held by the driver and broadcast. Input columns
+    with a result's name are replaced.
+    """
+    placed, sources, plan = _placed(docs, weights, share, most, block_words, bin_rows, max_sources, seed)
+    passed = [c for c in docs.columns if c not in RESULTS]
+    if not sum(p["quota"] for p in plan):
+        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", "part") - F.col("a"))
-    taken = (
-        blocks.join(takes, ["s", "block"])
-        .groupBy("s", "__bin", "__rn")
-        .agg(F.sum(got).cast("long").alias("taken"))
-    )
+    taken = _takes(placed, sources, plan, block_words, shard_slots, seed).groupBy("s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"))
     out = placed.join(taken, ["s", "__bin", "__rn"], "left")
     return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int = 2) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each document and each time that words of it are taken.
+
+    A copy that takes all words is the whole text; another has the words taken,
+    in order, each with the blanks behind it. ``n_chars``, if there is one, is the
+    length of the new text. At most ``copies`` copies are taken of any word.
+    """
+    placed, sources, plan = _placed(docs, WEIGHTS, SHARE, float(copies), block_words, BIN_ROWS, MAX_SOURCES, SEED)
+    if not sum(p["quota"] for p in plan):
+        return docs.limit(0)
+    takes = _takes(placed, sources, plan, block_words, SHARD_SLOTS, SEED)
+    at = F.col("block") * block_words - F.col("__off")  # a word's place in its document, less its place in the block
+    piece = lambda k: F.struct(
+        F.lit(k).alias("k"), (at + F.col("a")).alias("lo"),
+        (at + F.when(F.col("whole") >= k, F.col("b")).when(F.col("whole") == k - 1, F.least("b", "part")).otherwise(F.lit(0))).alias("hi"),
+    )
+    pieces = takes.select("s", "__bin", "__rn", F.explode(F.filter(F.array(*[piece(k + 1) for k in range(copies)]), lambda p: p["hi"] > p["lo"])).alias("p"))
+    runs = pieces.groupBy("s", "__bin", "__rn", F.col("p.k").alias("k")).agg(F.sort_array(F.collect_list(F.struct("p.lo", "p.hi"))).alias("runs"))
+    # rows of one source, id and text are alike: their copies are gathered, and one of the rows carries them all
+    key = ["__h", "__id"]
+    wanted = runs.join(placed.select("s", "__bin", "__rn", "__h", F.col("doc_id").alias("__id"), "size"), ["s", "__bin", "__rn"])
+    wanted = wanted.groupBy(*key, "s").agg(F.collect_list(F.struct("runs", "size")).alias("__copies"))
+    own = docs.select(
+        "*", F.col("doc_id").alias("__id"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("__h")
+    ).join(F.broadcast(sources.select("s", F.col("__source").alias("__name"))), F.col("source").eqNullSafe(F.col("__name")))
+    first = own.withColumn("__i", F.row_number().over(W.partitionBy(*key, "s").orderBy(F.lit(0)))).filter("__i = 1")
+    met = first.join(wanted, (first["__h"] == wanted["__h"]) & first["__id"].eqNullSafe(wanted["__id"]) & (first["s"] == wanted["s"]))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    one = met.select(*[first[c] for c in docs.columns], F.explode("__copies").alias("__c"))
+    cut = let(words, lambda w: F.array_join(F.flatten(F.transform("__c.runs", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), ""))
+    whole = F.aggregate("__c.runs", F.lit(0).cast("long"), lambda acc, r: acc + r["hi"] - r["lo"]) == F.col("__c.size")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    out = one.withColumn("text", text)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)

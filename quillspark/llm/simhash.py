@@ -16,6 +16,8 @@ every pair of chunks is a task of its own.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -95,7 +97,10 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, refs: np.ndarra
                 if len(i) < 64:
                     break
                 ok = np.abs(tx[i, p] - ty[j, p]) <= radius
+                dull = np.count_nonzero(ok) > 0.9 * len(ok)
                 i, j = i[ok], j[ok]
+                if dull:  # a pivot that tells little apart costs more than the check itself
+                    break
             ok = np.bitwise_count(x[i] ^ other[j]).sum(axis=1) <= radius
             yield i[ok], j[ok]
 
@@ -135,6 +140,15 @@ def bucket_keys(lanes: int, radius: int, tables: int, key_bits: int) -> np.ndarr
     return masks
 
 
+def tables_for(n: int, differing: float, miss: float = 0.05) -> tuple[int, int]:
+    """(key bits, tables) for ``n`` fingerprints whose linked pairs differ in a share ``differing`` of bits.
+
+    Buckets hold some 50 fingerprints at any size; tables grow until a pair meets in none with probability ``miss``.
+    """
+    bits = min(40, max(12, math.ceil(math.log2(max(2, n))) - 6))
+    return bits, math.ceil(math.log(1 / miss) / (1 - differing) ** bits)
+
+
 def _unhex(column, lanes: int) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), dtype=">u8").astype(np.uint64).reshape(-1, lanes)
 
@@ -226,9 +240,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1, tables: int = 0, key_bits: int = 16) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1, differing: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
+    Without ``differing`` no link within ``radius`` is lost. With it, the radius may
+    be large: keys are sampled so that pairs that differ in that share of their
+    bits meet with probability 0.95.
+
     A null text has no words: fingerprint zero, linked like any other. Rows that
     repeat share fingerprint and component. component_id is the smallest doc_id
     of the component; it is null only if all its ids are. An empty table gives
@@ -236,7 +254,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: in
     """
     own = written(fingerprints(docs, shingle, lanes), "simhash-fingerprints")
     least = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = written(components(fingerprint_links(least, radius, lanes, tables, key_bits)), "simhash-roots")
+    bits, tables = tables_for(least.count(), differing) if differing else (0, 0)
+    roots = written(components(fingerprint_links(least, radius, lanes, tables, bits)), "simhash-roots")
     joined = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(low, "root").select("fp", "component_id")
