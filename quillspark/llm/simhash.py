@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints, pivot distance tables, connected components.
 
-A fingerprint has ``64 * lanes`` bits; lane k hashes the shingles by XXH64 with
-seed 42 + k. Fingerprints link at ``radius`` or fewer differing bits.
+A fingerprint has ``64 * lanes`` bits. The first lane hashes the shingles by XXH64
+with seed 42, the others mix that hash anew. Fingerprints link at ``radius`` or fewer differing bits.
 
 Candidates meet in buckets. ``blocks``: the fingerprint is cut into radius + 1
 blocks, of which one at least is equal in any linked pair, so no link is lost.
@@ -43,14 +43,20 @@ def fingerprint(text: str | None, shingle: int, lanes: int) -> bytes:
     else:
         starts = [0, *[e + 1 for e in ends]]
         grams = [joined[a:b] for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    out = []
-    for lane in range(lanes):
-        seed, digest, ones = 42 + lane, xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-        for k in range(0, len(grams), 65536):  # memory is bounded for any length of text
-            h = np.array([digest(g, seed) for g in grams[k : k + 65536]], dtype=">u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(grams)).tobytes())
-    return b"".join(out)
+    ones = np.zeros((lanes, 64), dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for k in range(0, len(grams), 65536):  # memory is bounded for any length of text
+        h = np.array([digest(g, 42) for g in grams[k : k + 65536]], dtype=np.uint64)
+        for lane in range(lanes):
+            v = h if lane == 0 else _mixed(h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64))
+            ones[lane] += np.unpackbits(v.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(grams), axis=1).tobytes()
+
+
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
