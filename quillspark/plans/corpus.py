@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import catalog as K
+from quillspark.operators import chunkers as CK
 from quillspark.operators import chunking as CH
 from quillspark.plans.registry import Registry
 from quillspark.sources import corpus as C
@@ -299,3 +300,17 @@ def task_context_xml(t):
 WITH {C.CHUNKS_SQL} SELECT count(*)::BIGINT AS n, count(*) FILTER (ordinal < 0)::BIGINT AS bad_ordinal, count(*) FILTER (start_line > end_line)::BIGINT AS bad_lines, count(*) FILTER (token_count < 1)::BIGINT AS bad_tokens FROM chunks""")
 def row_invariants(t):
     return C.chunks(t.documents).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ordinal") < 0).alias("bad_ordinal"), F.count_if(F.col("start_line") > F.col("end_line")).alias("bad_lines"), F.count_if(F.col("token_count") < 1).alias("bad_tokens"))
+
+
+@add("chunk_formats")
+def chunk_formats(t):
+    """Markdown made of documents, and JSON made of pages, through the chunkers by extension."""
+    text = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    md = CK.with_path(t.documents.withColumn("text", text), "doc_id", "text", "md")
+    js = CK.with_path(t.pages.select((-F.col("page_id") - 1).alias("page_id"), F.to_json(F.struct("url", "html")).alias("j")), "page_id", "j", "json")
+    return CK.chunk_files(md.unionByName(js)).select("file_id", "ordinal", "kind", "label", "start_line", "end_line", "tokens")
+
+
+@add("symbol_extraction")
+def symbol_extraction(t):
+    return CK.symbols(CK.with_path(t.documents, "doc_id", "text", "txt")).select("file_id", "symbol_type", "name")
