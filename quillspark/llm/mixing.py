@@ -76,20 +76,20 @@ def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) -
     at = F.floor(uniform(1) * len(plan)).cast("int")
     prob_at = F.get(F.array(*map(F.lit, prob)), at)
     pick = F.when(uniform(2) < prob_at, at).otherwise(F.get(F.array(*map(F.lit, alias)), at))
-    drawn = spark.range(total).select((g / shard_slots).cast("long").alias("shard"), g, pick.alias("s"))
-    counts = drawn.groupBy("s", "shard").agg(F.count(F.lit(1)).alias("n"))
+    drawn = spark.range(total).select((g / shard_slots).cast("long").alias("shard"), g, pick.alias("__s"))
+    counts = drawn.groupBy("__s", "shard").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "mix-counts")
-    before = W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("__s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("shard", "s").orderBy("id")) - 1
-    placed = drawn.withColumn("r", rank).join(counts.drop("n"), ["s", "shard"]).select("s", (F.col("base") + F.col("r")).alias("ordinal"))
-    got = {r.s: r.n for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row for each source
-    quotas = spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "s int, quota long")
-    placed = placed.join(F.broadcast(quotas), "s").filter("ordinal < quota").select("s", "ordinal")
+    rank = F.row_number().over(W.partitionBy("shard", "__s").orderBy("id")) - 1
+    placed = drawn.withColumn("r", rank).join(counts.drop("n"), ["__s", "shard"]).select("__s", (F.col("base") + F.col("r")).alias("ordinal"))
+    got = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row for each source
+    quotas = spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "__s int, quota long")
+    placed = placed.join(F.broadcast(quotas), "__s").filter("ordinal < quota").select("__s", "ordinal")
     short = [(i, got.get(i, 0), q) for i, q in enumerate(quota) if got.get(i, 0) < q]
     if short:
-        extra = spark.createDataFrame(short, "s int, a long, b long")
-        placed = placed.unionByName(extra.select("s", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal")))
+        extra = spark.createDataFrame(short, "__s int, a long, b long")
+        placed = placed.unionByName(extra.select("__s", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal")))
     return placed
 
 
@@ -125,21 +125,21 @@ def _placed(
         plan.append({"source": row[0], "size": size, "target": float(target), "full": full, "per_epoch": full + (tail > 0), "quota": quota, "epochs": epochs, "rest": rest, "bins": max(1, row["n"] // bin_rows)})
     sources = spark.createDataFrame(
         [(i, p["source"], p["size"], p["target"], p["full"], p["per_epoch"], p["quota"], p["epochs"], p["rest"], p["bins"]) for i, p in enumerate(plan)],
-        "s int, __source string, source_size long, target double, full long, per_epoch long, quota long, epochs long, rest long, bins long",
+        "__s int, __source string, source_size long, target double, full long, per_epoch long, quota long, epochs long, rest long, bins long",
     )
-    few = F.broadcast(sources.select("s", F.col("__source").alias("__name"), "source_size", "target", "bins"))
+    few = F.broadcast(sources.select("__s", F.col("__source").alias("__name"), "source_size", "target", "bins"))
     known = sized.join(few, F.col("__source").eqNullSafe(F.col("__name"))).drop("__name", "__source")
     # a source's rows are numbered in bins of bounded size, then the bins' totals are added up
     binned = known.withColumn("__bin", F.pmod("__h", F.col("bins"))).drop("bins")
     order = [F.asc_nulls_first("__h"), F.asc_nulls_first("size")] + ([F.asc_nulls_first("doc_id")] if "doc_id" in passed else [])
-    inside = W.partitionBy("s", "__bin").orderBy(*order)
-    edges = binned.groupBy("s", "__bin").agg(F.sum("size").alias("n"))
-    ahead = W.partitionBy("s").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select("s", "__bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
+    inside = W.partitionBy("__s", "__bin").orderBy(*order)
+    edges = binned.groupBy("__s", "__bin").agg(F.sum("size").alias("n"))
+    ahead = W.partitionBy("__s").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.select("__s", "__bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
     placed = (
         binned.withColumn("__rn", F.row_number().over(inside))
         .withColumn("__in", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-        .join(edges, ["s", "__bin"])
+        .join(edges, ["__s", "__bin"])
         .withColumn("__off", F.col("__base") + F.col("__in"))
         .drop("__in", "__base")
     )
@@ -151,22 +151,22 @@ def _takes(placed: DataFrame, sources: DataFrame, plan: list[dict], block_words:
     spark = placed.sparkSession
     end = F.col("__off") + F.col("size")
     blocks = placed.filter("size > 0").select(
-        "s", "__bin", "__rn", "__off", "size",
+        "__s", "__bin", "__rn", "__off", "size",
         F.explode(F.sequence((F.col("__off") / block_words).cast("long"), ((end - 1) / block_words).cast("long"))).alias("block"),
     )
     edge = F.col("block") * block_words
     blocks = blocks.withColumn("a", F.greatest(F.col("__off") - edge, F.lit(0))).withColumn("b", F.least(end - edge, F.lit(block_words)))
-    slots = _slots(spark, plan, shard_slots, seed).join(F.broadcast(sources.select("s", "full", "per_epoch", "epochs", "rest")), "s")
+    slots = _slots(spark, plan, shard_slots, seed).join(F.broadcast(sources.select("__s", "full", "per_epoch", "epochs", "rest")), "__s")
     slots = slots.withColumn("epoch", (F.col("ordinal") / F.col("per_epoch")).cast("long")).withColumn("j", F.col("ordinal") % F.col("per_epoch"))
-    key = F.xxhash64(F.lit(seed), F.lit("epoch"), "s", "epoch")
+    key = F.xxhash64(F.lit(seed), F.lit("epoch"), "__s", "epoch")
     block = F.when(F.col("j") >= F.col("full"), F.col("j")).otherwise(permuted(F.col("j"), F.col("full"), key))
     words = F.when(F.col("epoch") < F.col("epochs"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - F.col("j") * block_words))
     takes = (
-        slots.select("s", block.alias("block"), words.alias("words"))
-        .groupBy("s", "block")
+        slots.select("__s", block.alias("block"), words.alias("words"))
+        .groupBy("__s", "block")
         .agg(F.sum(F.when(F.col("words") >= block_words, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("words") < block_words, F.col("words")).otherwise(0)).alias("part"))
     )
-    return blocks.join(takes, ["s", "block"])
+    return blocks.join(takes, ["__s", "block"])
 
 
 def mix_sources(
@@ -194,8 +194,8 @@ def mix_sources(
     if not sum(p["quota"] for p in plan):
         return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", "part") - F.col("a"))
-    taken = _takes(placed, sources, plan, block_words, shard_slots, seed).groupBy("s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"))
-    out = placed.join(taken, ["s", "__bin", "__rn"], "left")
+    taken = _takes(placed, sources, plan, block_words, shard_slots, seed).groupBy("__s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"))
+    out = placed.join(taken, ["__s", "__bin", "__rn"], "left")
     return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -215,17 +215,17 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int
         F.lit(k).alias("k"), (at + F.col("a")).alias("lo"),
         (at + F.when(F.col("whole") >= k, F.col("b")).when(F.col("whole") == k - 1, F.least("b", "part")).otherwise(F.lit(0))).alias("hi"),
     )
-    pieces = takes.select("s", "__bin", "__rn", F.explode(F.filter(F.array(*[piece(k + 1) for k in range(copies)]), lambda p: p["hi"] > p["lo"])).alias("p"))
-    runs = pieces.groupBy("s", "__bin", "__rn", F.col("p.k").alias("k")).agg(F.sort_array(F.collect_list(F.struct("p.lo", "p.hi"))).alias("runs"))
+    pieces = takes.select("__s", "__bin", "__rn", F.explode(F.filter(F.array(*[piece(k + 1) for k in range(copies)]), lambda p: p["hi"] > p["lo"])).alias("p"))
+    runs = pieces.groupBy("__s", "__bin", "__rn", F.col("p.k").alias("k")).agg(F.sort_array(F.collect_list(F.struct("p.lo", "p.hi"))).alias("runs"))
     # rows of one source, id and text are alike: their copies are gathered, and one of the rows carries them all
     key = ["__h", "__id"]
-    wanted = runs.join(placed.select("s", "__bin", "__rn", "__h", F.col("doc_id").alias("__id"), "size"), ["s", "__bin", "__rn"])
-    wanted = wanted.groupBy(*key, "s").agg(F.collect_list(F.struct("runs", "size")).alias("__copies"))
+    wanted = runs.join(placed.select("__s", "__bin", "__rn", "__h", F.col("doc_id").alias("__id"), "size"), ["__s", "__bin", "__rn"])
+    wanted = wanted.groupBy(*key, "__s").agg(F.collect_list(F.struct("runs", "size")).alias("__copies"))
     own = docs.select(
         "*", F.col("doc_id").alias("__id"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("__h")
-    ).join(F.broadcast(sources.select("s", F.col("__source").alias("__name"))), F.col("source").eqNullSafe(F.col("__name")))
-    first = own.withColumn("__i", F.row_number().over(W.partitionBy(*key, "s").orderBy(F.lit(0)))).filter("__i = 1")
-    met = first.join(wanted, (first["__h"] == wanted["__h"]) & first["__id"].eqNullSafe(wanted["__id"]) & (first["s"] == wanted["s"]))
+    ).join(F.broadcast(sources.select("__s", F.col("__source").alias("__name"))), F.col("source").eqNullSafe(F.col("__name")))
+    first = own.withColumn("__i", F.row_number().over(W.partitionBy(*key, "__s").orderBy(F.lit(0)))).filter("__i = 1")
+    met = first.join(wanted, (first["__h"] == wanted["__h"]) & first["__id"].eqNullSafe(wanted["__id"]) & (first["__s"] == wanted["__s"]))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     one = met.select(*[first[c] for c in docs.columns], F.explode("__copies").alias("__c"))
     cut = let(words, lambda w: F.array_join(F.flatten(F.transform("__c.runs", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), ""))

@@ -10,11 +10,14 @@ unpacks it by vectorised shifts.
 
 from __future__ import annotations
 
+import array
+import itertools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,7 +60,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class TokenWriter:
-    """Writes one file; holds less than two blocks of ids and 17 bytes for each document."""
+    """Writes one file; holds a batch and a block of ids and 17 bytes for each document."""
 
     def __init__(self, stream, vocabulary: int):
         self.stream, self.bits = stream, max(1, (vocabulary - 1).bit_length())
@@ -65,8 +68,9 @@ class TokenWriter:
         stream.write(MAGIC)
         self.at = len(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is not None, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with their numbers of ids, and all their ids one after the other."""
+        self.docs += [(d or 0, d is not None, n) for d, n in zip(doc_ids, counts.tolist(), strict=True)]
         self.held.append(ids)
         self.n_held += len(ids)
         self.n += len(ids)
@@ -143,13 +147,16 @@ class Encoder:
     them; texts with two blanks in a row go through it whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.max_pieces, self.first, self.rest = max_pieces, {}, {}
+        self.max_pieces, self.rest = max_pieces, {}
+        self.opens = np.zeros(self.vocabulary, dtype=bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.opens[k] = token.startswith("\u0120")  # how this vocabulary writes a blank
 
     @property
     def vocabulary(self) -> int:
@@ -157,31 +164,77 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def _fill(self, cache: dict, pieces: set[str], lead: str) -> None:
-        wanted = list(pieces)
-        for k in range(0, len(wanted), 10_000):
-            part = wanted[k : k + 10_000]
-            cache.update(zip(part, self._library([lead + p for p in part]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t and "  " in t else (t or "").split(" ") for t in texts]
-        first, rest = set(), set()
-        for p in split:
-            if p is not None:
-                first.add(p[0])
-                rest.update(p[1:])
-        if len(self.first) + len(self.rest) > self.max_pieces:
-            self.first, self.rest = {}, {}
-        self._fill(self.first, first - self.first.keys(), "")
-        self._fill(self.rest, rest - self.rest.keys(), " ")
-        out, get = [], self.rest.__getitem__
-        for t, p in zip(texts, split, strict=True):
-            raw = self._library([t])[0] if p is None else self.first[p[0]] + b"".join(map(get, p[1:]))
-            out.append(np.frombuffer(raw, dtype="<u4"))
+        return [array.array("I", e.ids).tobytes() for e in encoded]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces with a blank before each, many pieces in a call.
+
+        A piece starts at an id whose bytes begin with a blank, as pieces hold none; where that does not add up
+        they are encoded one by one.
+        """
+        groups = [pieces[k : k + 250] for k in range(0, len(pieces), 250)]
+        out = []
+        for group, raw in zip(groups, self._library([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])
+            if len(starts) == len(group) and starts[0] == 0:
+                cuts = [*(starts * 4).tolist(), len(raw)]
+                out += [raw[x:y] for x, y in itertools.pairwise(cuts)]
+            else:
+                out += self._library([" " + p for p in group])
         return out
 
+    def _cached(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that stand behind a blank."""
+        held = self.rest
+        missing = [p for p in pieces if p not in held]
+        if missing:
+            if len(held) + len(missing) > self.max_pieces:
+                held.clear()
+                missing = pieces
+            plain = [p for p in missing if p and p == p.strip()]
+            odd = [p for p in missing if not p or p != p.strip()]
+            held.update(zip(plain, self._joined(plain), strict=True))
+            held.update(zip(odd, self._library([" " + p for p in odd]), strict=True))
+        return [held[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, ``end`` behind each text, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False))
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        behind = np.ones(len(codes), dtype=bool)
+        behind[at[:-1]] = False
+        used = np.unique(codes[behind])
+        place = np.zeros(len(coded.dictionary), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        parts = self._cached(coded.dictionary.take(pa.array(used)).to_pylist())
+        # behind the shared pieces: each text's first piece, whole texts that are not cut, the end
+        heads = self._library(split.values.take(pa.array(at[:-1])).to_pylist())
+        parts += heads
+        parts += self._library(texts.take(pa.array(odd)).to_pylist())
+        parts.append(array.array("I", [end]).tobytes())
+        codes = place[codes]
+        codes[at[:-1]] = len(used) + np.arange(len(texts))
+        keep = np.ones(len(codes), dtype=bool)
+        for k, t in enumerate(odd.tolist()):
+            keep[at[t] + 1 : at[t + 1]] = False
+            codes[at[t]] = len(used) + len(heads) + k
+        kept_before = np.concatenate([[0], np.cumsum(keep)])[at]
+        codes = np.insert(codes[keep], kept_before[1:], len(parts) - 1)
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        starts, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(parts), "<u4")
+        n = lengths[codes]
+        behind_n = np.cumsum(n)
+        # ids i of a piece come from its place in the pool: the piece's offset repeated, plus i (batches stay below 2 ** 31 ids)
+        jump = np.repeat((starts[codes] - (behind_n - n)).astype(np.int32), n)
+        jump += np.arange(len(jump), dtype=np.int32)
+        ids = pool[jump]
+        last = np.concatenate([[0], behind_n])[kept_before + np.arange(len(kept_before))]
+        return ids, np.diff(last)
+
 
 def _encoder(path: str) -> Encoder:
     """The worker's encoder; it hangs on the library's module, which outlives the tasks that pickle brings."""
@@ -212,13 +265,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
         fs, top = pyarrow.fs.FileSystem.from_uri(base)
         path, writer, stream = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok", None, None
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(keys), 512):
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
                 if writer is None:
                     stream = fs.open_output_stream(path)
                     writer = TokenWriter(stream, encoder.vocabulary)
-                for key, ids in zip(keys[k : k + 512], encoder.encode(texts[k : k + 512]), strict=True):
-                    writer.add(key, np.append(ids, np.uint32(end_id)))
+                ids, counts = encoder.encode(part.column(1), end_id)
+                writer.add(part.column(0).to_pylist(), ids, counts)
         if writer:
             writer.close()
             stream.close()
