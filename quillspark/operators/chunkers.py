@@ -54,6 +54,8 @@ def split_lines(piece: Piece, most: int = MAX_TOKENS, overlap: float = OVERLAP)
     shared, at = max(1, int(size * overlap)), 0
     while at < len(lines):
         end = min(len(lines), at + size)
+        while end - at > 1 and tokens_of("\n".join(lines[at:end])) > most:
+            end -= 1
         yield Piece(piece.kind, piece.label, piece.start + at, piece.start + end - 1, "\n".join(lines[at:end]))
         if end == len(lines):
             return
