@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import routing as RT
+from quillspark.functions import values as VL
 from quillspark.operators import consensus as CS
+from quillspark.operators import fileops as FO
 from quillspark.operators import memory as MM
 from quillspark.operators import tasks as TK
 from quillspark.plans.registry import Registry
@@ -352,3 +354,59 @@ def snapshot_roundtrip(t):
 
     packed = snapshots.packed(t.orders.limit(1000).select("o_orderkey", F.to_json(F.struct("*")).alias("body")), "body")
     return snapshots.unpacked(packed, "body").select("o_orderkey", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+
+
+@add("relative_times", """
+WITH m AS (SELECT event_id, epoch_ms(TIMESTAMP '2024-01-20') - epoch_ms(ts) AS ms FROM events), a AS (SELECT *, abs(ms) // 1000 AS s FROM m),
+u AS (SELECT *, CASE WHEN s >= 31536000 THEN 31536000 WHEN s >= 2592000 THEN 2592000 WHEN s >= 86400 THEN 86400 WHEN s >= 3600 THEN 3600 ELSE 60 END AS unit FROM a),
+w AS (SELECT *, (s // unit) || ' ' || CASE unit WHEN 31536000 THEN 'year' WHEN 2592000 THEN 'month' WHEN 86400 THEN 'day' WHEN 3600 THEN 'hour' ELSE 'minute' END || CASE WHEN s // unit = 1 THEN '' ELSE 's' END AS words FROM u)
+SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN ms < 0 THEN 'in ' || words ELSE words || ' ago' END AS age FROM w""")
+def relative_times(t):
+    zoned = lambda c: c.cast("timestamp")
+    return t.events.select("event_id", VL.relative_time(zoned(F.col("ts")), zoned(F.lit("2024-01-20 00:00:00"))).alias("age"))
+
+
+@add("epoch_instants", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE make_timestamp(event_id * 1000003 // 1000) END AS at FROM events")
+def epoch_instants(t):
+    ns = F.when(F.col("event_id") % 9 == 0, 0).otherwise(F.col("event_id") * 1000003)
+    return t.events.select("event_id", VL.from_epoch_ns(ns).cast("timestamp_ntz").alias("at"))
+
+
+@add("ordered_ids")
+def ordered_ids(t):
+    return t.orders.select("o_orderkey", VL.ordered_id("task", F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")).alias("id"))
+
+
+@add("mean_pooling", """
+SELECT vec_id, round((embedding[9]::DOUBLE + embedding[17] + embedding[33] + embedding[41] + embedding[57]) / 5, 6) AS first,
+  round((embedding[16]::DOUBLE + embedding[24] + embedding[40] + embedding[48] + embedding[64]) / 5, 6) AS last FROM embeddings""")
+def mean_pooling(t):
+    """Each vector as eight of eight dimensions, pooled but for every third."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
+    pooled = t.embeddings.select("vec_id", VL.mean_pooled(parts, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: k % 3)).alias("p"))
+    return pooled.select("vec_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.round(F.get("p", F.lit(7)), 6).alias("last"))
+
+
+@add("hashed_token_ids")
+def hashed_token_ids(t):
+    ids = t.benchmark.select("item_id", VL.hashed_ids(F.col("text")).alias("ids"))
+    return ids.select("item_id", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@add("file_operations")
+def file_operations(t):
+    kinds = F.get(F.array(*[F.lit(k) for k in ("CREATE", "UPDATE", "DELETE", "CREATE", "RENAME")]), (F.col("event_id") % 5).cast("int"))
+    path = lambda c: F.concat(F.lit("f"), (c % 3).cast("string"))
+    ops = t.events.select(
+        F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), path(F.col("event_id")).alias("path"), kinds.alias("kind"), "props",
+        F.lit(None).cast("string").alias("base_hash"), path(F.col("event_id") + 1).alias("rename_to"),
+    ).withColumnRenamed("props", "content")
+    return FO.history(ops)
+
+
+@add("latest_config", "SELECT scope, config_id FROM (SELECT c_mktsegment AS scope, c_custkey AS config_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS k FROM customer) WHERE k = 1")
+def latest_config(t):
+    from quillspark.sources import config
+
+    c = t.customer.select(F.col("c_mktsegment").alias("scope"), F.col("c_custkey").alias("config_id"), F.col("c_acctbal").alias("updated_at"))
+    return config.latest_snapshots(c).select("scope", "config_id")

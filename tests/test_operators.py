@@ -5,9 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import routing, text, vectors
-from quillspark.operators import catalog, chunkers, consensus, memory, metrics, retrieval
+from quillspark.functions import routing, text, values, vectors
+from quillspark.operators import catalog, chunkers, consensus, fileops, memory, metrics, retrieval
 from quillspark.operators import tasks as tk
+from quillspark.sources import config
 from quillspark.sources import files as fs
 from quillspark.sources import snapshots
 
@@ -188,3 +189,38 @@ def test_file_scan(spark, tmp_path):
 def test_snapshots(spark):
     df = spark.createDataFrame([(1, '{"a": [1, null]}'), (2, None)], "k int, j string")
     assert [r.j for r in snapshots.unpacked(snapshots.packed(df, "j"), "j").orderBy("k").collect()] == ['{"a": [1, null]}', None]
+
+
+def java_hash(word):
+    h = 0
+    for c in word:
+        h = (31 * h + ord(c)) % 2**32
+    return h
+
+
+def test_values(spark):
+    said = "Hello the wörld of a-very-long-identifier_name"
+    want = [101, *[1000 + java_hash(w) % 2**31 % 29522 for w in said.lower().split()], 102]
+    assert one(spark.createDataFrame([(said,)], "t string").select(values.hashed_ids(F.col("t")))) == want
+    ids = [r.i for r in spark.sql("SELECT timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS t, id FROM range(20)").orderBy("id").select(values.ordered_id("task", F.col("t"), F.col("id")).alias("i")).collect()]
+    assert ids == sorted(ids) and len(set(ids)) == 20 and all(len(i) == 31 for i in ids)
+    assert one(spark.range(1).select(values.mean_pooled(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0))), F.array(F.lit(0), F.lit(0))))) == [0.0, 0.0]
+
+
+def test_file_operations(spark):
+    ops = [("CREATE", "a", "x", None, None), ("CREATE", "a", "y", None, None), ("UPDATE", "a", "z", "bad", None), ("UPDATE", "a", "z", None, None), ("RENAME", "a", None, None, "b"),
+           ("RENAME", "b", None, None, None), ("DELETE", "a", None, None, None), ("DELETE", "b", None, None, None)]
+    df = spark.createDataFrame([("t", k, p, kind, c, b, r) for k, (kind, p, c, b, r) in enumerate(ops)], "task_id string, seq long, path string, kind string, content string, base_hash string, rename_to string")
+    got = [(r.version, r.conflict) for r in fileops.history(df).orderBy("seq").collect()]
+    assert got == [(1, None), (1, "File already exists"), (1, "Base hash mismatch"), (2, None), (2, None), (2, "renameTo not provided"), (0, "File does not exist"), (3, None)]
+
+
+def test_config(tmp_path):
+    assert config.load('a = "${X:-1}"\nb = "${Y}"', {"Y": "2"}) == {"a": "1", "b": "2"}
+    with pytest.raises(KeyError):
+        config.load('a = "${Z}"', {})
+    (tmp_path / "p/src/deep").mkdir(parents=True)
+    (tmp_path / "p/tests").mkdir()
+    assert config.project_root(tmp_path / "p/src/deep") == (tmp_path / "p", "LOW")
+    (tmp_path / "p/pyproject.toml").touch()
+    assert config.project_root(tmp_path / "p/src") == (tmp_path / "p", "MEDIUM")

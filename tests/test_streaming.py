@@ -6,6 +6,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillspark.streaming import events as ev
+from quillspark.streaming import state as st
 from quillspark.streaming.index import Index
 
 T0 = datetime(2024, 1, 1)
@@ -51,3 +52,24 @@ def test_incremental_index(spark, tmp_path):
     batch([("b.txt", "MODIFIED", "one", later), ("a.md", "MODIFIED", "# B", later), ("a.md", "DELETED", None, later + timedelta(1))]).write.mode("append").parquet(folder)
     index.follow(stream(), str(tmp_path / "cp")).awaitTermination()
     assert [r.path for r in index.files().collect()] == ["b.txt"] and [r.content for r in index.chunks().collect()] == ["one"]
+
+
+def followed(spark, df, tmp_path, body, name, watermark=None):
+    df.coalesce(1).write.parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    stream = stream.withWatermark("ts", watermark) if watermark else stream
+    q = body(stream).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_awaited_proposals(spark, tmp_path):
+    rows = [(1, T0), (1, T0 + timedelta(minutes=1)), (2, T0), (3, T0 + timedelta(hours=2))]
+    got = followed(spark, spark.createDataFrame(rows, "task_id long, ts timestamp"), tmp_path, lambda s: st.awaited(s, 2), "awaited", "1 minute")
+    assert {(r.task_id, r.n, r.outcome) for r in got} == {(1, 2, "complete"), (2, 1, "timeout")}
+
+
+def test_workflow_states(spark, tmp_path):
+    rows = [(1, k, s) for k, s in enumerate(("PENDING", "COMPLETED", "IN_PROGRESS", "COMPLETED", "PENDING"))] + [(2, 0, "FAILED")]
+    got = followed(spark, spark.createDataFrame(rows, "task_id long, seq long, status string"), tmp_path, st.workflow_states, "flows")
+    assert {(r.task_id, r.seq): r.accepted for r in got} == {(1, 0): True, (1, 1): False, (1, 2): True, (1, 3): True, (1, 4): False, (2, 0): False}
