@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import sys
 import tempfile
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="quillspark-")
@@ -71,3 +72,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a DataFrame that stays in the plan: no RDD, no Python on executors."""
+    from pyspark.sql import functions as F
+
+    fields = [f.split() for f in schema.split(",")]
+    data = json.dumps([dict(zip((f[0] for f in fields), r, strict=True)) for r in rows])
+    kind = "array<struct<" + ",".join(f"`{n}`:{k}" for n, k in fields) + ">>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(data), kind)).alias("r")).select("r.*")
