@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import WORD, let, word_count
-from quillspark.session import written
+from quillspark.session import small_table, written
 
 ROUNDS = 20
 
@@ -84,11 +84,11 @@ def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) -
     rank = F.row_number().over(W.partitionBy("shard", "__s").orderBy("id")) - 1
     placed = drawn.withColumn("r", rank).join(counts.drop("n"), ["__s", "shard"]).select("__s", (F.col("base") + F.col("r")).alias("ordinal"))
     got = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row for each source
-    quotas = spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "__s int, quota long")
+    quotas = small_table(spark, [(i, q) for i, q in enumerate(quota)], "__s int, quota long")
     placed = placed.join(F.broadcast(quotas), "__s").filter("ordinal < quota").select("__s", "ordinal")
     short = [(i, got.get(i, 0), q) for i, q in enumerate(quota) if got.get(i, 0) < q]
     if short:
-        extra = spark.createDataFrame(short, "__s int, a long, b long")
+        extra = small_table(spark, short, "__s int, a long, b long")
         placed = placed.unionByName(extra.select("__s", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal")))
     return placed
 
@@ -123,7 +123,8 @@ def _placed(
         epochs, rest = divmod(words, size) if size else (0, 0)
         quota = epochs * (full + (tail > 0)) + rest // block_words + (rest % block_words > 0)
         plan.append({"source": row[0], "size": size, "target": float(target), "full": full, "per_epoch": full + (tail > 0), "quota": quota, "epochs": epochs, "rest": rest, "bins": max(1, row["n"] // bin_rows)})
-    sources = spark.createDataFrame(
+    sources = small_table(
+        spark,
         [(i, p["source"], p["size"], p["target"], p["full"], p["per_epoch"], p["quota"], p["epochs"], p["rest"], p["bins"]) for i, p in enumerate(plan)],
         "__s int, __source string, source_size long, target double, full long, per_epoch long, quota long, epochs long, rest long, bins long",
     )
