@@ -110,14 +110,14 @@ def chunk_count_per_file(t):
     return t.documents.select(F.col("doc_id").alias("file_id")).join(n, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_STATUS_SQL = """files AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'OUTDATED' ELSE 'INDEXED' END AS status FROM documents WHERE doc_id % 3 <> 0),
+_STATUS_SQL = """files AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'OUTDATED' ELSE 'INDEXED' END AS status FROM documents WHERE lang <> 'fr'),
 progress AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'FAILED' WHEN toxic = 1 THEN 'PENDING' ELSE 'COMPLETED' END AS status FROM labels),
 merged AS (SELECT coalesce(f.doc_id, p.doc_id) AS path, CASE WHEN p.status = 'FAILED' THEN 'ERROR' WHEN f.status IS NOT NULL THEN f.status WHEN p.status IN ('PENDING', 'PROCESSING') THEN 'PENDING' ELSE 'INDEXED' END AS status
   FROM files f FULL JOIN progress p ON f.doc_id = p.doc_id)"""
 
 
 def _statuses(t):
-    files = t.documents.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("lang") == "es", "OUTDATED").otherwise("INDEXED").alias("status"))
+    files = t.documents.filter("lang <> 'fr'").select(F.col("doc_id").alias("path"), F.when(F.col("lang") == "es", "OUTDATED").otherwise("INDEXED").alias("status"))
     state = F.when(F.col("quality") == 0, "FAILED").when(F.col("toxic") == 1, "PENDING").otherwise("COMPLETED")
     return K.overlaid(files, t.labels.select(F.col("doc_id").alias("path"), state.alias("status")))
 
@@ -155,14 +155,14 @@ def bootstrap_remaining(t):
 
 
 @add("change_detection", """
-WITH i AS (SELECT o_custkey AS path, max(o_totalprice) AS h, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1),
-s AS (SELECT o_custkey AS path, max(o_totalprice) AS h, count(*) FILTER (o_orderstatus <> 'P') AS n FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1)
+WITH i AS (SELECT o_custkey AS path, max(o_totalprice) AS h, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1),
+s AS (SELECT o_custkey AS path, max(o_totalprice) AS h, count(*) FILTER (o_orderpriority <> '1-URGENT') AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT coalesce(i.path, s.path) AS path, CASE WHEN i.path IS NULL THEN 'new' WHEN s.path IS NULL THEN 'deleted' WHEN i.h <> s.h OR i.n <> s.n THEN 'modified' ELSE 'unchanged' END AS status
 FROM i FULL JOIN s ON i.path = s.path""")
 def change_detection(t):
     o = t.orders.withColumnRenamed("o_custkey", "path")
-    i = o.filter("path % 5 <> 0").groupBy("path").agg(F.max("o_totalprice").alias("h"), F.count(F.lit(1)).alias("n"))
-    s = o.filter("path % 7 <> 0").groupBy("path").agg(F.max("o_totalprice").alias("h"), F.count_if(F.col("o_orderstatus") != "P").alias("n"))
+    i = o.filter("o_orderpriority <> '1-URGENT'").groupBy("path").agg(F.max("o_totalprice").alias("h"), F.count(F.lit(1)).alias("n"))
+    s = o.filter("o_orderstatus = 'O'").groupBy("path").agg(F.max("o_totalprice").alias("h"), F.count_if(F.col("o_orderpriority") != "1-URGENT").alias("n"))
     return K.changes(i, s, "path", ["h", "n"])
 
 
@@ -171,9 +171,9 @@ def reconcile_missing(t):
     return K.only_left(t.customer.select(F.col("c_custkey").alias("key")), t.orders.select(F.col("o_custkey").alias("key")), "key")
 
 
-@add("reconcile_orphaned", "SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+@add("reconcile_orphaned", "SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def reconcile_orphaned(t):
-    return K.only_left(t.orders.select(F.col("o_custkey").alias("key")), t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key")), "key")
+    return K.only_left(t.orders.select(F.col("o_custkey").alias("key")), t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("key")), "key")
 
 
 @add("set_union_distinct", "SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -256,11 +256,11 @@ def language_by_extension(t):
 
 
 @add("config_diff", """
-WITH a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 20), b AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_nationkey > 3)
+WITH a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_regionkey <> 0), b AS (SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_regionkey <> 4)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
 def config_diff(t):
-    a = t.nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    b = t.nation.filter("n_nationkey > 3").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("v"))
+    a = t.nation.filter("n_regionkey <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    b = t.nation.filter("n_regionkey <> 4").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_regionkey") == 2, F.lower("n_name")).otherwise(F.col("n_name")).alias("v"))
     return K.config_diff(a, b, "k", "v")
 
 

@@ -194,13 +194,13 @@ def symbol_score(t):
 
 
 @add("symbol_containment_join", """
-WITH s AS (SELECT l_orderkey AS file_id, l_linenumber AS symbol_id, l_quantity::INT AS start_line, l_quantity::INT + 2 AS end_line FROM lineitem WHERE l_orderkey <= 2000),
-c AS (SELECT l_orderkey AS file_id, l_linenumber AS chunk_no, l_quantity::INT - 5 AS start_line, l_quantity::INT + 5 AS end_line FROM lineitem WHERE l_orderkey <= 2000 AND l_linenumber % 2 = 0)
+WITH s AS (SELECT l_orderkey AS file_id, l_linenumber AS symbol_id, l_quantity::INT AS start_line, l_quantity::INT + 2 AS end_line FROM lineitem),
+c AS (SELECT l_orderkey AS file_id, l_linenumber AS chunk_no, l_quantity::INT - 5 AS start_line, l_quantity::INT + 5 AS end_line FROM lineitem WHERE l_returnflag = 'R')
 SELECT s.file_id, s.symbol_id, c.chunk_no FROM s LEFT JOIN c ON c.file_id = s.file_id AND c.start_line <= coalesce(s.start_line, c.start_line) AND c.end_line >= coalesce(s.end_line, c.end_line)""")
 def symbol_containment_join(t):
-    l, q = t.lineitem.filter("l_orderkey <= 2000"), F.col("l_quantity").cast("int")
+    l, q = t.lineitem, F.col("l_quantity").cast("int")
     s = l.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("symbol_id"), q.alias("start_line"), (q + 2).alias("end_line"))
-    c = l.filter("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("chunk_no"), (q - 5).alias("start_line"), (q + 5).alias("end_line"))
+    c = l.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("chunk_no"), (q - 5).alias("start_line"), (q + 5).alias("end_line"))
     return R.containing_chunks(s, c).select("s.file_id", "s.symbol_id", "c.chunk_no")
 
 

@@ -86,10 +86,10 @@ def activity_feed(t):
     return _tasks(t).select("id", F.explode(both).alias("e")).select("id", "e.what", "e.moment").orderBy(F.desc("moment"), "id", "what").limit(30)
 
 
-@add("cas_status", f"""WITH {_TASKS_SQL} SELECT id, CASE WHEN status = 'PENDING' AND id % 3 = 0 THEN 'IN_PROGRESS' ELSE status END AS status, status = 'PENDING' AND id % 3 = 0 AS changed FROM tasks""")
+@add("cas_status", f"""WITH {_TASKS_SQL} SELECT id, CASE WHEN status = 'PENDING' AND type = '1-URGENT' THEN 'IN_PROGRESS' ELSE status END AS status, status = 'PENDING' AND type = '1-URGENT' AS changed FROM tasks""")
 def cas_status(t):
-    x = _tasks(t).select("id", "status")
-    return TK.compare_and_set(x, x.filter("id % 3 = 0").select("id", F.lit("PENDING").alias("expected"), F.lit("IN_PROGRESS").alias("next")))
+    x = _tasks(t)
+    return TK.compare_and_set(x.select("id", "status"), x.filter("type = '1-URGENT'").select("id", F.lit("PENDING").alias("expected"), F.lit("IN_PROGRESS").alias("next")))
 
 
 @add("dependency_check", "SELECT o_orderkey AS id, u.dep AS missing FROM orders, LATERAL (SELECT unnest([o_custkey, o_custkey * 11]) AS dep) u WHERE u.dep NOT IN (SELECT c_custkey FROM customer)")
@@ -208,16 +208,17 @@ _AGENT_NEEDS = ("CODE_GENERATION", "CODE_REVIEW", "DEBUGGING", "PLANNING")
 
 
 @add("agent_selection", """
-WITH a AS (SELECT s_suppkey AS agent_id, CASE s_suppkey % 7 WHEN 0 THEN 'OFFLINE' WHEN 1 THEN 'BUSY' ELSE 'ONLINE' END AS status, (s_suppkey % 4)::INT AS c1, ((s_suppkey // 4) % 4)::INT AS c2, round(s_acctbal / 100) AS strength, s_suppkey % 3 AS load FROM supplier WHERE s_suppkey <= 40),
+WITH a AS (SELECT n_nationkey AS agent_id, CASE n_nationkey % 7 WHEN 0 THEN 'OFFLINE' WHEN 1 THEN 'BUSY' ELSE 'ONLINE' END AS status, (n_nationkey % 4)::INT AS c1, ((n_nationkey // 4) % 4)::INT AS c2,
+  50.0::DOUBLE + n_nationkey * 37 % 50 AS strength, n_nationkey % 3 AS load FROM nation),
 tk AS (SELECT o_orderkey AS task_id, (o_orderkey % 4)::INT AS need FROM orders),
 m AS (SELECT task_id, agent_id, strength - CASE WHEN status = 'BUSY' THEN 10 ELSE 0 END - load AS score FROM tk JOIN a ON need = c1 OR need = c2 WHERE status <> 'OFFLINE')
 SELECT task_id, agent_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, agent_id) AS rank FROM m) WHERE rank <= 2""")
 def agent_selection(t):
     names = F.array(*map(F.lit, _AGENT_NEEDS))
-    k = F.col("s_suppkey")
+    k = F.col("n_nationkey")
     c1, c2 = F.get(names, (k % 4).cast("int")), F.get(names, (F.floor(k / 4) % 4).cast("int"))
-    caps, strength = F.array_distinct(F.array(c1, c2)), F.round(F.col("s_acctbal") / 100)
-    a = t.supplier.filter("s_suppkey <= 40").select(
+    caps, strength = F.array_distinct(F.array(c1, c2)), F.lit(50.0) + k * 37 % 50
+    a = t.nation.select(
         k.alias("agent_id"), F.when(k % 7 == 0, "OFFLINE").when(k % 7 == 1, "BUSY").otherwise("ONLINE").alias("status"), (k % 3).alias("load"),
         caps.alias("capabilities"), F.map_from_arrays(caps, F.transform(caps, lambda x: strength)).alias("strengths"),
     )
@@ -270,12 +271,12 @@ cl AS (SELECT key, low, k, greatest(1, least(10, 1 + CASE WHEN n <= 5 THEN 1 WHE
   0.45::DOUBLE / (1 + exp(-cs::DOUBLE)) + 0.45::DOUBLE / (1 + exp(-rs::DOUBLE)) + 0.10::DOUBLE / (1 + exp(-(n // 20)::DOUBLE)) AS confidence FROM c)"""
 
 _PHRASES = ("drop the database token", "need consensus please", "skip review quick fix", "urgent production down", "maybe ask codex about the index", "refactor multiple parallel caches", "", "no consensus")
-_REQUESTS_SQL = "src AS (SELECT doc_id AS key, ([" + ", ".join(f"'{p}'" for p in _PHRASES) + "])[1 + doc_id % 8] || ' ' || left(text, 20 + (doc_id * 7 % 900)::INT) AS text FROM documents)"
+_REQUESTS_SQL = "src AS (SELECT doc_id AS key, ([" + ", ".join(f"'{p}'" for p in _PHRASES) + "])[1 + doc_id % 8] || ' ' || text AS text FROM documents)"
 
 
 def _requests(t):
     phrase = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 8).cast("int"))
-    return t.documents.select(F.col("doc_id").alias("key"), F.concat(phrase, F.lit(" "), F.substring("text", F.lit(1), (20 + F.col("doc_id") * 7 % 900).cast("int"))).alias("text"))
+    return t.documents.select(F.col("doc_id").alias("key"), F.concat(phrase, F.lit(" "), "text").alias("text"))
 
 
 @add("classify_text", f"WITH {_REQUESTS_SQL}, {_CLASSIFY_SQL} SELECT key, complexity, risk, k::INT AS n_critical, round(confidence, 6) AS confidence FROM cl")
@@ -348,11 +349,12 @@ def reasoning_quality(t):
     return CS.winners(c.withColumn("score", CS.reasoning_quality(F.col("text"), F.col("confidence"))), "score").select("task_id", "id", F.round("score", 6).alias("score"))
 
 
-@add("snapshot_roundtrip")
+@add("snapshot_roundtrip", "SELECT o_orderkey, sha256('{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}') AS digest FROM orders")
 def snapshot_roundtrip(t):
     from quillspark.sources import snapshots
 
-    packed = snapshots.packed(t.orders.limit(1000).select("o_orderkey", F.to_json(F.struct("*")).alias("body")), "body")
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
+    packed = snapshots.packed(t.orders.select("o_orderkey", body.alias("body")), "body")
     return snapshots.unpacked(packed, "body").select("o_orderkey", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
 
 
