@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_recorders: list[list[str]] = []
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,7 +53,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _own["dir"] = tempfile.mkdtemp(prefix="quillspark-")
             atexit.register(shutil.rmtree, _own["dir"], True)
         base = f"file://{_own['dir']}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    for found in _recorders:
+        found.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded_dirs() -> Iterator[list[str]]:
+    """The list that gets the paths which ``shared_dir`` names inside."""
+    found: list[str] = []
+    _recorders.append(found)
+    try:
+        yield found
+    finally:
+        _recorders.pop()
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
