@@ -144,16 +144,17 @@ class Encoder:
     Byte-level BPE of this kind splits a text before every blank that is followed by
     something other than white space, so the pieces between single blanks are
     encoded apart. Pieces go through the library once while the cache holds
-    them; texts with two blanks in a row go through it whole.
+    them (two generations of at most ``max_pieces``); texts with two blanks in a
+    row go through it whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.max_pieces, self.rest = max_pieces, {}
+        self.max_pieces, self.rest, self.old = max_pieces, {}, {}
         self.opens = np.zeros(self.vocabulary, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[k] = token.startswith("\u0120")  # how this vocabulary writes a blank
@@ -185,16 +186,17 @@ class Encoder:
 
     def _cached(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces that stand behind a blank."""
-        held = self.rest
-        missing = [p for p in pieces if p not in held]
-        if missing:
-            if len(held) + len(missing) > self.max_pieces:
-                held.clear()
-                missing = pieces
-            plain = [p for p in missing if p and p == p.strip()]
-            odd = [p for p in missing if not p or p != p.strip()]
-            held.update(zip(plain, self._joined(plain), strict=True))
-            held.update(zip(odd, self._library([" " + p for p in odd]), strict=True))
+        missing = [p for p in pieces if p not in self.rest]
+        if len(self.rest) + len(missing) > self.max_pieces:  # what is not asked for again goes with the next change
+            self.old, self.rest, missing = self.rest, {}, pieces
+        held, old = self.rest, self.old
+        if old:
+            held.update((p, old[p]) for p in missing if p in old)
+            missing = [p for p in missing if p not in held]
+        plain = [p for p in missing if p and p == p.strip()]
+        odd = [p for p in missing if not p or p != p.strip()]
+        held.update(zip(plain, self._joined(plain), strict=True))
+        held.update(zip(odd, self._library([" " + p for p in odd]), strict=True))
         return [held[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
