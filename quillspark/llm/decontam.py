@@ -13,6 +13,7 @@ A document is contaminated by an item if its consistent occurrences cover
 
 from __future__ import annotations
 
+import array
 import re
 
 import numpy as np
@@ -46,11 +47,12 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.hashes, self.kinds, self.ends = [0], [MARK], [1]
+        self.hashes, self.kinds, self.ends = array.array("Q", [0]), array.array("b", [MARK]), array.array("b", [1])
         self["\0"] = 0
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8), np.array(self.ends, np.int8)
+        """Hash, kind and whether a sentence ends, by number of the word."""
+        return np.array(self.hashes), np.array(self.kinds), np.array(self.ends)
 
     def __missing__(self, w: str) -> int:
         bare = w.strip(_TRIM)
