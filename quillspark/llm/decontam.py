@@ -2,13 +2,18 @@
 
 A text becomes a template: numbers, names and units turn into the placeholders
 ``<num>``, ``<name>`` and ``<unit>``; other words are lower-cased and lose the
-punctuation around them. Windows of ``window`` template words of the benchmark and
-of the documents meet in a hash join. Windows on one diagonal (place in the
-document less place in the item) are one occurrence; its slots are consistent if
-each value of the item maps to one value of the document and the other way
-round, so that a re-parameterised question counts and a mere look-alike does not.
-A document is contaminated by an item if its consistent occurrences cover
-``min_cover`` of the item's windows.
+punctuation around them. Windows of template words of the benchmark and of the
+documents meet in a hash join: of ``window`` words, and of ``SEED`` for items of fewer than ``SHORT`` words,
+which a few changed words would leave without longer ones. Windows of which more than half are
+placeholders are hashed by their raw words, so that these are found as they stand.
+Windows on one diagonal (place in the document less place in the item) are one
+occurrence; its slots are consistent if each value of the item maps to one value
+of the document and the other way round, so that a re-parameterised question
+counts and a mere look-alike does not. Where a value is kept in one place and
+changed in another, only the windows with the change are dropped.
+A document is contaminated by an item if its occurrences cover ``min_cover`` of
+the item's windows or, for short items, ``SHORT_COVER`` of its words and five
+at least; either of all, or of those that are not hashed by raw words.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ NUMBER = re.compile(r"[-+$€£(]*\d[\d.,:/]*[%)\w]{0,3}[.,;:!?)]*")
 MARK, NUM, NAME, UNIT = 0, 1, 2, 3
 _TRIM = "\"'()[]{}<>.,;:!?«»„“”"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+RAW = np.uint64(0x5851F42D4C957F2D)
+#: Items of fewer words are short: two changed words can spoil half of their windows of 8.
+SHORT, SEED, SHORT_COVER, LEAST_WORDS = 40, 4, 0.55, 5
 
 
 class Words(dict):
@@ -48,11 +56,12 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.hashes, self.kinds, self.ends = array.array("Q", [0]), array.array("b", [MARK]), array.array("b", [1])
+        self.raws = array.array("Q", [0])
         self["\0"] = 0
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, kind and whether a sentence ends, by number of the word."""
-        return np.array(self.hashes), np.array(self.kinds), np.array(self.ends)
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, kind, whether a sentence ends and hash of the raw word, by number of the word."""
+        return np.array(self.hashes), np.array(self.kinds), np.array(self.ends), np.array(self.raws)
 
     def __missing__(self, w: str) -> int:
         bare = w.strip(_TRIM)
@@ -65,6 +74,7 @@ class Words(dict):
         else:
             kind, text = 4, bare.lower() or w
         self.hashes.append(xxhash.xxh64_intdigest(text.encode(), 7))
+        self.raws.append(xxhash.xxh64_intdigest((bare.lower() or w).encode(), 7))
         self.kinds.append(kind)
         self.ends.append(int(w.rstrip("\"')]»”")[-1:] in tuple(".!?:") and w[-1:] != ""))
         k = self[w] = len(self.hashes) - 1
@@ -74,8 +84,8 @@ class Words(dict):
 _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(t, 7)) for t in (b"<name>", b"<unit>"))
 
 
-def template(text: str, vocabulary: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Raw words, template hashes and whether each is a slot."""
+def template(text: str, vocabulary: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Raw words, template hashes, whether each is a slot, and raw hashes."""
     words = text.replace("\n", " \0 ").split()
     if len(vocabulary) > vocabulary.most:
         vocabulary.reset()
@@ -83,7 +93,7 @@ def template(text: str, vocabulary: Words) -> tuple[list[str], np.ndarray, np.nd
     return _slotted(words, *(t[ix] for t in vocabulary.tables()))
 
 
-def _slotted(words, hashes, kinds, ends):
+def _slotted(words, hashes, kinds, ends, raws):
     start = np.ones(len(kinds), dtype=bool)
     start[1:] = ends[:-1] == 1
     before = np.zeros(len(kinds), dtype=np.int8)
@@ -92,19 +102,27 @@ def _slotted(words, hashes, kinds, ends):
     hashes = np.where(name, _NAME, np.where(unit, _UNIT, hashes))
     real = kinds != MARK
     slot = (name | unit | (kinds == NUM))[real]
-    return ([w for w, r in zip(words, real.tolist(), strict=True) if r] if not real.all() else words), hashes[real], slot
+    return ([w for w, r in zip(words, real.tolist(), strict=True) if r] if not real.all() else words), hashes[real], slot, raws[real]
 
 
-def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hashes of all windows, and which have more words than slots to tell them by."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+def _rolled(hashes: np.ndarray, n: int, size: int) -> np.ndarray:
     out = np.full(n, size, dtype=np.uint64)
     for k in range(size):
         out = out * PRIME + hashes[k : k + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def windows(hashes: np.ndarray, slot: np.ndarray, raws: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes of all windows, and which have more words than slots to tell them by; the others go by raw words."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    out = _rolled(hashes, n, size)
     sums = np.concatenate([[0], np.cumsum(slot)])
-    return out ^ (out >> np.uint64(29)), (sums[size:] - sums[:n]) * 2 <= size
+    telling = (sums[size:] - sums[:n]) * 2 <= size
+    if not telling.all():
+        out = np.where(telling, out, _rolled(raws, n, size) ^ RAW)
+    return out, telling
 
 
 def _slots(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
@@ -112,9 +130,11 @@ def _slots(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def item_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataFrame:
-    """(item_id, n, size, at, h, slots) of every window; an item of ``least`` to ``window`` words is one window.
+    """(item_id, n, n_told, n_words, told_words, size, at, told, h, slots) of every window.
 
-    Items below ``least`` words, nulls among them, cannot be told from chance and give none.
+    An item of ``least`` to ``window`` words is one window. n windows cover n_words words; n_told of them, which
+    are not hashed by raw words, cover told_words. Items below ``least`` words, nulls among
+    them, cannot be told from chance and give none.
     """
 
     def run(batches):
@@ -122,18 +142,22 @@ def item_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataF
         for b in batches:
             out = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words, hashes, slot = template(text or "", vocabulary)
+                words, hashes, slot, raws = template(text or "", vocabulary)
                 if len(words) < least:
                     continue
-                size = min(window, len(words))
-                h, telling = windows(hashes, slot, size)
-                n = int(telling.sum())
-                out += [(item, n, size, int(k), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in np.nonzero(telling)[0]]
+                size = len(words) if len(words) <= window else SEED if len(words) < SHORT else window
+                h, telling = windows(hashes, slot, raws, size)
+                covered = np.zeros(len(words), dtype=bool)
+                for k in np.nonzero(telling)[0]:
+                    covered[k : k + size] = True
+                of = (item, int(telling.sum()), int(telling.sum()), int(covered.sum()), int(covered.sum()), size)
+                out += [(*of, k, bool(telling[k]), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in np.nonzero(telling)[0]]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["item_id", "n", "size", "at", "h", "slots"])
+                kinds = [pa.int64(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
+                names = ["item_id", "n", "n_told", "n_words", "told_words", "size", "at", "told", "h", "slots"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "item_id long, n long, size int, at int, h long, slots array<string>"
+    schema = "item_id long, n long, n_told long, n_words long, told_words long, size int, at int, told boolean, h long, slots array<string>"
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -172,10 +196,10 @@ def contaminated(
                 for doc, row, ix, words in zip(ids, range(len(ids)), numbers, raw, strict=True):
                     if not len(ix):
                         continue
-                    words, hashes, slot = _slotted(words, *(t[ix] for t in tables))
+                    words, hashes, slot, raws = _slotted(words, *(t[ix] for t in tables))
                     key = xxhash.xxh64_intdigest((texts[row] or "").encode()) >> 1
                     for size in sizes:
-                        h, telling = windows(hashes, slot, size)
+                        h, telling = windows(hashes, slot, raws, size)
                         hit = np.nonzero(telling & bits[(h & np.uint64(mask)).astype(np.int64)])[0]
                         out += [(doc, key, size, int(k), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in hit]
                 if out:
@@ -187,16 +211,27 @@ def contaminated(
     right = F.broadcast(items) if items.limit(broadcast_rows + 1).count() <= broadcast_rows else items
     met = mine.join(right, ["h", "size"])
     # one occurrence: the windows of a diagonal; repeated rows fall together in the sets
-    pairs = F.arrays_zip("slots", "found")
-    on_line = met.groupBy("doc_id", "key", "item_id", "n", (F.col("pos") - F.col("at")).alias("line")).agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("p")
-    )
-    one_to_one = (F.size(F.array_distinct(F.col("p.slots"))) == F.size("p")) & (F.size(F.array_distinct(F.col("p.found"))) == F.size("p"))
-    sound = on_line.filter((F.size("p") == 0) | one_to_one)
-    whole = sound.groupBy("doc_id", "key", "item_id", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("k"), F.max(F.size("p")).alias("n_slots")
-    )
-    hits = whole.filter(F.col("k") >= F.col("n") * min_cover)
+    item = ["doc_id", "key", "item_id", "n", "n_told", "n_words", "told_words", "size"]
+    pairs = F.array_distinct(F.arrays_zip("slots", "found"))
+    on_line = met.groupBy(*item, (F.col("pos") - F.col("at")).alias("line")).agg(F.collect_set(F.struct("at", "told", pairs.alias("p"))).alias("w"))
+    on_line = on_line.withColumn("p", F.array_distinct(F.flatten("w.p")))
+    against = lambda x, y: ((x["slots"] == y["slots"]) & (x["found"] != y["found"])) | ((x["slots"] != y["slots"]) & (x["found"] == y["found"]))
+    same = lambda x: x["slots"] == x["found"]
+    # values that are changed against others; where none of those is kept as it stands, the occurrence is a look-alike
+    bad = F.filter("p", lambda x: ~same(x) & F.exists("p", lambda y: against(x, y)))
+    unlike = F.exists("bad", lambda x: ~F.exists("p", lambda y: same(y) & against(x, y)))
+    sound = on_line.withColumn("bad", bad).filter(~unlike)
+    kept = sound.withColumn("w", F.filter("w", lambda v: F.size(F.array_intersect(v["p"], F.col("bad"))) == 0))
+    whole = kept.groupBy(*item).agg(F.flatten(F.collect_list("w")).alias("w"), F.max(F.size(F.array_except("p", "bad"))).alias("n_slots"))
+    words = lambda w: F.size(F.array_distinct(F.flatten(F.transform(w, lambda v: F.sequence(v["at"], v["at"] + F.col("size") - 1)))))
+    ats = lambda w: F.size(F.array_distinct(F.transform(w, lambda v: v["at"])))
+    told = F.filter("w", lambda v: v["told"])
+    counted = whole.select(*item, "n_slots", ats(F.col("w")).alias("k"), ats(told).alias("k_told"), words(F.col("w")).alias("c"), words(told).alias("c_told"))
+    by_words = (F.col("n_words") > window) & (F.col("n_words") < SHORT)
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    cover = F.when(by_words, F.greatest(share("c", "n_words"), share("c_told", "told_words"))).otherwise(F.greatest(share("k", "n"), share("k_told", "n_told")))
+    enough = F.when(by_words, (F.col("cover") >= SHORT_COVER) & (F.col("c") >= LEAST_WORDS)).otherwise(F.col("cover") >= min_cover)
+    hits = counted.withColumn("cover", cover).filter(enough)
     return hits.groupBy("doc_id", "item_id").agg(
-        F.max("k").cast("long").alias("n_found"), F.max("n").alias("n_windows"), F.max(F.col("k") / F.col("n")).alias("cover"), F.max("n_slots").cast("long").alias("n_slots")
+        F.max("k").cast("long").alias("n_found"), F.max("n").alias("n_windows"), F.max("cover").alias("cover"), F.max("n_slots").cast("long").alias("n_slots")
     )
