@@ -150,8 +150,8 @@ def item_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataF
                 covered = np.zeros(len(words), dtype=bool)
                 for k in np.nonzero(telling)[0]:
                     covered[k : k + size] = True
-                of = (item, int(telling.sum()), int(telling.sum()), int(covered.sum()), int(covered.sum()), size)
-                out += [(*of, k, bool(telling[k]), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in np.nonzero(telling)[0]]
+                of = (item, len(h), int(telling.sum()), len(words), int(covered.sum()), size)
+                out += [(*of, k, bool(telling[k]), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in range(len(h))]
             if out:
                 kinds = [pa.int64(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
                 names = ["item_id", "n", "n_told", "n_words", "told_words", "size", "at", "told", "h", "slots"]
@@ -199,8 +199,8 @@ def contaminated(
                     words, hashes, slot, raws = _slotted(words, *(t[ix] for t in tables))
                     key = xxhash.xxh64_intdigest((texts[row] or "").encode()) >> 1
                     for size in sizes:
-                        h, telling = windows(hashes, slot, raws, size)
-                        hit = np.nonzero(telling & bits[(h & np.uint64(mask)).astype(np.int64)])[0]
+                        h, _ = windows(hashes, slot, raws, size)
+                        hit = np.nonzero(bits[(h & np.uint64(mask)).astype(np.int64)])[0]
                         out += [(doc, key, size, int(k), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in hit]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]

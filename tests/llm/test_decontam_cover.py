@@ -27,3 +27,9 @@ def test_changed_words_in_short_items(spark):
 def test_one_of_two_mentions_differs(spark):
     item = "we heard that old Bob sold 3 pens to his friend in the market before young Bob took 5 cups from the wooden shelf there"
     assert found(spark, [item.replace("young Bob", "young Al"), item.replace("Bob", "Al"), "nothing of it"], [item]) == {(0, 0), (1, 0)}
+
+
+def test_slot_dense_items(spark):
+    items = ["War And Peace Was Written By Leo Tolstoy In 1869", "3 14 15 92 65 35 89 79 32 38", "what Is The Title"]
+    docs = [f"he said that {items[0]} and left", f"digits {items[1]} follow", "digits 2 71 82 81 82 84 59 4 52 35 follow", "he said that Our Own Dear Aunt Was Kissed By Ann Lee In 1870 and left"]
+    assert found(spark, docs, items) == {(0, 0), (1, 1)}
