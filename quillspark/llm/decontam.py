@@ -161,10 +161,10 @@ def item_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataF
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def contaminated(
+def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, min_cover: float = 0.5, broadcast_rows: int = 200_000, sieve_bits: int = 22
 ) -> DataFrame:
-    """(doc_id, item_id, n_found, n_windows, cover, n_slots) for each contaminated document and item.
+    """(doc_id, key, item_id, n_found, n_windows, cover, n_slots) for each contaminated text and item; key is its XXH64.
 
     Whole texts are read. Before the join a bit sieve of fixed size (2 **
     ``sieve_bits`` bits of the items' hashes) drops windows that no item has.
@@ -187,7 +187,7 @@ def contaminated(
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 out = []
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                ids, keys, texts = (part.column(c).to_pylist() for c in range(3))
                 if len(vocabulary) > vocabulary.most:
                     vocabulary.reset()
                 raw = [(t or "").replace("\n", " \0 ").split() for t in texts]
@@ -197,17 +197,16 @@ def contaminated(
                     if not len(ix):
                         continue
                     words, hashes, slot, raws = _slotted(words, *(t[ix] for t in tables))
-                    key = xxhash.xxh64_intdigest((texts[row] or "").encode()) >> 1
                     for size in sizes:
                         h, _ = windows(hashes, slot, raws, size)
                         hit = np.nonzero(bits[(h & np.uint64(mask)).astype(np.int64)])[0]
-                        out += [(doc, key, size, int(k), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in hit]
+                        out += [(doc, keys[row], size, int(k), int(h[k].view(np.int64)), _slots(words, slot, k, size)) for k in hit]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "key", "size", "pos", "h", "found"])
 
     schema = "doc_id long, key long, size int, pos int, h long, found array<string>"
-    mine = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    mine = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
     right = F.broadcast(items) if items.limit(broadcast_rows + 1).count() <= broadcast_rows else items
     met = mine.join(right, ["h", "size"])
     # one occurrence: the windows of a diagonal; repeated rows fall together in the sets
@@ -232,6 +231,10 @@ def contaminated(
     cover = F.when(by_words, F.greatest(share("c", "n_words"), share("c_told", "told_words"))).otherwise(F.greatest(share("k", "n"), share("k_told", "n_told")))
     enough = F.when(by_words, (F.col("cover") >= SHORT_COVER) & (F.col("c") >= LEAST_WORDS)).otherwise(F.col("cover") >= min_cover)
     hits = counted.withColumn("cover", cover).filter(enough)
-    return hits.groupBy("doc_id", "item_id").agg(
-        F.max("k").cast("long").alias("n_found"), F.max("n").alias("n_windows"), F.max("cover").alias("cover"), F.max("n_slots").cast("long").alias("n_slots")
-    )
+    return hits.select("doc_id", "key", "item_id", F.col("k").cast("long").alias("n_found"), F.col("n").alias("n_windows"), "cover", F.col("n_slots").cast("long").alias("n_slots"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *args, **kwargs) -> DataFrame:
+    """``contaminated_texts`` by doc_id: (doc_id, item_id, n_found, n_windows, cover, n_slots)."""
+    hits = contaminated_texts(docs, benchmark, *args, **kwargs)
+    return hits.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("n_found", "n_windows", "cover", "n_slots")))
