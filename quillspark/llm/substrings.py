@@ -16,7 +16,6 @@ prefixes. Adjacent suffixes with ``size`` bytes in common are the repeats.
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
@@ -25,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.skew import heavy_keys, skew_join
 from quillspark.session import ship, written
 
 ship(__name__)
@@ -233,7 +233,8 @@ def group_repeats(groups: list[list[tuple[bytes, int]]], size: int) -> list[list
     return out
 
 
-_SEGMENTS = "id long, h int, start array<int>, length array<smallint>, place array<smallint>, m array<long>, c array<long>"
+_SEGMENTS = "k1 long, k2 long, start array<int>, length array<smallint>, place array<smallint>, m array<long>, c array<long>"
+KEY, SAME = ["k1", "k2"], ["m", "c"]
 
 
 def _cut(docs: DataFrame, size: int) -> DataFrame:
@@ -241,7 +242,7 @@ def _cut(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for id_, h, text in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            for k1, k2, text in zip(*[x.to_pylist() for x in b.columns], strict=True):
                 raw = (text or "").encode()
                 for s, e, p, a in text_segments(raw, size):
                     ends = (e + size).tolist()
@@ -250,10 +251,10 @@ def _cut(docs: DataFrame, size: int) -> DataFrame:
                         z = slice(k, k + 20_000)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([id_], pa.int64()), pa.array([h], pa.int32()), pa.array([s[z].astype(np.int32)]), pa.array([(e + size - s)[z].astype(np.int16)]),
+                                pa.array([k1], pa.int64()), pa.array([k2], pa.int64()), pa.array([s[z].astype(np.int32)]), pa.array([(e + size - s)[z].astype(np.int16)]),
                                 pa.array([(p - s)[z].astype(np.int16)]), pa.array([a[z].view(np.int64)]), pa.array([np.array(c[z], np.uint64).view(np.int64)]),
                             ],
-                            ["id", "h", "start", "length", "place", "m", "c"],
+                            ["k1", "k2", "start", "length", "place", "m", "c"],
                         )
 
     return docs.mapInArrow(run, _SEGMENTS)
@@ -288,18 +289,18 @@ def _bytes_by_sieve(docs: DataFrame, wanted: DataFrame, size: int, bits: int) ->
     return docs.select("text").mapInArrow(run, "m long, c long, place int, raw binary")
 
 
-def _bytes_by_join(docs: DataFrame, cut: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bytes_by_join(docs: DataFrame, cut: DataFrame, wanted: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """The same for any number of anchors: one owner of each wanted segment is joined to its text."""
-    flat = _flat(cut).join(wanted.select("m", "c"), ["m", "c"])
-    owner = flat.groupBy("m", "c").agg(F.min(F.struct("id", "h", "start", "length", "place")).alias("o")).select("m", "c", "o.*")
-    asked = owner.groupBy("id", "h").agg(F.collect_list(F.struct("m", "c", "start", "length", "place")).alias("asked"))
-    met = docs.dropDuplicates(["id", "h"]).join(asked, ["id", "h"]).select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), F.explode("asked").alias("a"))
+    flat = skew_join(_flat(cut), wanted.select(*SAME), SAME, heavy)
+    owner = flat.groupBy(*SAME).agg(F.min(F.struct(*KEY, "start", "length", "place")).alias("o")).select(*SAME, "o.*")
+    asked = owner.groupBy(*KEY).agg(F.collect_list(F.struct(*SAME, "start", "length", "place")).alias("asked"))
+    met = docs.dropDuplicates(KEY).join(asked, KEY).select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), F.explode("asked").alias("a"))
     return met.select("a.m", "a.c", F.col("a.place").cast("int").alias("place"), F.expr("substring(raw, a.start + 1, a.length)").alias("raw"))
 
 
 def _flat(cut: DataFrame) -> DataFrame:
-    zipped = cut.select("id", "h", F.explode(F.arrays_zip("start", "length", "place", "m", "c")).alias("s"))
-    return zipped.select("id", "h", "s.start", "s.length", "s.place", "s.m", "s.c")
+    zipped = cut.select(*KEY, F.explode(F.arrays_zip("start", "length", "place", "m", "c")).alias("s"))
+    return zipped.select(*KEY, "s.start", "s.length", "s.place", "s.m", "s.c")
 
 
 def _columns(contested: DataFrame, size: int, batch_bytes: int) -> DataFrame:
@@ -329,19 +330,60 @@ def _columns(contested: DataFrame, size: int, batch_bytes: int) -> DataFrame:
     return dealt.mapInArrow(run, "m long, c long, lo int, hi int")
 
 
-def _windows(contested: DataFrame, size: int) -> DataFrame:
-    """The same for groups of any size: every string's 128-bit digest is counted over all tasks."""
+def parted(raw: bytes, place: int, size: int, width: int, span: int):
+    """(place in ``raw``, anchor, place of the anchor, bytes) of the parts of a segment whose strings start 0 to width - 1 bytes before ``place``.
+
+    Each part has the strings of ``span`` neighbouring starts; what they all have in common is its anchor, of
+    size - span + 1 bytes or more. Equal strings of two segments of one anchor lie in parts of one anchor.
+    """
+    for k in range(0, width, span):
+        far = min(k + span, width) - 1
+        first, last = max(0, place - far), min(len(raw) - size, place - k)
+        if first <= last:
+            anchor = b"%d " % k + raw[place - k : place - far + size]
+            yield first, xxhash.xxh3_64_intdigest(anchor, 11), place - k - first, raw[first : last + size]
+
+
+def _group_runs(contested: DataFrame, size: int, width: int, most: int, batch_bytes: int) -> DataFrame:
+    """(m, c, lo, hi) of the repeated run of each contested segment (m, c, place, raw, k), k being the size of its group.
+
+    Groups of more than ``most`` segments are parted by longer anchors, and the parts are segments of groups of their own: equal
+    ones are found by digests, others by columns, and what is still too large is parted again, down to single strings.
+    """
+    found = _columns(contested.filter(F.col("k") <= most), size, batch_bytes)
+    large, span = contested.filter(F.col("k") > most), -(-width // 8)
+    if width == 1 or large.isEmpty():
+        return found
 
     def run(batches):
         for b in batches:
-            for m, c, raw in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                n = len(raw) - size + 1
-                digests = [hashlib.blake2b(raw[k : k + size], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([m] * n), pa.array([c] * n), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["m", "c", "lo", "d"])
-
-    each = contested.select("m", "c", "raw").mapInArrow(run, "m long, c long, lo int, d binary")
-    twice = each.groupBy("m", "d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "d")
-    return each.join(twice, ["m", "d"]).select("m", "c", "lo", (F.col("lo") + size).alias("hi"))
+            out = []
+            for m, c, place, raw in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                out += [(m, c, at, m2, xxhash.xxh3_64_intdigest(part), p, part) for at, m2, p, part in parted(raw, place, size, width, span)]
+            if out:
+                m, c, at, m2, c2, p, part = zip(*out, strict=True)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                columns = [pa.array(m, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), signed(m2), signed(c2), pa.array(p, pa.int32()), pa.array(part, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["m", "c", "at", "m2", "c2", "place", "raw"])
+
+    parts = written(large.select("m", "c", "place", "raw").mapInArrow(run, "m long, c long, at int, m2 long, c2 long, place int, raw binary"), "repeat-parts")
+    each = written(parts.groupBy("m2", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("place").alias("place"), F.first("raw").alias("raw")), "repeat-parts-once")
+    whole = each.filter("n > 1").select(F.col("m2").alias("m"), F.col("c2").alias("c"), F.lit(0).alias("lo"), F.length("raw").alias("hi"))
+    if span > 1:
+        sizes = written(each.groupBy("m2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-part-groups")
+        heavy = heavy_keys(sizes, ["m2"], each.count())
+        again = skew_join(each.drop("n"), sizes.withColumnRenamed("n", "k"), ["m2"], heavy)
+        again = written(again.select(F.col("m2").alias("m"), F.col("c2").alias("c"), "place", "raw", "k"), "repeat-parts-contested")
+        whole = whole.unionByName(_group_runs(again, size, span, most, batch_bytes))
+    marks = _one_run(whole).select(F.col("m").alias("m2"), F.col("c").alias("c2"), "lo", "hi")
+    heavy = heavy_keys(each.select("m2", "c2", "n"), ["m2", "c2"], parts.count())
+    met = skew_join(parts.select("m", "c", "at", "m2", "c2"), marks, ["m2", "c2"], heavy)
+    return found.unionByName(met.select("m", "c", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
+
+
+def _one_run(runs: DataFrame) -> DataFrame:
+    """The runs of a segment as one: all strings of a segment hold its anchor, so their union has no gap."""
+    return runs.groupBy(*SAME).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, most_in_group: int = 4096, batch_bytes: int = 400_000, sieve_bits: int = 26, sieve_anchors: int = 4_000_000) -> DataFrame:
@@ -349,34 +391,34 @@ def remove_repeats(docs: DataFrame, size: int = 200, most_in_group: int = 4096,
 
     Overlapping occurrences count, texts are judged as they came in, and matches
     never cross documents. A null text is empty; texts below ``size`` bytes stay
-    whole; rows repeated with the same id and text repeat each other; null ids are
-    allowed; an empty table gives an empty result. Groups of more than
-    ``most_in_group`` different segments are counted string by string over all
-    tasks; beyond ``sieve_anchors`` contested anchors the bytes come by a join.
+    whole; texts may be of any length; rows are told apart by 128 bits of doc_id and text; rows repeated with the same id and text repeat each other; null ids are
+    allowed; other columns are not read, so their names cannot clash; an empty table gives an empty result. Groups of more than
+    ``most_in_group`` different segments are parted by longer anchors; beyond ``sieve_anchors`` contested anchors the bytes come by a join.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("h"), "doc_id", "text"
-    )
-    cut = written(_cut(keyed.select("id", "h", "text"), size), "repeat-segments")
-    counts = written(_flat(cut).groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length")), "repeat-counts")
-    groups = counts.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    wanted = written(counts.join(groups, "m").select("m", "c", "k"), "repeat-wanted")
-    whole = counts.filter("n > 1").select("m", "c", F.lit(0).alias("lo"), F.col("length").cast("int").alias("hi"))
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.select(id_.alias("doc_id"), "text", F.xxhash64(id_, "text").alias("k1"), F.xxhash64(F.lit(1), "text", id_).alias("k2"))
+    cut = written(_cut(keyed.select(*KEY, "text"), size), "repeat-segments")
+    counts = written(_flat(cut).groupBy(*SAME).agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length")), "repeat-counts")
+    heavy = heavy_keys(counts, SAME, counts.agg(F.sum("n")).first()[0] or 0)
+    groups = written(counts.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-groups")
+    crowded = heavy_keys(groups, ["m"], counts.count())
+    wanted = written(skew_join(counts.select(*SAME), groups.withColumnRenamed("n", "k"), ["m"], crowded).select(*SAME, "k"), "repeat-wanted")
+    whole = counts.filter("n > 1").select(*SAME, F.lit(0).alias("lo"), F.col("length").cast("int").alias("hi"))
     if wanted.select("m").limit(sieve_anchors + 1).count() <= sieve_anchors:
         found = _bytes_by_sieve(keyed, wanted, size, sieve_bits)
     else:
-        found = _bytes_by_join(keyed, cut, wanted)
-    once = found.groupBy("m", "c").agg(F.first("place").alias("place"), F.first("raw").alias("raw"))
-    contested = written(once.join(wanted, ["m", "c"]), "repeat-contested")
-    runs = written(_columns(contested.filter(F.col("k") <= most_in_group), size, batch_bytes), "repeat-runs")
-    large = contested.filter(F.col("k") > most_in_group)
-    marks = whole.unionByName(runs).unionByName(_windows(large, size))
-    marks = marks.groupBy("m", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+        found = _bytes_by_join(keyed, cut, wanted, heavy)
+    once = found.groupBy(*SAME).agg(F.first("place").alias("place"), F.first("raw").alias("raw"))
+    contested = written(once.join(wanted, SAME), "repeat-contested")
+    runs = _group_runs(contested, size, size - SEED + 1, most_in_group, batch_bytes)
+    marks = written(_one_run(whole.unionByName(runs)), "repeat-runs")
+    # copies of one row have the same spans, which a set holds once
     spans = (
-        _flat(cut).select("id", "h", "start", "m", "c").join(marks, ["m", "c"])
-        .select("id", "h", F.transform("runs", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"]).alias("hi"))).alias("s"))
-        .groupBy("id", "h").agg(F.flatten(F.collect_list("s")).alias("spans"))
+        skew_join(_flat(cut).select(*KEY, "start", *SAME), marks, SAME, heavy)
+        .groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
     )
+    copies = cut.filter(F.get("start", F.lit(0)) == 0).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    copied = heavy_keys(copies, KEY, cut.count())
 
     def strip(batches):
         for b in batches:
@@ -394,5 +436,8 @@ def remove_repeats(docs: DataFrame, size: int = 200, most_in_group: int = 4096,
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = keyed.join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
+    # short texts have no segments: they are dealt out evenly, as many of them may be alike
+    short = F.octet_length(F.coalesce("text", F.lit(""))) < size
+    dealt = keyed.select("doc_id", "text", F.when(short, F.monotonically_increasing_id()).otherwise(F.col("k1")).alias("k1"), F.when(short, F.lit(-1)).otherwise(F.col("k2")).alias("k2"))
+    joined = skew_join(dealt, spans, KEY, copied, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(strip, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -189,6 +189,39 @@ def test_repeated_strings(spark, how):
     assert sorted(((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans, r.n_bytes) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def hash32_twins(spark, n=200_000):
+    """Two numbers that Spark's 32-bit hash of the text around them does not tell apart."""
+    body = F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("lorem ipsum dolor "), 20))
+    found = spark.range(n).select("id", F.hash(body).alias("h")).groupBy("h").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    return sorted(found.first().ids)[:2]
+
+
+def test_repeats_of_rows_with_equal_short_hashes(spark):
+    a, b = (f"t{k} " + "lorem ipsum dolor " * 20 for k in hash32_twins(spark))
+    apart = "".join(chr(33 + k * k * 7 % 90) + str(k) for k in range(150))
+    rows = [(None, a, "en", "a"), (None, b, "en", "a"), (None, apart, "en", "a"), (-(2**63), apart[:150], "en", "a"), (None, None, "en", "a")]
+    got = substrings.remove_repeats(docs(spark, rows), size=200).collect()
+    want = [(i, *x) for (i, _, _, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t, _, _ in rows], 200), strict=True)]
+    assert sorted(((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_crowded_groups_are_parted(spark, monkeypatch):
+    """Passages in very many contexts, and copies of one row, with every heavy key broadcast."""
+    from quillspark.llm import skew
+
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghij klmnopqrst") for _ in range(n))
+    passage, line = noise(230), noise(190)
+    rows = [(k, noise(rnd.randint(0, 250)) + (passage, line, passage[: rnd.randint(150, 229)])[k % 3] + noise(rnd.randint(0, 250)), "en", "a") for k in range(90)]
+    rows += [(7, passage + noise(40), "en", "a")] * 1 + [(None, line + passage, "en", "a")] * 30
+    heavy = skew.heavy_keys
+    monkeypatch.setattr(substrings, "heavy_keys", lambda c, k, n, **_: heavy(c, k, n, 10, 2))
+    want = sorted(((i, *x) for (i, _, _, _), x in zip(rows, brute_repeats([t.encode() for _, t, _, _ in rows], 200), strict=True)), key=repr)
+    for most in (2, 20):
+        got = substrings.remove_repeats(docs(spark, rows), size=200, most_in_group=most).collect()
+        assert sorted(((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in got), key=repr) == want
+
+
 def test_long_texts_are_cut_in_pieces():
     rnd = random.Random(4)
     raw = bytes(rnd.choice(b"abcd ") for _ in range(5000))
