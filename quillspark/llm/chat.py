@@ -2,8 +2,9 @@
 
 A conversation is a log of events: ``message`` opens a message of a turn,
 ``delta`` appends to it, ``edit`` replaces its text, ``regenerate`` empties it for
-the deltas that follow. The log is partitioned by conversation, sorted by
-sequence and folded in one streaming pass that holds one message at a time. A
+the deltas that follow. The log is partitioned by conversation and turn, sorted by
+sequence and folded in one streaming pass that holds one message at a time: events of
+different turns never touch each other, so a long conversation is folded by many tasks. A
 message renders as
 
     ### <role>:\\n<text></turn>\\n
@@ -19,6 +20,7 @@ import hashlib
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,28 @@ def fold(events):
         yield at[0], role, "".join(parts)
 
 
+def streamed_log(messages: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, text) as the log of a server that streamed them, written to the shared folder.
+
+    Every text starts as a draft; it is then either edited and regenerated, and streamed in three deltas, or regenerated,
+    edited to its first third and continued by two deltas. ``seq`` is one sequence over all conversations,
+    in the order of conv_id, turn (nulls first), role and text; on disk the events lie in no order.
+    """
+    order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
+    plain = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ranked = plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    third = F.ceil(F.length("text") / 3).cast("int")
+    piece = [F.substring("text", third * k + 1, third) for k in range(3)]
+    draft, wrong = F.concat(F.lit("a draft: "), F.reverse(F.substring("text", 1, 16))), F.lit("not this")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none, rest = F.lit(None), [event("delta", p) for p in piece[1:]]
+    again = F.array(event("message", draft), event("delta", wrong), event("edit", wrong), event("regenerate", none), event("delta", piece[0]), *rest)
+    edited = F.array(event("message", draft), event("regenerate", none), event("delta", wrong), event("edit", piece[0]), *rest)
+    log = ranked.select("conv_id", "turn", "role", "at", F.posexplode(F.when(F.col("at") % 2 == 0, again).otherwise(edited)).alias("k", "e"))
+    events = log.select("conv_id", "turn", (F.col("at") * 8 + F.col("k")).alias("seq"), "e.kind", "role", "e.text")
+    return written(events.repartition(F.xxhash64("seq")).sortWithinPartitions(F.xxhash64("seq")), "chat-log")
+
+
 def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Rendered messages of ``events`` (conv_id, turn, seq, kind, role, text), written to the shared folder.
 
@@ -88,7 +112,8 @@ def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
     messages of a conversation, the span is in code points and null for messages
     outside the loss. Null texts and roles are empty; null ids and turns sort
     first and null ids make one conversation; equal turns keep the order of seq,
-    role and text, so repeated rows are messages of their own.
+    role and text, so repeated rows are messages of their own. A text may be of any length; memory is bounded by the
+    longest message. Other columns are not read, so their names cannot clash. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -96,9 +121,9 @@ def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
             for b in batches:
                 yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
 
-        held, conv, pos = [], object(), 0
+        held, pos = [], TaskContext.get().partitionId() << 40  # the ranges of the partitions are in order
         for c, role, text in fold(rows()):
-            conv, pos = (c, 0) if c != conv else (conv, pos + 1)
+            pos += 1
             whole, a, b = render(role, text)
             lost = role in loss_roles
             held.append((c, pos, whole, a if lost else None, b if lost else None))
@@ -108,8 +133,9 @@ def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
         if held:
             yield _batch(held)
 
-    order = ["conv_id", F.asc_nulls_first("turn"), F.asc_nulls_first("seq"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
-    dealt = events.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "kind", "role", "text")
+    turn = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn")]
+    order = [*turn, F.asc_nulls_first("seq"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    dealt = events.repartitionByRange(*turn).sortWithinPartitions(*order).select("conv_id", "turn", "kind", "role", "text")
     return written(dealt.mapInArrow(run, _SCHEMA), "chats")
 
 
@@ -123,7 +149,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """Digests of every conversation, parsed from its rendered messages in one streaming pass."""
+    """Digests of every conversation, parsed from its rendered messages in one streaming pass; none for an empty table.
+
+    A digest reads its conversation from start to end, so one task has one conversation, of which it holds one message. Null ids are
+    one conversation; repeated rows count each; other columns are not read.
+    """
 
     def run(batches):
         state, out = None, []

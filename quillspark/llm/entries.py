@@ -33,7 +33,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages")))
-    return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("quarantined:"), "path", "offset", "gap_end", "reason"))
+    return found.withColumn("kind", F.when(F.col("kind") == "record", F.col("kind")).otherwise(lost)).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +71,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
     )
-    events = rows.unionByName(fixed).withColumn("kind", F.lit("message")).withColumn("seq", F.lit(0).cast("long"))
-    return chat.read_chats(chat.format_chats(events))
+    return chat.read_chats(chat.format_chats(chat.streamed_log(rows.unionByName(fixed))))
 
 
 def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +192,9 @@ WITH events AS (
          replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS who FROM events
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(4 + length(who) + 2 + length(esc) + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """

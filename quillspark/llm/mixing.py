@@ -2,12 +2,12 @@
 
 The documents of a source, in a pseudorandom but fixed order, make one stream
 of words that is packed into blocks of ``block_words``. Output shards draw
-multinomial counts of slots for each source; a slot's ordinal within its source
+multinomial counts of slots for each source, which decide what a shard holds: the counts are
+scaled to each source's quota, and a source's slots are numbered shard after shard. A slot's ordinal within its source
 goes through that source's pseudorandom permutation of block indexes, one
 permutation for each epoch, and slots meet blocks in a join by index. The short
 last block of a source has the last ordinal of each epoch, so a source's slots
-add up to its target to the word: a last slot is cut where the target ends, and
-surplus draws are handed to the sources that were drawn too seldom.
+add up to its target to the word: a last slot is cut where the target ends.
 """
 
 from __future__ import annotations
@@ -66,35 +66,49 @@ def _alias(p: list[float]) -> tuple[list[float], list[int]]:
     return scaled, alias
 
 
-def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) -> DataFrame:
-    """(s, ordinal) of every slot: multinomial draws by shard, trued up to each source's quota."""
-    quota = [p["quota"] for p in plan]
+def _draws(spark: SparkSession, quota: list[int], shard_slots: int, seed: int) -> DataFrame:
+    """(__s, shard, n): how many of its ``shard_slots`` slots each output shard draws for each source."""
     total = sum(quota)
     prob, alias = _alias([q / total for q in quota])
     g = F.col("id")
     uniform = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), g), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    at = F.floor(uniform(1) * len(plan)).cast("int")
+    at = F.floor(uniform(1) * len(quota)).cast("int")
     prob_at = F.get(F.array(*map(F.lit, prob)), at)
     pick = F.when(uniform(2) < prob_at, at).otherwise(F.get(F.array(*map(F.lit, alias)), at))
-    drawn = spark.range(total).select((g / shard_slots).cast("long").alias("shard"), g, pick.alias("__s"))
-    counts = drawn.groupBy("__s", "shard").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "mix-counts")
-    before = W.partitionBy("__s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("shard", "__s").orderBy("id")) - 1
-    placed = drawn.withColumn("r", rank).join(counts.drop("n"), ["__s", "shard"]).select("__s", (F.col("base") + F.col("r")).alias("ordinal"))
-    got = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row for each source
-    quotas = small_table(spark, [(i, q) for i, q in enumerate(quota)], "__s int, quota long")
-    placed = placed.join(F.broadcast(quotas), "__s").filter("ordinal < quota").select("__s", "ordinal")
-    short = [(i, got.get(i, 0), q) for i, q in enumerate(quota) if got.get(i, 0) < q]
-    if short:
-        extra = small_table(spark, short, "__s int, a long, b long")
-        placed = placed.unionByName(extra.select("__s", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal")))
+    drawn = spark.range(total).select((g / shard_slots).cast("long").alias("shard"), pick.alias("__s"))
+    return drawn.groupBy("__s", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int, chunk: int = 4096) -> DataFrame:
+    """(__s, shard, ordinal) of every slot: each shard's drawn counts, scaled so that a source's add up to its quota.
+
+    A source that was drawn d times in all gets quota / d slots for each draw: the running sum of its draws, times that, is rounded
+    down at each shard's end, so no count is off by more than one slot and the sum is the quota. Sums run in chunks of shards.
+    """
+    quota = [p["quota"] for p in plan]
+    shards = -(-sum(quota) // shard_slots)
+    counts = written(_draws(spark, quota, shard_slots, seed).withColumn("chunk", (F.col("shard") / chunk).cast("long")), "mix-draws")
+    by_source = W.partitionBy("__s")
+    chunks = counts.groupBy("__s", "chunk").agg(F.sum("n").alias("n")).select(
+        "__s", "chunk", F.coalesce(F.sum("n").over(by_source.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_source).alias("all"),
+    )
+    inside = W.partitionBy("__s", "chunk").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
+    known = small_table(spark, list(enumerate(quota)), "__s int, quota long")
+    summed = counts.withColumn("upto", F.sum("n").over(inside)).join(chunks, ["__s", "chunk"]).join(F.broadcast(known), "__s")
+    scaled = lambda drawn: F.expr(f"cast({drawn} AS decimal(19, 0)) * cast(quota AS decimal(19, 0)) div cast(`all` AS decimal(19, 0))")
+    ends = summed.select("__s", "shard", scaled("(before + upto - n)").alias("a"), scaled("(before + upto)").alias("b")).filter("b > a")
+    placed = ends.select("__s", "shard", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal"))
+    # a source of so few slots that none was drawn is spread evenly
+    seen = {r["__s"] for r in chunks.select("__s").distinct().collect()}  # one row for each source
+    unseen = [(i, q) for i, q in enumerate(quota) if q and i not in seen]
+    if unseen:
+        even = small_table(spark, unseen, "__s int, q long").select("__s", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("ordinal"))
+        placed = placed.unionByName(even.select("__s", F.expr(f"ordinal * {shards} div q").alias("shard"), "ordinal"))
     return placed
 
 
 WEIGHTS, SHARE, MOST, BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_SOURCES, SEED = (5, 2, 1), 1.5, 2.0, 128, 4096, 4_000, 10_000, 17
-RESULTS = ("size", "source_size", "target", "taken", "text")
+RESULTS = ("size", "source_size", "target", "taken", "first_shard", "text")
 
 
 def _placed(
@@ -147,27 +161,34 @@ def _placed(
     return written(placed, "mix-placed"), sources, plan
 
 
-def _takes(placed: DataFrame, sources: DataFrame, plan: list[dict], block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """Pieces of documents in blocks, with how often the block is taken ``whole`` and how many words of it in ``part``."""
-    spark = placed.sparkSession
+def _pieces(placed: DataFrame, block_words: int, *more: str) -> DataFrame:
+    """The piece of every document in each block that it touches: words a to b of the block."""
     end = F.col("__off") + F.col("size")
     blocks = placed.filter("size > 0").select(
-        "__s", "__bin", "__rn", "__off", "size",
+        "__s", "__bin", "__rn", "__off", "size", *more,
         F.explode(F.sequence((F.col("__off") / block_words).cast("long"), ((end - 1) / block_words).cast("long"))).alias("block"),
     )
     edge = F.col("block") * block_words
-    blocks = blocks.withColumn("a", F.greatest(F.col("__off") - edge, F.lit(0))).withColumn("b", F.least(end - edge, F.lit(block_words)))
-    slots = _slots(spark, plan, shard_slots, seed).join(F.broadcast(sources.select("__s", "full", "per_epoch", "epochs", "rest")), "__s")
+    return blocks.withColumn("a", F.greatest(F.col("__off") - edge, F.lit(0))).withColumn("b", F.least(end - edge, F.lit(block_words)))
+
+
+def _slot_blocks(spark: SparkSession, sources: DataFrame, plan: list[dict], block_words: int, shard_slots: int, seed: int, draw_seed: int) -> DataFrame:
+    """(__s, shard, ordinal, block, words): the block that each slot holds and how many words of it."""
+    slots = _slots(spark, plan, shard_slots, draw_seed).join(F.broadcast(sources.select("__s", "full", "per_epoch", "epochs", "rest")), "__s")
     slots = slots.withColumn("epoch", (F.col("ordinal") / F.col("per_epoch")).cast("long")).withColumn("j", F.col("ordinal") % F.col("per_epoch"))
     key = F.xxhash64(F.lit(seed), F.lit("epoch"), "__s", "epoch")
     block = F.when(F.col("j") >= F.col("full"), F.col("j")).otherwise(permuted(F.col("j"), F.col("full"), key))
     words = F.when(F.col("epoch") < F.col("epochs"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - F.col("j") * block_words))
-    takes = (
-        slots.select("__s", block.alias("block"), words.alias("words"))
-        .groupBy("__s", "block")
-        .agg(F.sum(F.when(F.col("words") >= block_words, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("words") < block_words, F.col("words")).otherwise(0)).alias("part"))
+    return slots.select("__s", "shard", "ordinal", block.alias("block"), words.alias("words"))
+
+
+def _takes(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """Pieces of documents in blocks, with how often the block is taken ``whole``, how many words of it in ``part``, and its first shard."""
+    cut = F.col("words") < block_words
+    takes = slots.groupBy("__s", "block").agg(
+        F.sum(F.when(cut, 0).otherwise(1)).alias("whole"), F.max(F.when(cut, F.col("words")).otherwise(0)).alias("part"), F.min("shard").alias("shard")
     )
-    return blocks.join(takes, ["__s", "block"])
+    return _pieces(placed, block_words).join(takes, ["__s", "block"])
 
 
 def mix_sources(
@@ -180,24 +201,50 @@ def mix_sources(
     bin_rows: int = BIN_ROWS,
     max_sources: int = MAX_SOURCES,
     seed: int = SEED,
+    draw_seed: int = SEED,
 ) -> DataFrame:
-    """One row for each row of ``docs``: its columns but ``text``, ``size``, ``source_size``, ``target``, ``taken``.
+    """One row for each row of ``docs``: its columns but ``text``, ``size``, ``source_size``, ``target``, ``taken``, ``first_shard``.
 
     ``weights`` repeat over the sources in code-point order, null last. Sizes
-    are word counts of whole texts (null: 0). Rows without words are taken 0
+    are word counts of whole texts (null: 0). ``first_shard`` is the first output shard that has a word of the row, null if none has. Rows without words are taken 0
     times; an empty table, or one without words, gives targets of 0. Rows that
-    are repeated are rows of their own. More than ``max_sources`` sources are
+    are repeated are rows of their own, in any order among themselves; null ids sort first; texts may be of any length. More than ``max_sources`` sources are
     refused, as their table is held by the driver and broadcast. Input columns
-    with a result's name are replaced.
+    with a result's name are replaced; names that begin with two underscores are reserved.
     """
     placed, sources, plan = _placed(docs, weights, share, most, block_words, bin_rows, max_sources, seed)
     passed = [c for c in docs.columns if c not in RESULTS]
     if not sum(p["quota"] for p in plan):
-        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+    slots = _slot_blocks(docs.sparkSession, sources, plan, block_words, shard_slots, seed, draw_seed)
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", "part") - F.col("a"))
-    taken = _takes(placed, sources, plan, block_words, shard_slots, seed).groupBy("__s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"))
+    shard = F.min(F.when(got > 0, F.col("shard")))
+    taken = _takes(placed, slots, block_words).groupBy("__s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"), shard.alias("first_shard"))
     out = placed.join(taken, ["__s", "__bin", "__rn"], "left")
-    return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+
+
+def mix_shards(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+    seed: int = SEED,
+    draw_seed: int = SEED,
+) -> DataFrame:
+    """The mix by output shard: (shard, source, ordinal, doc_id, lo, hi), words lo to hi - 1 of a document in a slot of a source.
+
+    ``ordinal`` numbers the slots of a source over all shards. Nulls, ties and empty tables are as in ``mix_sources``.
+    """
+    placed, sources, plan = _placed(docs.select("doc_id", "text", "source"), weights, share, most, block_words, BIN_ROWS, MAX_SOURCES, seed)
+    if not sum(p["quota"] for p in plan):
+        return placed.select(F.lit(0).cast("long").alias("shard"), "source", F.lit(0).cast("long").alias("ordinal"), "doc_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")).limit(0)
+    slots = _slot_blocks(docs.sparkSession, sources, plan, block_words, shard_slots, seed, draw_seed)
+    met = _pieces(placed.select("__s", "__bin", "__rn", "__off", "size", "source", "doc_id"), block_words, "source", "doc_id").join(slots, ["__s", "block"])
+    at = F.col("block") * block_words - F.col("__off")
+    return met.select("shard", "source", "ordinal", "doc_id", (at + F.col("a")).alias("lo"), (at + F.least("b", "words")).alias("hi")).filter("hi > lo")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int = 2) -> DataFrame:
@@ -210,7 +257,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int
     placed, sources, plan = _placed(docs, WEIGHTS, SHARE, float(copies), block_words, BIN_ROWS, MAX_SOURCES, SEED)
     if not sum(p["quota"] for p in plan):
         return docs.limit(0)
-    takes = _takes(placed, sources, plan, block_words, SHARD_SLOTS, SEED)
+    takes = _takes(placed, _slot_blocks(docs.sparkSession, sources, plan, block_words, SHARD_SLOTS, SEED, SEED), block_words)
     at = F.col("block") * block_words - F.col("__off")  # a word's place in its document, less its place in the block
     piece = lambda k: F.struct(
         F.lit(k).alias("k"), (at + F.col("a")).alias("lo"),
