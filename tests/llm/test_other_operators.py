@@ -86,15 +86,44 @@ def test_fingerprint_links_lose_none(spark, chunk):
     assert {frozenset(g) for g in got.values()} == {frozenset(k for k in range(len(values)) if want[k] == c) for c in set(want)}
 
 
-def test_sampled_keys_find_near_pairs(spark):
-    rnd = random.Random(3)
-    text = [rnd.choice([f"w{k}" for k in range(500)]) for _ in range(400)]
-    near = list(text)
-    near[50] = near[300] = "edit"
-    other = [rnd.choice([f"w{k}" for k in range(500)]) for _ in range(400)]
-    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(other))]
-    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(frame(spark, rows), 5, 47, 4, 0.1514).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
+def test_pivots_discard_no_link():
+    rnd = np.random.default_rng(4)
+    v = np.concatenate([rnd.integers(0, 2**64, 300, dtype=np.uint64), np.uint64(2) ** rnd.integers(0, 64, 40, dtype=np.uint64)])
+    v = np.unique(np.concatenate([v, v[:150] ^ (np.uint64(1) << rnd.integers(0, 64, 150, dtype=np.uint64))])).reshape(-1, 1)
+    near = simhash.pivot_table(v, simhash.pivots(1))
+    tile = np.sort(rnd.integers(0, 3, len(v)))
+    for side in (np.full(len(v), -1), rnd.integers(0, 2, len(v))):
+        a, b = simhash.near_links(tile, side, v, near, 3)
+        linked = [(i, j) for i in range(len(v)) for j in range(i) if tile[i] == tile[j] and (side[i] < 0 or side[i] != side[j]) and int(v[i, 0] ^ v[j, 0]).bit_count() <= 3]
+        assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= {tuple(sorted(p)) for p in linked}
+        root = list(range(len(v)))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            assert find(i) != find(j)  # a forest
+            root[find(i)] = find(j)
+        assert linked and all(find(i) == find(j) for i, j in linked)
+
+
+def test_more_blocks_for_more_fingerprints():
+    assert [simhash.blocks_for(n, 3, 1) for n in (0, 1000, 250_000, 10**8, 10**10, 10**12)] == [4, 4, 4, 5, 6, 8]
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_any_number_of_blocks_gives_the_same_links(spark, blocks):
+    rnd = random.Random(7)
+    values = [rnd.getrandbits(64) for _ in range(30)]
+    values += [v ^ sum(1 << b for b in rnd.sample(range(64), k)) for v in values for k in (1, 2, 3, 4)]
+    frame_ = spark.createDataFrame([(f"{v:016x}",) for v in set(values)], "fp string")
+    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(frame_, 3, blocks=blocks, chunk=7, batch_rows=5)).collect()}
+    distinct = sorted(set(values))
+    want = brute_components([(k, "") for k in range(len(distinct))], distinct, 3)
+    groups = lambda name: {frozenset(k for k in range(len(distinct)) if name(k) == c) for c in map(name, range(len(distinct)))}
+    assert groups(lambda k: roots.get(f"{distinct[k]:016x}", f"{distinct[k]:016x}")) == groups(want.__getitem__)
 
 
 def test_chain_components(spark):
