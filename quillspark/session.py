@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import json
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_recorders: list[list[str]] = []
+_recorders: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recorders", default=())
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,20 +55,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own["dir"], True)
         base = f"file://{_own['dir']}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    for found in _recorders:
+    for found in _recorders.get():
         found.append(path)
     return path
 
 
 @contextlib.contextmanager
 def recorded_dirs() -> Iterator[list[str]]:
-    """The list that gets the paths which ``shared_dir`` names inside."""
+    """The list that gets the paths which ``shared_dir`` names inside, in this thread."""
     found: list[str] = []
-    _recorders.append(found)
+    before = _recorders.set((*_recorders.get(), found))
     try:
         yield found
     finally:
-        _recorders.pop()
+        _recorders.reset(before)
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -84,6 +85,21 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``build`` gives to the shared folder, remove the folders that building it named, and read it again."""
+    with recorded_dirs() as found:
+        out = build()
+    done = written(out, name)
+    for path in found:
+        removed(spark, path)
+    return done
+
+
+def quoted(name: str) -> str:
+    """A column's name as ``select`` takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df`` (cheap to count) has at most ``max_rows`` rows."""
     from pyspark.sql import functions as F
