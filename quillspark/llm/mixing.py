@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import WORD, let, word_count
-from quillspark.session import small_table, written
+from quillspark.session import quoted, small_table, written
 
 ROUNDS = 20
 
@@ -114,11 +114,10 @@ RESULTS = ("size", "source_size", "target", "taken", "first_shard", "text")
 def _placed(
     docs: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, bin_rows: int, max_sources: int, seed: int
 ) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Every row with its offset in the stream of its source; the table of sources; the plan of each."""
+    """Every row (doc_id, source and, if there is one, ``__row``) with its offset in the stream of its source; the table of sources; the plan of each."""
     spark = docs.sparkSession
-    passed = [c for c in docs.columns if c not in RESULTS]
     sized = docs.select(
-        *passed,
+        *(c for c in docs.columns if c != "text"),
         F.col("source").alias("__source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("__h"),
@@ -146,7 +145,7 @@ def _placed(
     known = sized.join(few, F.col("__source").eqNullSafe(F.col("__name"))).drop("__name", "__source")
     # a source's rows are numbered in bins of bounded size, then the bins' totals are added up
     binned = known.withColumn("__bin", F.pmod("__h", F.col("bins"))).drop("bins")
-    order = [F.asc_nulls_first("__h"), F.asc_nulls_first("size")] + ([F.asc_nulls_first("doc_id")] if "doc_id" in passed else [])
+    order = [F.asc_nulls_first("__h"), F.asc_nulls_first("size"), F.asc_nulls_first("doc_id")]
     inside = W.partitionBy("__s", "__bin").orderBy(*order)
     edges = binned.groupBy("__s", "__bin").agg(F.sum("size").alias("n"))
     ahead = W.partitionBy("__s").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
@@ -212,16 +211,16 @@ def mix_sources(
     refused, as their table is held by the driver and broadcast. Input columns
     with a result's name are replaced; names that begin with two underscores are reserved.
     """
-    placed, sources, plan = _placed(docs, weights, share, most, block_words, bin_rows, max_sources, seed)
-    passed = [c for c in docs.columns if c not in RESULTS]
+    row = F.struct(*(quoted(c) for c in docs.columns if c not in RESULTS)).alias("__row")
+    placed, sources, plan = _placed(docs.select("doc_id", "text", "source", row), weights, share, most, block_words, bin_rows, max_sources, seed)
     if not sum(p["quota"] for p in plan):
-        return placed.select(*passed, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+        return placed.select("__row.*", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
     slots = _slot_blocks(docs.sparkSession, sources, plan, block_words, shard_slots, seed, draw_seed)
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", "part") - F.col("a"))
     shard = F.min(F.when(got > 0, F.col("shard")))
     taken = _takes(placed, slots, block_words).groupBy("__s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"), shard.alias("first_shard"))
     out = placed.join(taken, ["__s", "__bin", "__rn"], "left")
-    return out.select(*passed, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+    return out.select("__row.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mix_shards(
@@ -252,9 +251,11 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int
 
     A copy that takes all words is the whole text; another has the words taken,
     in order, each with the blanks behind it. ``n_chars``, if there is one, is the
-    length of the new text. At most ``copies`` copies are taken of any word.
+    length of the new text. At most ``copies`` copies are taken of any word. Other columns pass through, whatever their names; those that
+    begin with two underscores are reserved. Nulls, ties, repeated rows and long texts are as in ``mix_sources``; rows alike in id and text
+    are taken from any of them. An empty table, or one without words, gives none.
     """
-    placed, sources, plan = _placed(docs, WEIGHTS, SHARE, float(copies), block_words, BIN_ROWS, MAX_SOURCES, SEED)
+    placed, sources, plan = _placed(docs.select("doc_id", "text", "source"), WEIGHTS, SHARE, float(copies), block_words, BIN_ROWS, MAX_SOURCES, SEED)
     if not sum(p["quota"] for p in plan):
         return docs.limit(0)
     takes = _takes(placed, _slot_blocks(docs.sparkSession, sources, plan, block_words, SHARD_SLOTS, SEED, SEED), block_words)
@@ -270,14 +271,14 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, copies: int
     wanted = runs.join(placed.select("__s", "__bin", "__rn", "__h", F.col("doc_id").alias("__id"), "size"), ["__s", "__bin", "__rn"])
     wanted = wanted.groupBy(*key, "__s").agg(F.collect_list(F.struct("runs", "size")).alias("__copies"))
     own = docs.select(
-        "*", F.col("doc_id").alias("__id"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("__h")
-    ).join(F.broadcast(sources.select("__s", F.col("__source").alias("__name"))), F.col("source").eqNullSafe(F.col("__name")))
+        F.struct("*").alias("__row"), F.col("text").alias("__text"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("__h")
+    ).join(F.broadcast(sources.select("__s", F.col("__source").alias("__name"))), F.col("__source").eqNullSafe(F.col("__name")))
     first = own.withColumn("__i", F.row_number().over(W.partitionBy(*key, "__s").orderBy(F.lit(0)))).filter("__i = 1")
     met = first.join(wanted, (first["__h"] == wanted["__h"]) & first["__id"].eqNullSafe(wanted["__id"]) & (first["__s"] == wanted["__s"]))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    one = met.select(*[first[c] for c in docs.columns], F.explode("__copies").alias("__c"))
+    words = F.regexp_extract_all("__text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    one = met.select("__row", "__text", F.explode("__copies").alias("__c"))
     cut = let(words, lambda w: F.array_join(F.flatten(F.transform("__c.runs", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), ""))
     whole = F.aggregate("__c.runs", F.lit(0).cast("long"), lambda acc, r: acc + r["hi"] - r["lo"]) == F.col("__c.size")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    out = one.withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    out = one.withColumn("__text", F.when(whole, F.col("__text")).otherwise(cut))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*((new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import SPACE, let, words_of
-from quillspark.session import bounded_broadcast, written
+from quillspark.session import bounded_broadcast, quoted, written
 
 #: Measures (integers): name, the expression, and the tolerance above the fence.
 MEASURES = {
@@ -26,6 +26,10 @@ MEASURES = {
 }
 
 
+#: The base measures and the verdict on them.
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed")
+
+
 def repeated_words(words: Column, window: int = 8) -> Column:
     """How many words lie in a ``window`` of words that the text has twice or more.
 
@@ -60,14 +64,13 @@ def repeated_words(words: Column, window: int = 8) -> Column:
 
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` plus the base measures; input columns of the same names are replaced."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed")
     text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.drop(*names)
+    kept = docs.drop(*NAMES)
     out = kept.withColumn("__w", words_of(F.col("text"))).withColumn(
         "__l", F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     )
     return out.select(
-        *kept.columns,
+        *map(quoted, kept.columns),
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -122,16 +125,16 @@ def thresholds(sketch: DataFrame, fence: int = 3, min_group: int = 100) -> DataF
 def quality_rules(
     docs: DataFrame, fence: int = 3, min_group: int = 100, max_groups: int = 100_000, keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` plus the base measures, the thresholds of its group and ``kept``.
+    """``docs`` plus the base measures, the thresholds ``t_<measure>`` of its group and ``kept``.
 
     Nulls in ``lang`` or ``source`` make groups of their own; a null text has no
-    words and fails; rows that are repeated are judged alike; an empty table
-    gives an empty result. The measures are written once to the shared folder;
-    the sketch and the filter read them from there, with the text only if
+    words and fails; texts may be of any length; rows that are repeated, and ties with a threshold, are judged alike: a measure fails above it; an empty table
+    gives an empty result. Input columns with a result's name are replaced, others pass through; names that begin with two underscores are reserved. The
+    measures are written once to the shared folder; the sketch and the filter read them from there, with the text only if
     ``keep_text``.
     """
-    drop = [c for c in docs.columns if c == "kept" or c.startswith("t_")]
-    measured = with_features(docs.drop(*drop))
+    docs = docs.drop("kept", *(f"t_{k}" for k in MEASURES))
+    measured = with_features(docs)
     features = written(measured if keep_text else measured.drop("text"), "quality-features")
     limits = written(thresholds(sketches(features), fence, min_group), "quality-limits")
     few = bounded_broadcast(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), max_groups)

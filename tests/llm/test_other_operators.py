@@ -15,6 +15,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, decontam, entries, simhash, tokens, warc
+from quillspark.session import written
 
 ODD = [None, "", " \t\n", "One two", "one TWO", "É b c", "é b c", "a b c d e f g " * 400, "x" * 3000]
 
@@ -282,7 +283,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, frames = docs.columns, []
     for name, stage in p.STAGES:
-        frames.append(p.written(stage(spark, docs, DATA), f"test-{name}"))
+        frames.append(written(stage(spark, docs, DATA), f"test-{name}"))
         docs = frames[-1]
     good, apart, clean, mix, last = (f.collect() for f in frames)
     assert all(f.columns == columns for f in frames[:4])
