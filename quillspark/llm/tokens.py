@@ -13,16 +13,18 @@ from __future__ import annotations
 import array
 import itertools
 import os
+import sys
+import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.files import filesystem
 from quillspark.session import shared_dir, ship
 
 ship(__name__)
@@ -64,13 +66,16 @@ class TokenWriter:
 
     def __init__(self, stream, vocabulary: int):
         self.stream, self.bits = stream, max(1, (vocabulary - 1).bit_length())
-        self.held, self.n_held, self.offsets, self.docs, self.n = [], 0, [], [], 0
+        self.held, self.n_held, self.offsets, self.n = [], 0, array.array("Q"), 0
+        self.doc_ids, self.known, self.counts = array.array("q"), array.array("B"), array.array("Q")
         stream.write(MAGIC)
         self.at = len(MAGIC)
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
         """Documents with their numbers of ids, and all their ids one after the other."""
-        self.docs += [(d or 0, d is not None, n) for d, n in zip(doc_ids, counts.tolist(), strict=True)]
+        self.doc_ids.extend(d or 0 for d in doc_ids)
+        self.known.extend(d is not None for d in doc_ids)
+        self.counts.extend(counts.tolist())
         self.held.append(ids)
         self.n_held += len(ids)
         self.n += len(ids)
@@ -90,8 +95,10 @@ class TokenWriter:
     def close(self) -> None:
         self._flush(True)
         self.stream.write(np.array(self.offsets, "<u8").tobytes())
-        self.stream.write(np.array(self.docs, DOC).tobytes())
-        self.stream.write(np.array([self.bits, self.n, len(self.offsets), len(self.docs), self.at], "<u8").tobytes() + MAGIC)
+        docs = np.zeros(len(self.counts), DOC)
+        docs["id"], docs["known"], docs["n"] = self.doc_ids, self.known, self.counts
+        self.stream.write(docs.tobytes())
+        self.stream.write(np.array([self.bits, self.n, len(self.offsets), len(docs), self.at], "<u8").tobytes() + MAGIC)
 
 
 class TokenFile:
@@ -144,60 +151,68 @@ class Encoder:
     Byte-level BPE of this kind splits a text before every blank that is followed by
     something other than white space, so the pieces between single blanks are
     encoded apart. Pieces go through the library once while the cache holds
-    them (two generations of at most ``max_pieces``); texts with two blanks in a
-    row go through it whole.
+    them (it starts anew beyond ``max_pieces``); texts with two blanks in a
+    row go through it whole. The cache numbers the pieces; their ids lie one after the other in one array.
     """
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.max_pieces, self.rest, self.old = max_pieces, {}, {}
+        self.max_pieces = max_pieces
         self.opens = np.zeros(self.vocabulary, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[k] = token.startswith("\u0120")  # how this vocabulary writes a blank
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers, self.ids, self.lengths = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in encoded]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum())), lengths
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces with a blank before each, many pieces in a call.
 
         A piece starts at an id whose bytes begin with a blank, as pieces hold none; where that does not add up
         they are encoded one by one.
         """
-        groups = [pieces[k : k + 250] for k in range(0, len(pieces), 250)]
-        out = []
-        for group, raw in zip(groups, self._library([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])
+        groups, parts = [pieces[k : k + 250] for k in range(0, len(pieces), 250)], []
+        ids, lengths = self._library([" " + " ".join(g) for g in groups])
+        for group, part in zip(groups, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            starts = np.flatnonzero(self.opens[part])
             if len(starts) == len(group) and starts[0] == 0:
-                cuts = [*(starts * 4).tolist(), len(raw)]
-                out += [raw[x:y] for x, y in itertools.pairwise(cuts)]
+                parts.append((part, np.diff(starts, append=len(part))))
             else:
-                out += self._library([" " + p for p in group])
-        return out
-
-    def _cached(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that stand behind a blank."""
-        missing = [p for p in pieces if p not in self.rest]
-        if len(self.rest) + len(missing) > self.max_pieces:  # what is not asked for again goes with the next change
-            self.old, self.rest, missing = self.rest, {}, pieces
-        held, old = self.rest, self.old
-        if old:
-            held.update((p, old[p]) for p in missing if p in old)
-            missing = [p for p in missing if p not in held]
-        plain = [p for p in missing if p and p == p.strip()]
-        odd = [p for p in missing if not p or p != p.strip()]
-        held.update(zip(plain, self._joined(plain), strict=True))
-        held.update(zip(odd, self._library([" " + p for p in odd]), strict=True))
-        return [held[p] for p in pieces]
+                parts.append(self._library([" " + p for p in group]))
+        return np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces that stand behind a blank."""
+        look = lambda: np.fromiter(map(self.numbers.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
+        found = look()
+        if len(self.numbers) + np.count_nonzero(found < 0) > self.max_pieces:
+            self._reset()
+            found[:] = -1
+        plain, odd = [], []
+        for k in np.flatnonzero(found < 0).tolist():
+            p = pieces[k]
+            (plain if p and p == p.strip() else odd).append(p)
+        for new, ids in ((plain, self._joined), (odd, lambda ps: self._library([" " + p for p in ps]))):
+            if new:
+                own, lengths = ids(new)
+                self.numbers.update(zip(new, itertools.count(len(self.lengths)), strict=False))
+                self.ids, self.lengths = np.concatenate([self.ids, own]), np.concatenate([self.lengths, lengths])
+        return look() if plain or odd else found
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, ``end`` behind each text, and the number of ids of each text."""
@@ -209,25 +224,23 @@ class Encoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         behind = np.ones(len(codes), dtype=bool)
         behind[at[:-1]] = False
-        used = np.unique(codes[behind])
-        place = np.zeros(len(coded.dictionary), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        parts = self._cached(coded.dictionary.take(pa.array(used)).to_pylist())
+        used = np.flatnonzero(np.bincount(codes[behind], minlength=len(coded.dictionary)))
+        number = np.zeros(len(coded.dictionary), dtype=np.int64)
+        number[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
         # behind the shared pieces: each text's first piece, whole texts that are not cut, the end
         heads = self._library(split.values.take(pa.array(at[:-1])).to_pylist())
-        parts += heads
-        parts += self._library(texts.take(pa.array(odd)).to_pylist())
-        parts.append(array.array("I", [end]).tobytes())
-        codes = place[codes]
-        codes[at[:-1]] = len(used) + np.arange(len(texts))
+        whole = self._library(texts.take(pa.array(odd)).to_pylist())
+        pool = np.concatenate([self.ids, heads[0], whole[0], np.array([end], np.uint32)])
+        lengths = np.concatenate([self.lengths, heads[1], whole[1], [1]])
+        first, codes = len(self.lengths), number[codes]
+        codes[at[:-1]] = first + np.arange(len(texts))
         keep = np.ones(len(codes), dtype=bool)
         for k, t in enumerate(odd.tolist()):
             keep[at[t] + 1 : at[t + 1]] = False
-            codes[at[t]] = len(used) + len(heads) + k
+            codes[at[t]] = first + len(texts) + k
         kept_before = np.concatenate([[0], np.cumsum(keep)])[at]
-        codes = np.insert(codes[keep], kept_before[1:], len(parts) - 1)
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        starts, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(parts), "<u4")
+        codes = np.insert(codes[keep], kept_before[1:], len(lengths) - 1)
+        starts = np.cumsum(lengths) - lengths
         n = lengths[codes]
         behind_n = np.cumsum(n)
         # ids i of a piece come from its place in the pool: the piece's offset repeated, plus i (batches stay below 2 ** 31 ids)
@@ -239,10 +252,9 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """The worker's encoder; it hangs on the library's module, which outlives the tasks that pickle brings."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("quillspark_encoders", {})
+    """The worker's encoder, held by a module of its own, which outlives the tasks that bring this one by value."""
+    state = sys.modules.setdefault("quillspark_worker_state", types.ModuleType("quillspark_worker_state"))
+    held = state.__dict__.setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -254,17 +266,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
     The list has (shard, path, n_docs, n_tokens), one row for each file, in the
     order of documents. A task writes a file under a name of its own attempt and
     reports it, so that a repeated task leaves no doubt which file counts. A
-    null text has the end id only; repeated rows are written each; an empty
+    null text has the end id only; repeated rows are written each; rows of one doc_id, or without one, are ordered by a hash of their
+    text and may lie in several files; texts may be of any length, 2,048 of them are held at a time; other columns are not read, so their names cannot clash; an empty
     table gives no file.
     """
     spark = docs.sparkSession
     base = out_dir or shared_dir(spark, "tokens")
-    filesystem, root = pyarrow.fs.FileSystem.from_uri(base)
-    filesystem.create_dir(root, recursive=True)
+    fs, root = filesystem(base)
+    fs.create_dir(root, recursive=True)
 
     def run(batches):
         encoder, task = _encoder(tokenizer), TaskContext.get()
-        fs, top = pyarrow.fs.FileSystem.from_uri(base)
+        fs, top = filesystem(base)
         path, writer, stream = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok", None, None
         for b in batches:
             for k in range(0, b.num_rows, 2048):
@@ -278,14 +291,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
             writer.close()
             stream.close()
             name = base.rstrip("/") + path[len(top) :]
-            row = [[task.partitionId()], [name], [len(writer.docs)], [writer.n]]
+            row = [[task.partitionId()], [name], [len(writer.counts)], [writer.n]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["shard", "path", "n_docs", "n_tokens"])
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    )
+    # rows of one id, or without one, are spread by their text, and by where they were read if they share that too
+    order = [F.asc_nulls_first("doc_id"), F.asc("__h"), F.asc("__p")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__h"), F.spark_partition_id().alias("__p"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     files = ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
     manifest = shared_dir(spark, "tokens-manifest")
     files.write.parquet(manifest)
@@ -293,7 +305,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
 
 
 def read_tokens(spark, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the listed files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the listed files; none for an empty list."""
     rows, start, starts = sorted(manifest.collect()), 0, []  # one row for each file
     for r in rows:
         starts.append((r["path"], start))
@@ -302,7 +314,7 @@ def read_tokens(spark, manifest: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, local = pyarrow.fs.FileSystem.from_uri(path)
+                fs, local = filesystem(path)
                 size = fs.get_file_info(local).size
                 with fs.open_input_file(local) as stream:
                     f = TokenFile(stream, size)

@@ -14,11 +14,11 @@ import urllib.parse
 import zlib
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.files import filesystem
 from quillspark.session import bounded_broadcast, shared_dir, ship
 
 ship(__name__)
@@ -148,15 +148,16 @@ def write_warc(pages: DataFrame, min_bytes: int = 100, roll_bytes: int = 64 << 2
 
     Tasks write files of about ``roll_bytes`` under names of their own attempt.
     A null html is an empty payload; rows repeated with the smallest id of their
-    payload are all responses; null page ids refer to the smallest id.
+    payload are all responses; null page ids refer to the smallest id. A page may be of any length; a task holds one at a time. Other columns
+    are not read, so their names cannot clash. An empty table gives no file.
     """
     spark = pages.sparkSession
     base = shared_dir(spark, "warc")
-    filesystem, root = pyarrow.fs.FileSystem.from_uri(base)
-    filesystem.create_dir(root, recursive=True)
+    fs, root = filesystem(base)
+    fs.create_dir(root, recursive=True)
 
     def run(batches):
-        fs, top = pyarrow.fs.FileSystem.from_uri(base)
+        fs, top = filesystem(base)
         task, done, stream, n, size = TaskContext.get(), [], None, 0, 0
         for b in batches:
             for page_id, url, html, digest, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -195,7 +196,8 @@ def read_warc(files: DataFrame, payloads: bool = False) -> DataFrame:
 
     A revisit's payload length and digest are those its headers state; of a
     response they are taken from the payload itself, and a payload that differs
-    from its stated digest is a gap.
+    from its stated digest is a gap. A file is held by one task, so a page's length is bounded by a file's; repeated records are
+    rows of their own; files without records, and an empty list, give none.
     """
     spark = files.sparkSession
     names = [f.strip().split()[0] for f in RECORDS.split(",")]
@@ -203,7 +205,7 @@ def read_warc(files: DataFrame, payloads: bool = False) -> DataFrame:
     types = [kinds[f.strip().split()[1]] for f in RECORDS.split(",")]
 
     def rows(path):
-        fs, local = pyarrow.fs.FileSystem.from_uri(path)
+        fs, local = filesystem(path)
         with fs.open_input_stream(local, compression=None) as stream:
             raw = stream.read()
         for what, at, a, b in salvage(raw):
