@@ -31,11 +31,27 @@ from quillspark.session import ship, written
 
 ship(__name__)
 
-#: Words that are units when a number stands before them.
-UNITS = frozenset(
-    "kg g mg km m cm mm mi miles mile feet foot ft inches inch hours hour minutes minute seconds second days day weeks week "
-    "months month years year dollars dollar euros euro cents cent percent litres litre liters liter degrees degree pounds pound".split()
-)
+#: Words that are units when a number stands before them, in English, German, French and Spanish.
+UNITS = frozenset((
+    # symbols
+    "mg", "g", "kg", "t", "mm", "cm", "dm", "m", "km", "ml", "cl", "dl", "l", "hl", "ha", "km²", "m²", "m³", "ft", "mi", "yd", "lb", "lbs", "oz",
+    "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "w", "kw", "mw", "kwh", "v", "kv", "a", "j", "kj", "kcal", "pa", "hpa", "n", "k", "°c", "°f", "c", "f",
+    "b", "kb", "mb", "gb", "tb", "kbit", "mbit", "gbit", "km/h", "m/s", "mph", "kmh", "rpm", "usd", "eur", "gbp", "chf", "€", "$", "£", "%",
+    # English
+    "gram", "grams", "kilogram", "kilograms", "kilo", "kilos", "ton", "tons", "tonne", "tonnes", "pound", "pounds", "ounce", "ounces",
+    "metre", "metres", "meter", "meters", "kilometre", "kilometres", "kilometer", "kilometers", "mile", "miles", "yard", "yards", "foot", "feet", "inch", "inches",
+    "litre", "litres", "liter", "liters", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks",
+    "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees",
+    # German
+    "gramm", "kilogramm", "tonnen", "meter", "kilometer", "liter", "sekunde", "sekunden", "minuten", "stunde", "stunden", "tag", "tage", "tagen", "woche", "wochen",
+    "monat", "monate", "monaten", "jahr", "jahre", "jahren", "prozent", "grad",
+    # French
+    "gramme", "grammes", "mètre", "mètres", "kilomètre", "kilomètres", "litre", "litres", "seconde", "secondes", "heure", "heures", "jour", "jours", "semaine", "semaines",
+    "mois", "an", "ans", "année", "années", "degré", "degrés",
+    # Spanish
+    "gramo", "gramos", "metro", "metros", "litro", "litros", "segundo", "segundos", "minuto", "minutos", "hora", "horas", "día", "días", "semana", "semanas",
+    "mes", "meses", "año", "años", "grado", "grados",
+))
 NUMBER = re.compile(r"[-+$€£(]*\d[\d.,:/]*[%)\w]{0,3}[.,;:!?)]*")
 MARK, NUM, NAME, UNIT = 0, 1, 2, 3
 _TRIM = "\"'()[]{}<>.,;:!?«»„“”"
@@ -168,8 +184,9 @@ def contaminated_texts(
 
     Whole texts are read. Before the join a bit sieve of fixed size (2 **
     ``sieve_bits`` bits of the items' hashes) drops windows that no item has.
-    Null texts match nothing; rows that repeat a doc_id and text count once;
-    null doc_ids are kept as such; an empty table on either side gives an empty
+    Null and empty texts match nothing; rows that repeat a doc_id and text count once;
+    null doc_ids are kept as such; a cover equal to the limit is enough; texts may be of any length, 256 of them are held at a time; items that repeat are items each; only doc_id and
+    text are read, so other columns cannot clash; an empty table on either side gives an empty
     result.
     """
     spark = docs.sparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.session import ship
+from quillspark.session import ship, small_table
 
 ship(__name__)
 
@@ -24,34 +24,38 @@ BLOCK = 2048
 
 
 def train_dictionaries(
-    rows: DataFrame, docs_per_lang: int = 400, slice_chars: int = 1500, dict_bytes: int = 100_000, max_langs: int = 200
+    rows: DataFrame, docs_per_lang: int = 400, slice_chars: int = 1500, dict_bytes: int = 100_000, all_bytes: int = 32_000_000, max_langs: int = 10_000
 ) -> dict[str, bytes]:
     """Raw dictionaries from rows with ``doc_id``, ``text`` and ``lang``.
 
-    The sample is bounded by the three parameters: at most ``docs_per_lang``
+    The sample is bounded by the parameters: at most ``docs_per_lang``
     documents of a language, of each a slice of at most ``slice_chars``
-    characters at a pseudorandom place, at most ``dict_bytes`` bytes in all.
-    ``doc_id`` only picks the sample. Null texts and languages teach nothing.
+    characters at a pseudorandom place, at most ``dict_bytes`` bytes in all. Above ``all_bytes / dict_bytes`` languages (320) each has fewer bytes, so that all
+    dictionaries together have ``all_bytes``; of more than ``max_langs`` labels, those with most rows are learned.
+    ``doc_id`` only picks the sample; rows without one share a place in it. Null texts and languages, and texts without a letter, teach nothing;
+    repeated rows are learned once. An empty table gives no dictionary.
     """
     usable = rows.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return {}
+    share_bytes = min(dict_bytes, all_bytes // len(counts))
+    per_lang = min(docs_per_lang, max(1, 4 * share_bytes // slice_chars))
     space = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, 2 * docs_per_lang * space // n + 1))])
+    kept = small_table(rows.sparkSession, [(k, min(space, 2 * per_lang * space // n + 1)) for k, n in counts.items()], "lang string, share long")
     h = F.xxhash64(F.lit(5), "doc_id")
     at = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1).cast("int") + 1
-    thinned = usable.filter(F.pmod(h, F.lit(space)) < share[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", at, F.lit(slice_chars)).alias("t"))
+    # max_langs rows at most
+    known = usable.select("doc_id", "text", "lang").join(F.broadcast(kept), "lang").filter(F.pmod(h, F.lit(space)) < F.col("share"))
+    thinned = known.select("lang", h.alias("h"), F.substring("text", at, F.lit(slice_chars)).alias("t"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
-    sample = thinned.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect()
+    sample = thinned.withColumn("r", rank).filter(F.col("r") <= per_lang).orderBy("lang", "r").collect()
     parts: dict[str, list[bytes]] = {}
     for r in sample:
         parts.setdefault(r.lang, []).append(r.t.lower().encode())
     # the languages with most rows come first and so win ties of the shortest texts
     order = sorted(parts, key=lambda k: (-counts[k], k))
-    return {k: b"\n".join(dict.fromkeys(parts[k]))[-dict_bytes:] for k in order}
+    return {k: b"\n".join(dict.fromkeys(parts[k]))[-share_bytes:] for k in order}
 
 
 class Classifier:
@@ -86,12 +90,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     A null text, or one without a letter, is ``und`` with score 0. Without
     dictionaries all rows are. Whole texts are read, in blocks, so memory is
-    bounded by the text. Input columns with a result's name are replaced.
+    bounded by the text. Equal sizes go to the language with most rows. Every row is judged by its text alone: null ids and repeated rows are rows like any other. Input columns
+    with a result's name are replaced, others pass through; an empty table gives an empty result.
     """
     results = ("text", "lang_pred", "score", "margin", "rejected", "decided")
     passed = [c for c in docs.columns if c not in results]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(dictionaries)  # bounded by max_langs * dict_bytes
+    shared = spark.sparkContext.broadcast(dictionaries)  # bounded by all_bytes
     schema = docs.select(*passed).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("margin", "double"), ("rejected", "boolean"), ("decided", "string")):
         schema = schema.add(name, kind)
