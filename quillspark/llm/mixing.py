@@ -97,7 +97,9 @@ def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int, c
     summed = counts.withColumn("upto", F.sum("n").over(inside)).join(chunks, ["__s", "chunk"]).join(F.broadcast(known), "__s")
     scaled = lambda drawn: F.expr(f"cast({drawn} AS decimal(19, 0)) * cast(quota AS decimal(19, 0)) div cast(`all` AS decimal(19, 0))")
     ends = summed.select("__s", "shard", scaled("(before + upto - n)").alias("a"), scaled("(before + upto)").alias("b")).filter("b > a")
-    placed = ends.select("__s", "shard", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal"))
+    # few rows become many: they are dealt to as many tasks as the slots need
+    dealt = ends.repartition(min(100_000, 1 + sum(quota) // SLOTS_A_TASK), "__s", "shard")
+    placed = dealt.select("__s", "shard", F.explode(F.sequence("a", F.col("b") - 1)).alias("ordinal"))
     # a source of so few slots that none was drawn is spread evenly
     seen = {r["__s"] for r in chunks.select("__s").distinct().collect()}  # one row for each source
     unseen = [(i, q) for i, q in enumerate(quota) if q and i not in seen]
@@ -108,6 +110,7 @@ def _slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int, c
 
 
 WEIGHTS, SHARE, MOST, BLOCK_WORDS, SHARD_SLOTS, BIN_ROWS, MAX_SOURCES, SEED = (5, 2, 1), 1.5, 2.0, 128, 4096, 4_000, 10_000, 17
+SLOTS_A_TASK = 50_000
 RESULTS = ("size", "source_size", "target", "taken", "first_shard", "text")
 
 
@@ -187,7 +190,8 @@ def _takes(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
     takes = slots.groupBy("__s", "block").agg(
         F.sum(F.when(cut, 0).otherwise(1)).alias("whole"), F.max(F.when(cut, F.col("words")).otherwise(0)).alias("part"), F.min("shard").alias("shard")
     )
-    return _pieces(placed, block_words).join(takes, ["__s", "block"])
+    # slots grow out of a small table of counts, whose size would make Spark broadcast them
+    return _pieces(placed, block_words).join(takes.hint("merge"), ["__s", "block"])
 
 
 def mix_sources(
@@ -241,7 +245,7 @@ def mix_shards(
     if not sum(p["quota"] for p in plan):
         return placed.select(F.lit(0).cast("long").alias("shard"), "source", F.lit(0).cast("long").alias("ordinal"), "doc_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")).limit(0)
     slots = _slot_blocks(docs.sparkSession, sources, plan, block_words, shard_slots, seed, draw_seed)
-    met = _pieces(placed.select("__s", "__bin", "__rn", "__off", "size", "source", "doc_id"), block_words, "source", "doc_id").join(slots, ["__s", "block"])
+    met = _pieces(placed.select("__s", "__bin", "__rn", "__off", "size", "source", "doc_id"), block_words, "source", "doc_id").join(slots.hint("merge"), ["__s", "block"])
     at = F.col("block") * block_words - F.col("__off")
     return met.select("shard", "source", "ordinal", "doc_id", (at + F.col("a")).alias("lo"), (at + F.least("b", "words")).alias("hi")).filter("hi > lo")
 
