@@ -91,23 +91,23 @@ QUERIES = {
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 
-#: A word-rule prelude that the SQL below shares: the words of every document.
+#: Every row is a document, so rows are numbered: ids may repeat or be null.
 _OP2_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+WITH rows AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT row_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows
 ), keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT row_id, doc_id, pos, line,
          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), frequent AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT row_id) >= 10
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN frequent f ON keyed.k = f.k GROUP BY doc_id
+FROM keyed LEFT JOIN frequent f ON keyed.k = f.k GROUP BY row_id, doc_id
 """
 
 _FEATURE_SQL = r"""

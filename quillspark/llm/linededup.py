@@ -1,20 +1,25 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 Every document's line keys become 128-bit hashes. Documents arrive in batches;
-a batch counts, for each hash, the documents that hold it, drops by a merge
-anti-join (an outer join that keeps the unmatched) the hashes already known to be frequent, and adds the rest as a new
-sorted run of level 0. ``fanout`` runs of a level are compacted into one run of
-the next; hashes that reach the threshold move to the frequent set. After the
-last batch all runs are merged once.
+a batch counts, for each hash, the documents that hold it, meets every run in a merge
+join, drops the hashes that the runs together already know to be frequent (an anti-join, written as outer joins, as it goes by the
+sum over the runs), and adds the rest as a new
+run of level 0. Runs are bucketed and sorted by hash, each bucket one file, so that merges read them in order, without a shuffle or a sort.
+``fanout`` runs of a level are compacted by an outer merge into one run of
+the next. After the last batch all runs are merged once; what reaches the threshold is frequent.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.skew import heavy_keys, heavy_of, skew_join
 from quillspark.llm.words import BLANKS, let
-from quillspark.session import removed, shared_dir, written
+from quillspark.session import quoted, removed, shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,44 +58,60 @@ def distinct_hashes(hashes: Column) -> Column:
     return let(ordered, lambda s: F.filter(s, lambda h, i: (i == 0) | (h != F.get(s, i - 1))))
 
 
+@contextlib.contextmanager
+def _ordered_scans(spark):
+    """Scans of bucketed tables tell their order, which holds as each bucket is one file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LineRuns:
-    """The levelled runs; ``add`` takes the hashes of a batch, ``frequent`` the final set."""
+    """The levelled runs; ``add`` takes the hashes of a batch, ``frequent`` gives the final set."""
 
     def __init__(self, spark, min_docs: int, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.known: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
-        path = shared_dir(self.spark, name)
-        df.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path, self.spark.read.schema(df.schema).parquet(path)
-
-    def _merged(self, runs: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame]:
-        both = runs[0][1]
-        for _, run in runs[1:]:
-            both = both.unionByName(run)
-        path, summed = self._keep(both.groupBy("h1", "h2").agg(F.sum("n").alias("n")), "line-run")
-        # a folder of its own, as the run goes when it is compacted in its turn
-        _, frequent = self._keep(summed.filter(F.col("n") >= self.min_docs).select("h1", "h2"), "line-frequent")
-        self.known.append(frequent)
-        for old, _ in runs:
-            removed(self.spark, old)
-        return path, summed.filter(F.col("n") < self.min_docs)
+        self.levels: list[list[tuple[str, str]]] = []
+        # as many buckets as a shuffle has partitions, so that a batch meets the runs as its sums are dealt
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _keep(self, df: DataFrame) -> tuple[str, str]:
+        """Write a run (h1, h2, n); its table and its folder."""
+        path, table = shared_dir(self.spark, "line-run"), f"line_run_{uuid.uuid4().hex}"
+        with _ordered_scans(self.spark):
+            df.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(table)
+        return table, path
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for table, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            removed(self.spark, path)
+
+    def _merged(self, runs: list[tuple[str, str]]) -> tuple[str, str]:
+        out = self.spark.table(runs[0][0])
+        for table, _ in runs[1:]:
+            more = self.spark.table(table).withColumnRenamed("n", "m").hint("merge")
+            out = out.join(more, ["h1", "h2"], "outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        kept = self._keep(out)
+        self._drop(runs)
+        return kept
+
+    def batch(self, batch: DataFrame) -> DataFrame:
+        """What a batch adds: (h1, h2, n) of its hashes that the runs do not know to be frequent yet."""
+        flat = batch.select(F.explode("h").alias("h")).select("h.h1", "h.h2")
+        counts = flat.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.lit(0).cast("long"))
+        for table, _ in (run for level in self.levels for run in level):
+            run = self.spark.table(table).withColumnRenamed("n", "m").hint("merge")
+            counts = counts.join(run, ["h1", "h2"], "left").select("h1", "h2", "n", (F.col("before") + F.coalesce("m", F.lit(0))).alias("before"))
+        return counts.filter(F.col("before") < self.min_docs).select("h1", "h2", "n")
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` has one array column ``h`` of different hashes for each document."""
-        counts = (
-            batch.select(F.explode("h").alias("h"))
-            .select("h.h1", "h.h2")
-            .groupBy("h1", "h2")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        for known in self.known:
-            # an outer join, as Spark would push an anti join below the sums and shuffle every line
-            seen = known.withColumn("seen", F.lit(True)).hint("merge")
-            counts = counts.join(seen, ["h1", "h2"], "left").filter(F.col("seen").isNull()).drop("seen")
-        run, level = self._keep(counts, "line-run"), 0
+        run, level = self._keep(self.batch(batch)), 0
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
@@ -100,15 +121,15 @@ class LineRuns:
             run, self.levels[level] = self._merged(self.levels[level]), []
             level += 1
 
-    def frequent(self) -> DataFrame:
-        """(h1, h2) of every key found in at least ``min_docs`` documents."""
+    def frequent(self) -> tuple[DataFrame, DataFrame | None]:
+        """(h1, h2) of every key found in at least ``min_docs`` documents, and those of them that are heavy; the runs are removed."""
         runs = [run for level in self.levels for run in level]
-        if len(runs) > 1 or not self.known:
-            self._merged(runs)
-        out = self.known[0]
-        for more in self.known[1:]:
-            out = out.unionByName(more)
-        return out
+        last = self._merged(runs) if len(runs) > 1 else runs[0]
+        table = self.spark.table(last[0])
+        out = written(table.filter(F.col("n") >= self.min_docs), "line-frequent")
+        heavy = heavy_keys(out, ["h1", "h2"], table.agg(F.sum("n")).first()[0] or 0)
+        self._drop([last])
+        return out.select("h1", "h2"), heavy
 
 
 def dedup_lines(
@@ -116,10 +137,10 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` plus ``kept`` (text of the lines that stay), ``n_lines`` and ``n_dropped``.
 
-    Every row of ``docs`` counts as a document. A null text is one empty line;
+    Every row of ``docs`` counts as a document, whether its id is null or repeated. A null text is one empty line;
     an empty key is never dropped; rows repeated with the same id and text each
-    count and get the same result; null ids are allowed; other columns pass
-    through, but for those named as a result column, which it replaces. An empty table gives an empty result.
+    count and get the same result; texts may be of any length; a key in just ``min_docs`` documents goes; other columns pass
+    through, but for those named as a result column, which it replaces; names that begin with two underscores are reserved. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     d1 = F.xxhash64("doc_id", "text")
@@ -131,23 +152,21 @@ def dedup_lines(
     runs = LineRuns(spark, min_docs, fanout)
     for b in range(batches):
         runs.add(keys.filter(F.col("batch") == b).select(distinct_hashes(F.col("h")).alias("h")))
-    frequent = runs.frequent()
+    frequent, heavy = runs.frequent()
+    flat = keys.select("d1", "d2", F.posexplode("h").alias("pos", "h")).select("d1", "d2", "pos", "h.h1", "h.h2")
     if frequent.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        frequent = F.broadcast(frequent)
-    hits = (
-        keys.select("d1", "d2", F.posexplode("h").alias("pos", "h"))
-        .select("d1", "d2", "pos", "h.h1", "h.h2")
-        .join(frequent, ["h1", "h2"])
-        .groupBy("d1", "d2")
-        .agg(F.collect_set("pos").alias("_drop"))
-    )
-    passed = [c for c in docs.columns if c not in ("text", "kept", "n_lines", "n_dropped")]
+        met = flat.join(F.broadcast(frequent), ["h1", "h2"])
+    else:
+        met = skew_join(flat, frequent, ["h1", "h2"], heavy)
+    hits = met.groupBy("d1", "d2").agg(F.collect_set("pos").alias("_drop"))
+    passed = [quoted(c) for c in docs.columns if c not in ("text", "kept", "n_lines", "n_dropped")]
     # the lines are split below the join, so that the lambda reads a finished column
     split = docs.select(
         *passed, d1.alias("__d1"), d2.alias("__d2"), F.split(F.coalesce("text", F.lit("")), "\n").alias("__lines")
     )
     hits = hits.withColumnsRenamed({"d1": "__d1", "d2": "__d2", "_drop": "__drop"})
-    joined = split.join(hits, ["__d1", "__d2"], "left")
+    repeated = heavy_of(keys.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2")), ["__d1", "__d2"])
+    joined = skew_join(split, hits, ["__d1", "__d2"], repeated, "left")
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
     lines = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(
         F.transform(F.array_except(every, F.col("__drop")), lambda i: F.get(F.col("__lines"), i))
