@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # The words that a keyword query drops.
 STOPWORDS = (
-    "a an and are as at be by for from has in is it of on or that the to was will with".split()
-)
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "will", "with",
+)
 ALNUM = r"[\p{L}\p{Nd}]"
 
 # Characters for each token by model, and the punctuation of the estimate.
@@ -25,6 +25,10 @@ SYMBOL_PATTERNS = (
     r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(",
 )
 
+# A path and a file's name in a query.
+PATH_PATTERN = r"(?:\.{0,2}/)?(?:[a-zA-Z0-9_-]+/)*[a-zA-Z0-9_-]+\.[a-zA-Z]{1,5}"
+FILE_NAME_PATTERN = r"\b([A-Z][a-zA-Z0-9_]*\.[a-z]{1,5})\b"
+
 # Shapes of secrets that scrubbing replaces.
 SECRET_PATTERNS = (
     (r"AKIA[0-9A-Z]{16}", "[AWS_KEY]"),
@@ -52,12 +56,17 @@ def contains_all(text: Column, words: list[str]) -> Column:
     return found
 
 
-def _bounded(low: Column, at: Column, n: int) -> Column:
+def _bounded(low: Column, at: Column, n: Column) -> Column:
     """Whether the ``n`` characters at ``at`` have no letter or digit on either side."""
     before = F.when(at <= 1, False).otherwise(F.substring(low, F.greatest(at - 1, F.lit(1)), F.lit(1)).rlike(ALNUM))
     return ~before & ~F.substring(low, at + n, F.lit(1)).rlike(ALNUM)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lexical_score(text: Column, words: list[str]) -> Column:
     """0.95: all words in order, each the first found after the last, within 50 characters; 0.7: all
     words somewhere; else half the occurrences for each word, 0.5 at most. Words must stand alone.
@@ -66,23 +75,29 @@ def lexical_score(text: Column, words: list[str]) -> Column:
     """
     if not words:
         return F.lit(0.0)
-    low = F.lower(text)
-    counts = [F.regexp_count(low, F.lit(f"(?<!{ALNUM}){re.escape(w)}(?!{ALNUM})")) for w in words]
-    total = sum(counts[1:], counts[0])
-    partial = F.least(F.lit(0.5), total / (2.0 * len(words)))
-    if len(words) < 2:
-        return F.when(total == 0, 0.0).otherwise(partial)
-    every = F.lit(True)
-    for c in counts:
-        every = every & (c > 0)
-    at, ok, first = F.lit(1), F.lit(True), None
-    for w in words:
-        found = F.call_function("locate", F.lit(w), low, at)
-        ok = ok & (found > 0) & _bounded(low, found, len(w))
-        first = found if first is None else first
-        at = found + len(w)
-    phrase = ok & (at - first <= 50)
-    return F.when(phrase, 0.95).when(total == 0, 0.0).when(every, 0.7).otherwise(partial)
+    alone = lambda low, w: F.regexp_count(low, F.lit(f"(?<!{ALNUM}){re.escape(w)}(?!{ALNUM})")).cast("int")
+
+    def score(s: Column) -> Column:
+        low, counts = s["low"], s["counts"]
+        total = F.aggregate(counts, F.lit(0), lambda acc, x: acc + x)
+        partial = F.least(F.lit(0.5), total / (2.0 * len(words)))
+        if len(words) < 2:
+            return F.when(total == 0, 0.0).otherwise(partial)
+
+        def step(acc: Column, w: Column) -> Column:
+            return let(
+                F.when(acc["ok"], F.call_function("locate", w, low, acc["at"])).otherwise(0),
+                lambda found: F.struct(
+                    (found + F.length(w)).alias("at"), ((found > 0) & _bounded(low, found, F.length(w))).alias("ok"), F.when(acc["first"] == 0, found).otherwise(acc["first"]).alias("first")
+                ),
+            )
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit(0).alias("first"))
+        phrase = let(F.aggregate(F.array(*map(F.lit, words)), start, step), lambda p: p["ok"] & (p["at"] - p["first"] <= 50))
+        return F.when(total == 0, 0.0).when(phrase, 0.95).when(F.forall(counts, lambda c: c > 0), 0.7).otherwise(partial)
+
+    counted = let(F.lower(text), lambda low: F.struct(low.alias("low"), F.array(*(alone(low, w) for w in words)).alias("counts")))
+    return let(counted, score)
 
 
 def length_idf(words: list[str]) -> float:
@@ -100,7 +115,7 @@ def length_idf_column(mean: Column) -> Column:
 def keyword_relevance(text: Column, words: list[str]) -> Column:
     """Lexical score with the length factor, and 0.3 of it for chunks below 50 characters."""
     boosted = F.least(F.lit(1.0), lexical_score(text, words) * length_idf(words))
-    return F.when(F.length(text) < 50, boosted * 0.3).otherwise(boosted)
+    return boosted * F.when(F.length(text) < 50, 0.3).otherwise(1.0)
 
 
 def simple_tokens(text: Column) -> Column:
@@ -115,21 +130,36 @@ def blended_tokens(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(120000), F.floor(estimate + 0.5)))).cast("int")
 
 
-def model_tokens(text: Column, model: str = "DEFAULT") -> Column:
-    """Characters over a ratio that falls for CJK, symbols, punctuation and line ends."""
-    base = CHARS_PER_TOKEN[model]
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    n = F.length(t)
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
-    letters, cjk, lines, blanks = share(r"\p{L}"), share(CJK), share("\n"), share(r"[ \t]")
-    points, symbols = share(r"[.,;:!?'\"]"), share(r"[#$%&()*+\-/0-9<=>@\[\\\]^_`{|}~]")
+def char_counts(text: Column) -> Column:
+    """Struct of how many characters the text has (n, carriage returns folded into line ends) and how many of each class.
+
+    A class is counted by one pass that takes runs of it out. Select it as a column of its own and estimate from that column, so that
+    no pass is repeated.
+    """
+    def counts(t: Column) -> Column:
+        n = F.length(t)
+        rest = lambda pattern: n - F.length(F.regexp_replace(t, pattern, ""))
+        return F.struct(
+            n.alias("n"), rest(r"\p{L}+").alias("letters"), rest(f"{CJK}+").alias("cjk"), rest("\n+").alias("lines"), rest(r"[ \t]+").alias("blanks"),
+            rest(r"[.,;:!?'\"]+").alias("points"), rest(r"[#$%&()*+\-/0-9<=>@\[\\\]^_`{|}~]+").alias("symbols"),
+        )
+
+    plain = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    return F.element_at(F.transform(F.array(plain), counts), 1)
+
+
+def model_tokens(counts: Column, model: str = "DEFAULT") -> Column:
+    """Characters over a ratio that falls for CJK, symbols, punctuation and line ends, from ``char_counts``."""
+    base, n = CHARS_PER_TOKEN[model], counts["n"]
+    share = lambda name: counts[name] / n
+    cjk = share("cjk")
     ratio = F.when(cjk > 0.3, F.least(F.lit(base), F.lit(1.7))).when(cjk > 0.1, 1.7 + (base - 1.7) * (1.0 - (cjk - 0.1) / 0.2)).otherwise(base)
     if model == "CODEX":
-        less = F.least(F.lit(0.10), symbols * 0.5 + (1 - letters) * 0.05)
+        less = F.least(F.lit(0.10), share("symbols") * 0.5 + (1 - share("letters")) * 0.05)
     elif model == "CLAUDE":
-        less = F.least(F.lit(0.05), points * 0.5 + lines * 0.5)
+        less = F.least(F.lit(0.05), share("points") * 0.5 + share("lines") * 0.5)
     else:
-        less = F.least(F.lit(0.03), points * 0.3 + lines * 0.3 + blanks * 0.05)
+        less = F.least(F.lit(0.03), share("points") * 0.3 + share("lines") * 0.3 + share("blanks") * 0.05)
     ratio = F.greatest(F.lit(1.5), F.least(F.lit(8.0), ratio * (1.0 - less)))
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.ceil(n / ratio)).cast("int")
 
@@ -151,6 +181,21 @@ def symbols_in(query: str) -> list[str]:
     return list(dict.fromkeys(m for p in SYMBOL_PATTERNS for m in re.findall(p, query)))
 
 
+def paths_in(query: str) -> list[str]:
+    """Paths named in a query, each once."""
+    return list(dict.fromkeys(re.findall(PATH_PATTERN, query)))
+
+
+def file_names_in(query: str) -> list[str]:
+    """Capitalised file names in a query, to be resolved as the end of a path."""
+    return list(dict.fromkeys(re.findall(FILE_NAME_PATTERN, query)))
+
+
+def path_column(text: Column) -> Column:
+    """Paths named in each text, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(PATH_PATTERN), F.lit(0)))
+
+
 def symbol_column(text: Column) -> Column:
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(int("([A" in p and k == 3))) for k, p in enumerate(SYMBOL_PATTERNS)]
     return F.array_distinct(F.concat(*found))

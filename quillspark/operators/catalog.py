@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import glob_regex
+from quillspark.session import written
 
 # Languages by file extension.
 LANGUAGES = {
@@ -73,6 +75,67 @@ def artifacts(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return joined.groupBy("file_id").agg(F.sort_array(F.collect_list(entry)).alias("chunks"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number", start: int = 1) -> DataFrame:
+    """``df`` with consecutive numbers in ``order`` (a total order): sorted by ranges, numbered inside each, offsets added.
+
+    The sorted rows are written once, as ranges are drawn anew whenever a plan runs.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    kept = written(sorted_, "numbered").withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = kept.groupBy("__part").agg((F.max("__in") + 1).alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))
+    return kept.join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__in") + start).drop("__at", "__part", "__in", "__before")
+
+
+def included(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the roots or below one; without roots every path is."""
+    keep = F.lit(not roots)
+    for r in roots:
+        keep = keep | (path == r.rstrip("/")) | path.startswith(r.rstrip("/") + "/")
+    return keep
+
+
+def extension_allowed(path: Column, allow: list[str] = (), block: list[str] = ()) -> Column:
+    """Whether a path ends in an allowed extension, or in no blocked one; both lists at once are an error."""
+    if allow and block:
+        raise ValueError("extensions are allowed or blocked, not both")
+    ends = F.lit(False)
+    for e in allow or block:
+        ends = ends | F.lower(path).endswith("." + e.lower().lstrip("."))
+    return ends if allow else ~ends
+
+
+def small_enough(path: Column, size: Column, max_bytes: int, exceptions: list[str] = ()) -> Column:
+    """Whether a file is within the limit, or its path matches a glob of the exceptions."""
+    keep = size <= max_bytes
+    for g in exceptions:
+        keep = keep | path.rlike(glob_regex(g))
+    return keep
+
+
+def modified_since(files: DataFrame, moment: Column) -> DataFrame:
+    return files.filter(F.col("indexed_at") >= moment).orderBy("indexed_at", "file_id")
+
+
+def symbols_of(symbols: DataFrame, *file_ids: int) -> DataFrame:
+    """Symbols of files by line, those without a line first, then by name."""
+    return symbols.filter(F.col("file_id").isin(list(file_ids))).orderBy("file_id", F.asc_nulls_first("start_line"), "name")
+
+
+# The order of file states in a grid.
+STATUS_ORDER = ("error", "outdated", "pending", "indexed")
+
+
+def grid_order(column: str, descending: bool) -> list[Column]:
+    """The order of a file grid by path, size, language, status, chunks or indexed_at; unknown columns fall back to the path."""
+    by = {
+        "path": F.lower("abs_path"), "size": F.col("size_bytes"), "language": F.coalesce(F.lower("language"), F.lit("")), "chunks": F.col("n_chunks"),
+        "indexed_at": F.col("indexed_at"), "status": F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")),
+    }.get(column, F.lower("abs_path"))
+    return [by.desc_nulls_last() if descending else by.asc_nulls_first(), F.asc("abs_path")]
+
+
 def path_verdict(path: Column, extensions: list[str], ignore: list[str], skip: list[str]) -> Column:
     """Why a path is left out, tried in this order: traversal, ignored, extension, skipped; or ok."""
     any_of = lambda globs: F.coalesce(*[F.when(path.rlike(glob_regex(g)), True) for g in globs], F.lit(False))
@@ -98,21 +161,21 @@ def is_binary(content: Column) -> Column:
 
 # The extensions of each priority class.
 PRIORITY_CLASSES = {
-    2: "kt kts py ts js jsx tsx java go rs c cpp cc h hpp cs swift v f90 rb php scala pl clj",
-    3: "md rst adoc txt docx pdf tex org",
-    4: "yaml toml json ini env cfg conf xml properties",
-    5: "sql ddl avsc proto thrift graphql xsd csv parquet orc arrow tsv",
-    6: "html htm css scss sass less svg vue svelte",
-    7: "sh bash zsh ps1 cmd bat make mk dockerfile compose yml gradle maven nushell",
-    8: "ipynb",
-}
+    2: ("kt", "kts", "py", "ts", "js", "jsx", "tsx", "java", "go", "rs", "c", "cpp", "cc", "h", "hpp", "cs", "swift", "v", "f90", "rb", "php", "scala", "pl", "clj"),
+    3: ("md", "rst", "adoc", "txt", "docx", "pdf", "tex", "org"),
+    4: ("yaml", "toml", "json", "ini", "env", "cfg", "conf", "xml", "properties"),
+    5: ("sql", "ddl", "avsc", "proto", "thrift", "graphql", "xsd", "csv", "parquet", "orc", "arrow", "tsv"),
+    6: ("html", "htm", "css", "scss", "sass", "less", "svg", "vue", "svelte"),
+    7: ("sh", "bash", "zsh", "ps1", "cmd", "bat", "make", "mk", "dockerfile", "compose", "yml", "gradle", "maven", "nushell"),
+    8: ("ipynb",),
+}
 
 
 def priority(size: Column, extension: Column) -> Column:
     """11 above 2 MB or unknown, 1 below 10 KB, else by extension class, else 9 to 256 KB and 10 beyond."""
     out = F.when(size > 2 << 20, 11).when(size < 10 << 10, 1)
     for rank, names in PRIORITY_CLASSES.items():
-        out = out.when(F.lower(extension).isin(names.split()), rank)
+        out = out.when(F.lower(extension).isin(list(names)), rank)
     return out.when(size <= 256 << 10, 9).when(size.isNotNull(), 10).otherwise(11)
 
 
@@ -121,3 +184,11 @@ def config_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> Da
     a, b = before.alias("a"), after.alias("b")
     change = F.when(F.col(f"a.{key}").isNull(), "added").when(F.col(f"b.{key}").isNull(), "removed").when(~F.col(f"a.{value}").eqNullSafe(F.col(f"b.{value}")), "modified")
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), change.alias("change")).filter("change IS NOT NULL")
+
+
+def unified_diff(before: Column, after: Column) -> Column:
+    """The lines of two texts held against each other by position: ``-`` and ``+`` lines where they differ, others behind a blank."""
+    same = lambda p, q: F.array(F.concat(F.lit(" "), p))
+    changed = lambda p, q: F.filter(F.array(F.concat(F.lit("-"), p), F.concat(F.lit("+"), q)), lambda x: x.isNotNull())
+    lines = F.zip_with(F.split(before, "\n"), F.split(after, "\n"), lambda p, q: F.when(p.eqNullSafe(q), same(p, q)).otherwise(changed(p, q)))
+    return F.array_join(F.flatten(lines), "\n")

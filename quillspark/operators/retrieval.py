@@ -6,8 +6,6 @@ tokens). Every order is total: score down, then path, then chunk_id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,9 +18,6 @@ from quillspark.session import ship
 
 ship(__name__)
 
-#: name -> provider; ``register_provider`` adds to it.
-PROVIDERS: dict[str, Callable[..., DataFrame]] = {}
-
 # Type weights of symbols, and the chunk kind that a symbol stands for.
 SYMBOL_WEIGHT = {"CLASS": 1.0, "INTERFACE": 1.0, "ENUM": 1.0, "METHOD": 0.85, "FUNCTION": 0.85, "PROPERTY": 0.75, "VARIABLE": 0.75, "CONSTANT": 0.75}
 SYMBOL_KIND = {
@@ -31,12 +26,9 @@ SYMBOL_KIND = {
 }
 
 
-def register_provider(name: str):
-    def add(body):
-        PROVIDERS[name] = body
-        return body
-
-    return add
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row: filters on it stay above, as they cannot pass a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def by_rank() -> list[Column]:
@@ -60,30 +52,46 @@ def scope(paths=(), languages=(), kinds=(), exclude=(), path: str = "file_path",
     return keep
 
 
-@register_provider("full_text")
-def full_text(chunks: DataFrame, files: DataFrame, query: str, where: Column | None = None) -> DataFrame:
-    """Chunks that hold all keywords of the query, by lexical score."""
+def keyword_match(words: list[str], *texts: str) -> Column:
+    """Whether each word is in one of the texts, without case."""
+    keep = F.lit(bool(words))
+    for w in words:
+        found = F.lit(False)
+        for text in texts:
+            found = found | F.coalesce(F.lower(text).contains(w), F.lit(False))
+        keep = keep & found
+    return keep
+
+
+def full_text(chunks: DataFrame, files: DataFrame, query: str, where: Column | None = None, summary: bool = False) -> DataFrame:
+    """Chunks that hold all keywords of the query, in their summary too if ``summary``, by the lexical score of their content."""
     words = T.keywords(query)
-    found = chunks.filter(T.contains_all(F.col("content"), words) if words else F.lit(False))
-    hits = found.join(files, "file_id").withColumn("file_path", F.col("abs_path")).withColumn("score", T.keyword_relevance(F.col("content"), words))
-    hits = hits.filter(~F.col("is_deleted") & (F.col("score") > 0))
+    found = chunks.filter(keyword_match(words, *(["content", "summary"] if summary else ["content"])))
+    scored = once(found, "score", T.keyword_relevance(F.col("content"), words)).filter("score > 0")
+    hits = scored.join(files.filter(~F.col("is_deleted")), "file_id").withColumn("file_path", F.col("abs_path"))
     return (hits.filter(where) if where is not None else hits).select(
         F.lit("full_text").alias("provider"), "chunk_id", "file_id", "ordinal", "file_path", "language", F.col("content").alias("text"), F.col("token_count").alias("tokens"), "score"
     )
 
 
-@register_provider("semantic")
-def semantic(vectors: DataFrame, query: list[float], k: int = 64, least: float = 0.3, document_boost: float = 1.35) -> DataFrame:
-    """The ``k`` rows of (chunk_id, vector, language) nearest to the query; documents get a boost, 0.99 at most."""
+def semantic(
+    vectors: DataFrame, query: list[float], k: int = 64, least: float = 0.3, document_boost: float = 1.35, model: str | None = None, where: Column | None = None
+) -> DataFrame:
+    """The ``k`` rows of (chunk_id, vector, language) nearest to the query; documents get a boost, 0.99 at most.
+
+    Vectors of another length, or of another ``model`` if one is named, are left out.
+    """
     v = F.col("vector")
-    close = vectors.filter(F.size(v) == len(query)).withColumn("score", V.cosine(v, query))
-    boosted = F.when(F.col("language") == "document", F.least(F.lit(0.99), F.col("score") * document_boost)).otherwise(F.col("score"))
-    ranked = close.withColumn("score", boosted).filter((F.col("score") >= least) & ~F.isnan("score"))
+    close = vectors.filter(F.size(v) == len(query))
+    for rule in ([F.col("model") == model] if model else []) + ([where] if where is not None else []):
+        close = close.filter(rule)
+    raw = once(close, "cosine", V.cosine(v, query))
+    boosted = F.when(F.col("language") == "document", F.least(F.lit(0.99), F.col("cosine") * document_boost)).otherwise(F.col("cosine"))
+    ranked = raw.withColumn("score", boosted).filter((F.col("score") >= least) & ~F.isnan("score")).drop("cosine")
     return ranked.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k)
 
 
-@register_provider("symbol")
-def symbol(symbols: DataFrame, query: str) -> DataFrame:
+def symbol(symbols: DataFrame, query: str, where: Column | None = None) -> DataFrame:
     """Symbols that match every symbol of the query; scored by type, matches and exactness."""
     wanted = [s.lower() for s in T.symbols_in(query)]
     name, qualified = F.lower("name"), F.coalesce(F.lower("qualified_name"), F.lit(""))
@@ -95,7 +103,14 @@ def symbol(symbols: DataFrame, query: str) -> DataFrame:
     weights = F.create_map(*[F.lit(x) for kv in SYMBOL_WEIGHT.items() for x in kv])
     weight = F.coalesce(F.try_element_at(weights, F.upper("symbol_type")), F.lit(0.6))
     score = weight * 0.7 + F.least(F.lit(5), matched) / 5.0 * 0.3 + F.when(exact, 0.15).otherwise(0.0)
-    return symbols.filter(keep).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    found = symbols.filter(keep)
+    return (found.filter(where) if where is not None else found).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def symbol_kind(symbol_type: Column) -> Column:
+    """The chunk kind that stands for a symbol type."""
+    kinds = F.create_map(*[F.lit(x) for kv in SYMBOL_KIND.items() for x in kv])
+    return F.coalesce(F.try_element_at(kinds, F.upper(symbol_type)), F.lit("CODE_BLOCK"))
 
 
 def containing_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -105,24 +120,27 @@ def containing_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     return s.join(c, (F.col("s.file_id") == F.col("c.file_id")) & inside, "left")
 
 
-def fuse(hits: DataFrame, by: list[str] = (), k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
-    """Reciprocal rank fusion of (provider, chunk_id, file_path, score): the sum of weight / (k + rank)."""
+def fuse(hits: DataFrame, by: list[str] = (), k: int = 60, weights: dict[str, float] | None = None, top: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of (provider, chunk_id, file_path, score): the sum of weight / (k + rank) over each provider's ``top`` hits.
+
+    Every task keeps its own ``top`` hits of a provider before they are ranked.
+    """
     rank = F.row_number().over(W.partitionBy(*by, "provider").orderBy(*by_rank()))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("provider") == name, w).otherwise(weight)
-    ranked = hits.withColumn("rank", rank).withColumn("part", weight / (k + F.col("rank")))
+    ranked = hits.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("part", weight / (k + F.col("rank")))
     return ranked.groupBy(*by, "chunk_id", "file_path").agg(
         F.sum("part").alias("score"), F.countDistinct("provider").alias("agreement"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("sources")
     )
 
 
-def deduped(hits: DataFrame) -> DataFrame:
-    """The best hit of each chunk, with the names of all providers that found it."""
-    best = F.max_by(F.struct("score", "tokens"), F.struct("score", "provider"))
-    return hits.groupBy("chunk_id", "file_path").agg(
-        best.alias("b"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("sources")
-    ).select("chunk_id", "file_path", F.col("b.score").alias("score"), F.col("b.tokens").alias("tokens"), "sources")
+def deduped(hits: DataFrame, *keep: str) -> DataFrame:
+    """The best hit of each chunk with its columns ``keep``, and the names of all providers that found it."""
+    best = F.max_by(F.struct("score", "tokens", *keep), F.struct("score", "provider"))
+    return hits.groupBy("chunk_id", "file_path").agg(best.alias("b"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("sources")).select(
+        "chunk_id", "file_path", F.col("b.score").alias("score"), F.col("b.tokens").alias("tokens"), *(F.col(f"b.{c}").alias(c) for c in keep), "sources"
+    )
 
 
 def boosted(score: Column, path: Column, language: Column, paths: dict[str, float], languages: dict[str, float]) -> Column:
@@ -142,28 +160,46 @@ def budget_prefix(hits: DataFrame, limit: int | Column, by: list[str], order: li
     return hits.withColumn("used", total).filter(F.col("used") <= limit)
 
 
+def within_budget(snippets: DataFrame, limit: int) -> DataFrame:
+    """The best snippets (score, file_path, chunk_id, tokens, ...) up to the first that would exceed ``limit`` tokens; each has one token or more, so ``limit`` rows are enough."""
+    return budget_prefix(snippets.orderBy(*by_rank()).limit(limit), limit, [F.lit(0)], by_rank())
+
+
+def context_xml(snippets: DataFrame) -> DataFrame:
+    """(file_path, xml): the snippets of each file as an element, the best first."""
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    lines = F.concat_ws("-", F.col("start_line").cast("string"), F.coalesce("end_line", "start_line").cast("string"))
+    one = F.concat(
+        F.lit('<snippet label="'), text(F.coalesce("label", F.lit(""))), F.lit('" kind="'), "kind", F.lit('" score="'), F.format_string("%.3f", "score"), F.lit('" lines="'), lines,
+        F.lit('" token_estimate="'), F.col("tokens").cast("string"), F.lit('"><content><![CDATA['), F.replace("text", F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]></content></snippet>"),
+    )
+    files = snippets.groupBy("file_path").agg(F.min("language").alias("language"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", one.alias("x")))).alias("all"))
+    language = F.when(F.coalesce("language", F.lit("")) != "", F.concat(F.lit(' language="'), text(F.col("language")), F.lit('"'))).otherwise("")
+    return files.select("file_path", F.concat(F.lit('<file path="'), text(F.col("file_path")), F.lit('"'), language, F.lit(">"), F.array_join("all.x", ""), F.lit("</file>")).alias("xml"))
+
+
+def context_statistics(snippets: DataFrame) -> DataFrame:
+    """One row: snippets, files, tokens and bytes of text."""
+    return snippets.agg(F.count(F.lit(1)).alias("snippets"), F.countDistinct("file_path").alias("files"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 def budget_greedy(hits: DataFrame, limit: int, by: list[str], order: list[str]) -> DataFrame:
     """Hits in order, leaving out those that do not fit and going on: a fold over the sorted group.
 
-    The group is one query's hits, bounded by the providers' k.
+    The group is one query's hits, bounded by the providers' k. The fold carries the tokens used and a mark for each hit.
     """
-    entry = F.struct(*order, "tokens")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{_type(hits, [*order, 'tokens'])}>").alias("kept"))
+    folded = hits.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, "tokens"))).alias("all"))
 
-    def step(acc, x):
+    def step(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["tokens"] <= limit
         return F.struct(
-            F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
+            (acc["used"] + F.when(fits, x["tokens"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["marks"], F.when(fits, "1").otherwise("0")).alias("marks")
         )
 
-    folded = hits.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("all")).withColumn("r", F.aggregate("all", start, step))
-    return folded.select(*by, F.explode("r.kept").alias("x")).select(*by, "x.*")
-
-
-def _type(df: DataFrame, names: list[str]) -> str:
-    kinds = dict(df.dtypes)
-    return "struct<" + ",".join(f"{n}:{kinds[n]}" for n in names) + ">"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit("").alias("marks"))
+    marked = folded.select(*by, "all", F.aggregate("all", start, step)["marks"].alias("marks"))
+    kept = F.filter("all", lambda x, i: F.substring(F.col("marks"), i + 1, F.lit(1)) == "1")
+    return marked.select(*by, F.explode(kept).alias("x")).select(*by, "x.*")
 
 
 def mmr(hits: DataFrame, by: str, k: int, weight: float, budget: int) -> DataFrame:
@@ -212,6 +248,23 @@ def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1, factor: float
 
 
 def co_changes(changes: DataFrame, least: int = 2) -> DataFrame:
-    """(file, other, n): files that at least ``least`` commits of (commit, file) change together."""
-    a, b = changes.distinct(), changes.distinct().withColumnRenamed("file", "other")
-    return a.join(b, "commit").filter(F.col("file") != F.col("other")).groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """(file, other, n): files that at least ``least`` commits of (commit, file) change together, both ways round.
+
+    A commit's files are one sorted array, and each file meets those behind it, so every pair is made once; pairs are summed before
+    they are mirrored.
+    """
+    sets = changes.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files") > 1)
+    first = sets.select("files", F.posexplode("files").alias("at", "file"))
+    pairs = first.select("file", F.explode(F.slice("files", F.col("at") + 2, F.size("files"))).alias("other"))
+    counted = pairs.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    ways = F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other")))
+    return counted.select(F.explode(ways).alias("p"), "n").select("p.file", "p.other", "n")
+
+
+def co_changed_with(changes: DataFrame, paths: DataFrame, recent: int = 20, least: int = 2) -> DataFrame:
+    """(file, other, n) for the files of ``paths`` (a bounded set): those in ``least`` of each one's ``recent`` commits (commit, at, file)."""
+    newest = F.row_number().over(W.partitionBy("file").orderBy(F.desc("at"), F.desc("commit")))
+    mine = changes.join(F.broadcast(paths.select("file").distinct()), "file", "left_semi").withColumn("k", newest).filter(F.col("k") <= recent)
+    few = F.broadcast(mine.select("commit", F.col("file").alias("of")))  # ``recent`` commits for each path
+    met = changes.join(few, "commit").filter(F.col("file") != F.col("of")).groupBy(F.col("of").alias("file"), F.col("file").alias("other"))
+    return met.agg(F.countDistinct("commit").alias("n")).filter(F.col("n") >= least)

@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import catalog as K
 from quillspark.operators import chunkers as CK
 from quillspark.operators import chunking as CH
+from quillspark.operators import retrieval as R
 from quillspark.plans.registry import Registry
 from quillspark.sources import corpus as C
 from quillspark.sources import html as H
@@ -58,17 +59,23 @@ def token_estimate_blended(t):
 
 
 _MODEL_SQL = r"""
-WITH c AS (SELECT doc_id, length(text)::DOUBLE AS n, len(regexp_extract_all(text, '\p{L}')) AS le, len(regexp_extract_all(text, chr(10))) AS nl,
-  len(regexp_extract_all(text, '[ \t]')) AS ws, len(regexp_extract_all(text, '[.,;:!?''"]')) AS pu, len(regexp_extract_all(text, '[#$%&()*+\-/0-9<=>@\[\\\]^_`{|}~]')) AS sy FROM documents)
-SELECT doc_id, ceil(n / (4.0::DOUBLE * (1.0::DOUBLE - least(0.03::DOUBLE, pu / n * 0.3::DOUBLE + nl / n * 0.3::DOUBLE + ws / n * 0.05::DOUBLE))))::INT AS openai,
-  ceil(n / (4.3::DOUBLE * (1.0::DOUBLE - least(0.05::DOUBLE, pu / n * 0.5::DOUBLE + nl / n * 0.5::DOUBLE))))::INT AS claude,
-  ceil(n / (3.3::DOUBLE * (1.0::DOUBLE - least(0.10::DOUBLE, sy / n * 0.5::DOUBLE + (1 - le / n) * 0.05::DOUBLE))))::INT AS codex FROM c"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents),
+c AS (SELECT doc_id, length(text)::DOUBLE AS n, len(regexp_extract_all(text, '\p{L}')) AS le, len(regexp_extract_all(text, chr(10))) AS nl,
+  len(regexp_extract_all(text, '[ \t]')) AS ws, len(regexp_extract_all(text, '[.,;:!?''"]')) AS pu, len(regexp_extract_all(text, '[#$%&()*+\-/0-9<=>@\[\\\]^_`{|}~]')) AS sy,
+  len(regexp_extract_all(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]')) / length(text)::DOUBLE AS cjk FROM t),
+f AS (SELECT *, CASE WHEN cjk > 0.3 THEN 0.0 WHEN cjk > 0.1 THEN 1.0::DOUBLE - (cjk - 0.1::DOUBLE) / 0.2::DOUBLE ELSE 1.0 END::DOUBLE AS own FROM c),
+r AS (SELECT *, least(0.03::DOUBLE, pu / n * 0.3::DOUBLE + nl / n * 0.3::DOUBLE + ws / n * 0.05::DOUBLE) AS lo, least(0.05::DOUBLE, pu / n * 0.5::DOUBLE + nl / n * 0.5::DOUBLE) AS lc,
+  least(0.10::DOUBLE, sy / n * 0.5::DOUBLE + (1 - le / n) * 0.05::DOUBLE) AS lx FROM f)
+SELECT doc_id, """ + ", ".join(
+    f"CASE WHEN n = 0 THEN 0 ELSE ceil(n / greatest(1.5::DOUBLE, least(8.0::DOUBLE, CASE WHEN own = 1 THEN {base}::DOUBLE ELSE 1.7::DOUBLE + ({base}::DOUBLE - 1.7::DOUBLE) * own END * (1.0::DOUBLE - {less})))) END::INT AS {name}"
+    for name, base, less in (("openai", 4.0, "lo"), ("claude", 4.3, "lc"), ("codex", 3.3, "lx"))
+) + " FROM r"
 
 
 @add("token_estimate_model", _MODEL_SQL)
 def token_estimate_model(t):
-    x = F.col("text")
-    return t.documents.select("doc_id", T.model_tokens(x, "OPENAI").alias("openai"), T.model_tokens(x, "CLAUDE").alias("claude"), T.model_tokens(x, "CODEX").alias("codex"))
+    counted = t.documents.select("doc_id", T.char_counts(F.col("text")).alias("c"))
+    return counted.select("doc_id", *(T.model_tokens(F.col("c"), m).alias(m.lower()) for m in ("OPENAI", "CLAUDE", "CODEX")))
 
 
 @add("html_source_extract", r"""
@@ -207,7 +214,7 @@ def delete_artifacts(t):
 
 @add("surrogate_keys", "SELECT 1000 + row_number() OVER (ORDER BY page_id) AS id, url FROM pages")
 def surrogate_keys(t):
-    return t.pages.withColumn("id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("page_id")) + F.lit(1000).cast("long")).select("id", "url")
+    return K.numbered(t.pages.select("page_id", "url"), [F.asc("page_id"), F.asc("url")], "id", 1001).select("id", "url")
 
 
 @add("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -271,6 +278,15 @@ def files_per_root(t):
     return C.files(t.documents).groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("unified_diff", """
+WITH a AS (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark), b AS (SELECT doc_id AS item_id, string_split(text, chr(10)) AS y FROM documents), j AS (SELECT item_id, x, y, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i FROM a JOIN b USING (item_id)),
+l AS (SELECT item_id, i, CASE WHEN x[i] IS NOT DISTINCT FROM y[i] THEN ' ' || x[i] WHEN x[i] IS NULL THEN '+' || y[i] WHEN y[i] IS NULL THEN '-' || x[i] ELSE '-' || x[i] || chr(10) || '+' || y[i] END AS s FROM j)
+SELECT item_id, string_agg(s, chr(10) ORDER BY i) AS diff FROM l GROUP BY item_id""")
+def unified_diff(t):
+    b = t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("after"))
+    return t.benchmark.join(b, "item_id").select("item_id", K.unified_diff(F.col("text"), F.col("after")).alias("diff"))
+
+
 @add("line_diff", """
 WITH a AS (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark), b AS (SELECT doc_id AS item_id, string_split(text, chr(10)) AS y FROM documents)
 SELECT item_id, list_sum(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: CASE WHEN x[i] IS DISTINCT FROM y[i] THEN 1 ELSE 0 END))::BIGINT AS changed, greatest(len(x), len(y))::INT AS lines FROM a JOIN b USING (item_id)""")
@@ -281,19 +297,31 @@ def line_diff(t):
     return a.join(b, "item_id").select("item_id", changed.cast("long").alias("changed"), F.greatest(F.size("x"), F.size("y")).alias("lines"))
 
 
+_SNIPPETS_SQL = f"""{C.CHUNKS_SQL}, {C.FILES_SQL}, s AS (SELECT chunk_id, summary AS label, kind, content AS text, start_line, end_line, token_count::BIGINT AS tokens, abs_path AS file_path, language, (token_count % 50) / 50.0::DOUBLE AS score
+  FROM chunks JOIN files USING (file_id) WHERE contains(content, 'ing') AND NOT is_deleted),
+kept AS (SELECT * FROM (SELECT *, sum(tokens) OVER (ORDER BY score DESC, file_path, chunk_id) AS used FROM s) WHERE used <= 20000)"""
+
+
+def _snippets(t):
+    c = C.chunks(t.documents).filter(F.contains("content", F.lit("ing"))).join(C.files(t.documents).filter(~F.col("is_deleted")), "file_id")
+    return c.select(
+        "chunk_id", F.col("summary").alias("label"), "kind", F.col("content").alias("text"), "start_line", "end_line", F.col("token_count").cast("long").alias("tokens"),
+        F.col("abs_path").alias("file_path"), "language", (F.col("token_count") % 50 / 50.0).alias("score"),
+    )
+
+
 @add("task_context_stats", f"""
-WITH {C.CHUNKS_SQL} SELECT count(*)::BIGINT AS snippets, count(DISTINCT file_id)::BIGINT AS files, sum(token_count)::BIGINT AS tokens, sum(strlen(content))::BIGINT AS bytes FROM chunks WHERE ordinal < 3""")
+WITH {_SNIPPETS_SQL} SELECT count(*)::BIGINT AS snippets, count(DISTINCT file_path)::BIGINT AS files, sum(tokens)::BIGINT AS tokens, sum(strlen(text))::BIGINT AS bytes FROM kept""")
 def task_context_stats(t):
-    c = C.chunks(t.documents).filter("ordinal < 3")
-    return c.agg(F.count(F.lit(1)).alias("snippets"), F.countDistinct("file_id").alias("files"), F.sum("token_count").alias("tokens"), F.sum(F.octet_length("content")).alias("bytes"))
+    return R.context_statistics(R.within_budget(_snippets(t), 20000))
 
 
 @add("task_context_xml", f"""
-WITH {C.CHUNKS_SQL} SELECT file_id, '<file id="' || file_id || '">' || string_agg('<snippet ordinal="' || ordinal || '"><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></snippet>', '' ORDER BY ordinal) || '</file>' AS xml FROM chunks WHERE ordinal < 3 GROUP BY file_id""")
+WITH {_SNIPPETS_SQL}, x AS (SELECT file_path, language, score, chunk_id, '<snippet label="' || label || '" kind="' || kind || '" score="' || printf('%.3f', score) || '" lines="' || start_line || '-' || end_line || '" token_estimate="' || tokens
+  || '"><content><![CDATA[' || replace(text, ']]>', ']]]]><![CDATA[>') || ']]></content></snippet>' AS e FROM kept)
+SELECT file_path, '<file path="' || file_path || '" language="' || any_value(language) || '">' || string_agg(e, '' ORDER BY score DESC, chunk_id) || '</file>' AS xml FROM x GROUP BY file_path""")
 def task_context_xml(t):
-    one = F.concat(F.lit('<snippet ordinal="'), F.col("ordinal").cast("string"), F.lit('"><![CDATA['), F.replace("content", F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]></snippet>"))
-    c = C.chunks(t.documents).filter("ordinal < 3").select("file_id", F.struct("ordinal", one.alias("x")).alias("e")).groupBy("file_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    return c.select("file_id", F.concat(F.lit('<file id="'), F.col("file_id").cast("string"), F.lit('">'), F.array_join("es.x", ""), F.lit("</file>")).alias("xml"))
+    return R.context_xml(R.within_budget(_snippets(t), 20000))
 
 
 @add("row_invariants", f"""
@@ -314,3 +342,78 @@ def chunk_formats(t):
 @add("symbol_extraction")
 def symbol_extraction(t):
     return CK.symbols(CK.with_path(t.documents, "doc_id", "text", "txt")).select("file_id", "symbol_type", "name")
+
+
+@add("files_modified_since", f"WITH {C.FILES_SQL} SELECT file_id, abs_path, indexed_at FROM files WHERE indexed_at >= TIMESTAMP '2024-01-01 01:40:00' ORDER BY indexed_at, file_id")
+def files_modified_since(t):
+    return K.modified_since(C.files(t.documents), F.lit("2024-01-01 01:40:00").cast("timestamp_ntz")).select("file_id", "abs_path", "indexed_at")
+
+
+@add("live_files", f"WITH {C.FILES_SQL} SELECT file_id, abs_path FROM files WHERE NOT is_deleted")
+def live_files(t):
+    return C.files(t.documents).filter(~F.col("is_deleted")).select("file_id", "abs_path")
+
+
+@add("chunks_by_kind", f"WITH {C.CHUNKS_SQL} SELECT chunk_id, file_id, ordinal, kind, summary FROM chunks WHERE kind = 'TABLE' AND summary LIKE 'src1%' ORDER BY file_id, ordinal")
+def chunks_by_kind(t):
+    found = C.chunks(t.documents).filter((F.col("kind") == "TABLE") & F.col("summary").startswith("src1"))
+    return found.select("chunk_id", "file_id", "ordinal", "kind", "summary").orderBy("file_id", "ordinal")
+
+
+@add("embeddings_by_chunks", """
+WITH e AS (SELECT vec_id * 100000 AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 'm1' ELSE 'm2' END AS model, len(embedding)::INT AS dimensions FROM embeddings),
+wanted AS (SELECT (doc_id * 100000) AS chunk_id FROM labels WHERE toxic = 1) SELECT chunk_id, model, dimensions FROM e WHERE model = 'm1' AND chunk_id IN (SELECT chunk_id FROM wanted)""")
+def embeddings_by_chunks(t):
+    """A list of ids of any length is a semi join."""
+    e = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.when(F.col("vec_id") % 3 == 0, "m1").otherwise("m2").alias("model"), F.size("embedding").alias("dimensions"))
+    return e.filter("model = 'm1'").join(t.labels.filter("toxic = 1").select((F.col("doc_id") * 100000).alias("chunk_id")), "chunk_id", "left_semi")
+
+
+_FILE_SYMBOLS_SQL = "fs AS (SELECT l_suppkey % 50 AS file_id, l_orderkey * 10 + l_linenumber AS symbol_id, l_returnflag || l_linenumber AS name, CASE WHEN l_linenumber <= 5 THEN l_linenumber::INT END AS start_line FROM lineitem)"
+
+
+def _file_symbols(t):
+    return t.lineitem.select(
+        (F.col("l_suppkey") % 50).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("symbol_id"),
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("name"), F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber").cast("int")).alias("start_line"),
+    )
+
+
+@add("symbols_by_file", f"WITH {_FILE_SYMBOLS_SQL} SELECT file_id, name, start_line FROM fs WHERE file_id IN (3, 7) ORDER BY file_id, start_line NULLS FIRST, name")
+def symbols_by_file(t):
+    return K.symbols_of(_file_symbols(t), 3, 7).select("file_id", "name", "start_line")
+
+
+@add("replace_symbols", f"WITH {_FILE_SYMBOLS_SQL} SELECT file_id, symbol_id, name FROM fs WHERE file_id NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT n_nationkey, n_regionkey, n_name FROM nation")
+def replace_symbols(t):
+    """New symbols of some files replace all that these files had."""
+    new = t.nation.select(F.col("n_nationkey").alias("file_id"), F.col("n_regionkey").alias("symbol_id"), F.col("n_name").alias("name"))
+    return K.replaced(_file_symbols(t).select("file_id", "symbol_id", "name"), new, "file_id")
+
+
+@add("discovery_filters", f"""
+WITH {C.FILES_SQL}, f AS (SELECT file_id, replace(abs_path, '.txt', CASE WHEN file_id % 4 = 0 THEN '.LOG' ELSE '.txt' END) AS path, size_bytes FROM files)
+SELECT file_id, path = 'src2' OR starts_with(path, 'src2/') OR path = 'src1/en' OR starts_with(path, 'src1/en/') AS included, NOT (ends_with(lower(path), '.log') OR ends_with(lower(path), '.tmp')) AS allowed,
+  size_bytes <= 2000 OR regexp_matches(path, '^src2/.*$') AS small FROM f""")
+def discovery_filters(t):
+    """Include list, blocked extensions, and a size limit with exceptions."""
+    f = C.files(t.documents).withColumn("path", F.replace("abs_path", F.lit(".txt"), F.when(F.col("file_id") % 4 == 0, ".LOG").otherwise(".txt")))
+    path = F.col("path")
+    return f.select(
+        "file_id", K.included(path, ["src2", "src1/en/"]).alias("included"), K.extension_allowed(path, block=["log", ".tmp"]).alias("allowed"),
+        K.small_enough(path, F.col("size_bytes"), 2000, ["src2/**"]).alias("small"),
+    )
+
+
+@add("file_grid_sorted", f"""
+WITH {C.FILES_SQL}, {C.CHUNKS_SQL}, n AS (SELECT file_id, count(*) AS n FROM chunks GROUP BY 1),
+g AS (SELECT f.file_id, abs_path, coalesce(n, 0)::BIGINT AS n_chunks, CASE WHEN is_deleted THEN 'error' WHEN size_bytes < 100 THEN 'pending' WHEN f.file_id % 7 > 3 THEN 'outdated' ELSE 'indexed' END AS status FROM files f LEFT JOIN n USING (file_id))
+SELECT 'status' AS sort, file_id, status, n_chunks FROM (SELECT * FROM g ORDER BY list_position(['error', 'outdated', 'pending', 'indexed'], status), abs_path LIMIT 50)
+UNION ALL SELECT 'chunks', file_id, status, n_chunks FROM (SELECT * FROM g ORDER BY n_chunks DESC, abs_path LIMIT 50)""")
+def file_grid_sorted(t):
+    """Pages of the grid by status and by chunk count."""
+    n = C.chunks(t.documents).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    status = K.file_status(F.col("is_deleted"), F.when(F.col("size_bytes") < 100, "").otherwise("h"), F.col("file_id") % 7, F.lit(3))
+    g = C.files(t.documents).join(n, "file_id", "left").withColumn("n_chunks", F.coalesce("n", F.lit(0))).withColumn("status", status)
+    page = lambda by, down: g.orderBy(*K.grid_order(by, down)).limit(50).select(F.lit(by).alias("sort"), "file_id", "status", "n_chunks")
+    return page("status", False).unionByName(page("chunks", True))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
+from quillspark.operators import context as X
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import Registry, Tables
 from quillspark.sources import corpus as C
@@ -132,7 +135,7 @@ def _lexical_sql(words: list[str], content: str = "content") -> str:
       FROM (SELECT *, ({score})::DOUBLE AS lex FROM {lateral}))"""
 
 
-_BASE_SQL = r"""base AS (SELECT chunk_id, file_id, ordinal, token_count, content, lower(content) AS low,
+_BASE_SQL = r"""base AS (SELECT chunk_id, file_id, ordinal, token_count, content, summary, lower(content) AS low,
   '  ' || regexp_replace(lower(content), '[^\p{L}\p{Nd}]', '  ', 'g') || '  ' AS pad FROM chunks)"""
 
 
@@ -221,7 +224,7 @@ def _hits(t):
 def _rrf_sql(weights: str) -> str:
     return f"""WITH {_HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, file_path, chunk_id) AS rank FROM hits)
 SELECT chunk_id, file_path, round(sum({weights} / (60 + rank)), 9) AS score, count(DISTINCT provider)::BIGINT AS agreement, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources
-FROM r GROUP BY chunk_id, file_path"""
+FROM r WHERE rank <= 1000 GROUP BY chunk_id, file_path"""
 
 
 @add("rrf_fusion", _rrf_sql("1.0::DOUBLE"))
@@ -329,7 +332,7 @@ def provider_merge_fallback(t):
     return strong.unionByName(weak.join(F.broadcast(some), F.lit(True), "left_anti")).select("provider", "chunk_id", "score")
 
 
-_CONTEXT_SQL = f"""WITH {_FULLTEXT_SQL}, q AS (SELECT {_Q} AS v),
+_HYBRID_SQL = f"""WITH {_FULLTEXT_SQL}, q AS (SELECT {_Q} AS v),
 sem AS (SELECT 'semantic' AS provider, c.chunk_id, c.file_id, c.ordinal, f.abs_path AS file_path, f.language, c.token_count AS tokens,
     list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), (SELECT v FROM q)) AS score
   FROM embeddings e JOIN chunks c ON c.file_id = e.vec_id AND c.ordinal = 0 JOIN files f ON f.file_id = c.file_id),
@@ -344,9 +347,9 @@ b AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, file_path, chunk_id)::BIG
 SELECT rank::INT AS rank, chunk_id, file_path, score, sources, used FROM b WHERE used <= 4000"""
 
 
-@add("query_context", _CONTEXT_SQL)
-def query_context(t):
-    """Both providers, thresholds, boosts, fusion, top k and the token budget in one plan."""
+@add("hybrid_context", _HYBRID_SQL)
+def hybrid_context(t):
+    """Two providers by rank fusion: thresholds, boosts, top k and the token budget in one plan."""
     chunks, files = C.chunks(t.documents), C.files(t.documents)
     first = chunks.filter("ordinal = 0").join(files, "file_id")
     vectors = t.embeddings.select(F.col("vec_id").alias("file_id"), F.col("embedding").alias("vector")).join(first, "file_id").select("vector", "chunk_id", F.col("abs_path").alias("file_path"), "language", F.col("token_count").alias("tokens"))
@@ -360,3 +363,100 @@ def query_context(t):
     kept = R.budget_prefix(top, 4000, [F.lit(0)], R.by_rank())
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*R.by_rank()))
     return kept.withColumn("rank", rank).select("rank", "chunk_id", "file_path", "score", "sources", "used")
+
+
+_ASKED = X.Request(
+    "The this src7/en/7.txt", k=40, max_tokens=4000, limit=64, least=0.1, path_boosts={"src1": 1.2, "src7/en": 1.5}, language_boosts={"fr": 1.1}, window=1
+)
+
+
+def _corpus(t) -> X.Corpus:
+    vectors = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("m").alias("model"))
+    return X.Corpus(C.chunks(t.documents), C.files(t.documents), vectors, C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id"), C.commits(t.lineitem))
+
+
+def _asked(t, **changes) -> X.Request:
+    return dataclasses.replace(_ASKED, vector=_query_vector(t), **changes)
+
+
+_WORDS = T.keywords(_ASKED.query)
+_PROVIDERS_SQL = f"""{C.CHUNKS_SQL}, {C.FILES_SQL}, {_BASE_SQL}, {C.DOC_SYMBOLS_SQL}, {C.COMMITS_SQL}, live AS (SELECT * FROM files WHERE NOT is_deleted), q AS (SELECT {_Q} AS v),
+ft AS (SELECT 'full_text' AS provider, x.chunk_id, abs_path AS file_path, round(score, 9) AS score, token_count::BIGINT AS tokens, x.file_id, x.ordinal
+  FROM {_lexical_sql(_WORDS)} x JOIN live USING (file_id) WHERE {" AND ".join(f"(contains(low, '{w}') OR contains(lower(summary), '{w}'))" for w in _WORDS)} AND score > 0 AND NOT is_deleted
+  ORDER BY 4 DESC, 3, 2 LIMIT 64),
+sem_all AS (SELECT c.chunk_id, f.abs_path AS file_path, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), (SELECT v FROM q)) AS s, c.token_count::BIGINT AS tokens, c.file_id, c.ordinal
+  FROM embeddings e JOIN chunks c ON c.chunk_id = e.vec_id * 100000 JOIN live f ON f.file_id = c.file_id),
+sem AS (SELECT 'semantic' AS provider, chunk_id, file_path, round(s, 9) AS score, tokens, file_id, ordinal FROM sem_all WHERE s >= 0 ORDER BY round(s, 9) DESC, chunk_id LIMIT 64),
+sy_all AS (SELECT s.*, abs_path, least(1.0::DOUBLE, CASE symbol_type WHEN 'CLASS' THEN 1.0 WHEN 'METHOD' THEN 0.85 ELSE 0.75 END::DOUBLE * 0.7::DOUBLE + 0.2::DOUBLE * 0.3::DOUBLE
+    + CASE WHEN lower(name) = 'the' OR lower(qualified_name) = 'the' THEN 0.15 ELSE 0.0 END::DOUBLE) AS score
+  FROM doc_symbols s JOIN live f USING (file_id) WHERE lower(name) = 'the' OR contains(lower(qualified_name), 'the')),
+sy_top AS (SELECT * FROM sy_all ORDER BY score DESC, abs_path, symbol_id LIMIT 64),
+sy AS (SELECT 'symbol' AS provider, c.chunk_id, abs_path AS file_path, round(score, 9) AS score, c.token_count::BIGINT AS tokens, c.file_id, c.ordinal FROM sy_top s JOIN chunks c ON c.file_id = s.file_id
+  AND CASE WHEN s.start_line IS NULL THEN c.ordinal = 0 ELSE c.start_line <= s.start_line AND c.end_line >= coalesce(s.end_line, s.start_line) END),
+named AS (SELECT file_id FROM live WHERE abs_path IN ({", ".join(f"'{p}'" for p in T.paths_in(_ASKED.query))})),
+log AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY moment DESC, "commit" DESC) AS k FROM commits WHERE file_id IN (SELECT file_id FROM named)),
+aged AS (SELECT file_id, 1.0::DOUBLE - (k - 1) / (count(*) OVER (PARTITION BY file_id) * 2.0::DOUBLE) AS score FROM log WHERE k <= 10),
+together AS (SELECT l.file_id AS of, c.file_id, count(DISTINCT c."commit") AS n FROM commits c JOIN log l ON l."commit" = c."commit" AND l.k <= 20 AND l.file_id <> c.file_id GROUP BY 1, 2 HAVING count(DISTINCT c."commit") >= 2),
+beside AS (SELECT file_id, 0.7::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY of ORDER BY n DESC, file_id) AS k FROM together) WHERE k <= 5),
+git AS (SELECT 'git_history' AS provider, c.chunk_id, abs_path AS file_path, round(score, 9) AS score, c.token_count::BIGINT AS tokens, c.file_id, c.ordinal
+  FROM (SELECT file_id, max(score) AS score FROM (SELECT file_id, score FROM aged UNION ALL SELECT * FROM beside) GROUP BY 1) g JOIN chunks c ON c.file_id = g.file_id AND c.ordinal = 0 JOIN live f ON f.file_id = c.file_id
+  ORDER BY 4 DESC, 3, 2 LIMIT 64),
+al AS (SELECT * FROM sem UNION ALL SELECT * FROM sy UNION ALL SELECT * FROM ft UNION ALL SELECT * FROM git)"""
+
+_QUERY_SQL = f"""WITH {_PROVIDERS_SQL},
+best AS (SELECT chunk_id, file_path, max(score) AS score, min(file_id) AS file_id, min(ordinal) AS ordinal, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources FROM al GROUP BY 1, 2),
+kept AS (SELECT * FROM (SELECT b.* EXCLUDE (score), round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, b.score * CASE WHEN contains(file_path, 'src7/en') THEN 1.5 WHEN contains(file_path, 'src1') THEN 1.2 ELSE 1.0 END::DOUBLE
+  * CASE WHEN language = 'fr' THEN 1.1 ELSE 1.0 END::DOUBLE)), 9) AS score FROM best b JOIN live USING (file_id)) WHERE score >= 0.1),
+near AS (SELECT file_id, ordinal + d AS ordinal, max(CASE WHEN d = 0 THEN score END) AS hit, max(CASE WHEN d = 0 THEN sources END) AS sources, max(score * 0.5::DOUBLE) AS beside
+  FROM kept, (VALUES (-1), (0), (1)) v(d) GROUP BY 1, 2),
+found AS (SELECT c.chunk_id, round(coalesce(hit, beside), 9) AS score, f.abs_path AS file_path, c.summary AS label, c.kind, c.content AS text, f.language, c.start_line, c.end_line, c.ordinal,
+  c.token_count::BIGINT AS tokens, coalesce(n.sources, '') AS sources, hit IS NOT NULL AS is_hit FROM near n JOIN chunks c ON c.file_id = n.file_id AND c.ordinal = n.ordinal JOIN live f ON f.file_id = c.file_id),
+ranked AS (SELECT *, (row_number() OVER (ORDER BY file_path, ordinal))::INT AS rank, (sum(tokens) OVER (ORDER BY file_path, ordinal))::BIGINT AS used FROM found)
+SELECT * FROM ranked WHERE used <= 4000 AND rank <= 40"""
+
+
+@add("query_context", _QUERY_SQL)
+def query_context(t):
+    """Four providers, the best hit of each chunk, boosts, threshold, neighbours, budget and k, with the snippets' text."""
+    return X.query_context(_corpus(t), _asked(t))
+
+
+@add("query_context_mmr")
+def query_context_mmr(t):
+    """The same with the diversity step instead of neighbours."""
+    found = X.query_context(_corpus(t), _asked(t, window=0, diversity=0.5, k=10, path_boosts={}, language_boosts={}))
+    return found.select("rank", "chunk_id", "score", "file_path", "sources", "used")
+
+
+_PROVIDER_SQL = f"""WITH {_PROVIDERS_SQL} SELECT provider, chunk_id, file_path, score, tokens, file_id, ordinal FROM al"""
+
+
+@add("provider_hits", _PROVIDER_SQL)
+def provider_hits(t):
+    """What each provider gives on its own."""
+    return X.gathered(_corpus(t), _asked(t))
+
+
+@add("hybrid_provider", f"""WITH {_PROVIDERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, file_path, chunk_id) AS rank FROM al)
+SELECT chunk_id, file_path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(tokens)::BIGINT AS tokens FROM r GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1 LIMIT 64""")
+def hybrid_provider(t):
+    return X.gathered(_corpus(t), _asked(t), ("hybrid",)).select("chunk_id", "file_path", "score", "tokens")
+
+
+@add("scoped_context", f"""WITH {C.CHUNKS_SQL}, {C.FILES_SQL}, {_BASE_SQL}, x AS (SELECT l.*, k.kind FROM {_lexical_sql(["this", "ing"])} l JOIN chunks k USING (chunk_id))
+SELECT chunk_id, abs_path AS file_path, round(score, 9) AS score FROM x JOIN files USING (file_id)
+WHERE NOT is_deleted AND contains(low, 'this') AND contains(low, 'ing') AND score > 0 AND starts_with(abs_path, 'src1') AND language = 'en' AND kind = 'PARAGRAPH' AND NOT regexp_matches(abs_path, '^.*/[^/]*7[.]txt$')
+ORDER BY 3 DESC, 2, 1 LIMIT 64""")
+def scoped_context(t):
+    """One scope for a provider: path prefix, language, kind, glob."""
+    scope = X.Scope(paths=("src1",), languages=("EN",), kinds=("PARAGRAPH",), exclude=("**/*7.txt",))
+    return X.gathered(_corpus(t), _asked(t, query="this ing", scope=scope), ("full_text",)).select("chunk_id", "file_path", "score")
+
+
+@add("paths_in_query", r"""
+SELECT doc_id, list_distinct(regexp_extract_all(t, '(?:\.{0,2}/)?(?:[a-zA-Z0-9_-]+/)*[a-zA-Z0-9_-]+\.[a-zA-Z]{1,5}')).list_sort() AS paths
+FROM (SELECT doc_id, 'see ./' || source || '/' || lang || '/' || doc_id || '.txt and Main' || doc_id || '.kt, not ' || left(text, 40) AS t FROM documents)""")
+def paths_in_query(t):
+    """Paths that each of many queries names."""
+    asked = F.concat(F.lit("see ./"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt and Main"), F.col("doc_id").cast("string"), F.lit(".kt, not "), F.substring("text", 1, 40))
+    return t.documents.select("doc_id", F.array_sort(T.path_column(asked)).alias("paths"))
