@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.session import bounded_broadcast
+
 # Words that make a task critical.
 CRITICAL = (
-    "security vulnerability xss csrf injection auth authentication authorization oauth jwt payment payments checkout pci "
-    "encryption cryptography crypto gdpr pii secrets token admin privilege rce dos ddos"
-).split()
+    "security", "vulnerability", "xss", "csrf", "injection", "auth", "authentication", "authorization", "oauth", "jwt", "payment", "payments", "checkout", "pci",
+    "encryption", "cryptography", "crypto", "gdpr", "pii", "secrets", "token", "admin", "privilege", "rce", "dos", "ddos",
+)
 
 # Weights of words that speak for complexity and for risk.
 COMPLEXITY = {
@@ -171,15 +173,17 @@ def token_budget(complexity: Column, consensus: Column, kind: Column, base: int
     return F.struct(most.alias("max_tokens"), held.alias("reserve"), (most - held).alias("available"), F.when(kind == "ARCHITECTURE", 0.8).when(kind == "RESEARCH", 0.6).otherwise(0.3).alias("diversity"))
 
 
-def selected_agents(tasks: DataFrame, agents: DataFrame, most: int = 1) -> DataFrame:
+def selected_agents(tasks: DataFrame, agents: DataFrame, most: int = 1, broadcast_rows: int = 100_000) -> DataFrame:
     """The best agents of each task (task_id, needs): all needs met, not offline; strength - 10 if busy - load.
 
-    Agents are a fixed, small staff: joined by need, not crossed with the tasks.
+    Agents are ranked once for each different set of needs, and tasks take the ranks of theirs.
     """
-    skills = F.broadcast(agents.filter("status <> 'OFFLINE'").select("agent_id", "status", "load", "strengths", F.explode("capabilities").alias("need")))
-    met = tasks.select("task_id", F.size("needs").alias("n"), F.explode("needs").alias("need")).join(skills, "need")
+    asked = tasks.select("task_id", F.array_sort(F.array_distinct("needs")).alias("needs"))
+    skills = agents.filter("status <> 'OFFLINE'").select("agent_id", "status", "load", "strengths", F.explode("capabilities").alias("need"))
+    met = asked.select("needs").distinct().withColumn("need", F.explode("needs")).join(bounded_broadcast(skills, broadcast_rows), "need")
     mean = F.avg(F.coalesce(F.try_element_at("strengths", F.col("need")), F.lit(50.0)))
-    scored = met.groupBy("task_id", "n", "agent_id").agg(F.count(F.lit(1)).alias("k"), mean.alias("strength"), F.first("status").alias("status"), F.first("load").alias("load"))
+    scored = met.groupBy("needs", "agent_id").agg(F.count(F.lit(1)).alias("k"), mean.alias("strength"), F.first("status").alias("status"), F.first("load").alias("load"))
     score = F.col("strength") - F.when(F.col("status") == "BUSY", 10.0).otherwise(0.0) - F.col("load")
-    rank = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("score"), "agent_id"))
-    return scored.filter("k = n").withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= most).select("task_id", "agent_id", "score", "rank")
+    rank = F.row_number().over(W.partitionBy("needs").orderBy(F.desc("score"), "agent_id"))
+    best = scored.filter("k = size(needs)").withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return asked.join(bounded_broadcast(best.select("needs", "agent_id", "score", "rank"), broadcast_rows), "needs").select("task_id", "agent_id", "score", "rank")

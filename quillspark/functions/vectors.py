@@ -35,3 +35,15 @@ def cosine(v: Column, query: list[float]) -> Column:
 
 def is_unit(v: Column, tolerance: float = 1e-4) -> Column:
     return F.abs(squared_norm(v) - 1) < tolerance
+
+
+def encoded(v: Column) -> Column:
+    """A vector as text: ``[a, b, c]``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ", "), F.lit("]"))
+
+
+def decoded(text: Column) -> Column:
+    """The vector of a text; blanks and empty places are passed over."""
+    bare = F.regexp_replace(F.btrim(text), r"^\[|\]$", "")
+    parts = F.filter(F.transform(F.split(bare, ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.transform(parts, lambda x: x.cast("float"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.catalog import numbered
+from quillspark.session import bounded_broadcast
+
 AGGREGATES = {
     "COUNT": lambda c: F.count(c).cast("double"),
     "SUM": F.sum,
@@ -32,6 +35,58 @@ def aggregate(metrics: DataFrame, kinds: list[str], by: list[Column] = ()) -> Da
     return metrics.groupBy(*by).agg(*[AGGREGATES[k](F.col("value")).alias(k.lower()) for k in kinds])
 
 
+def exact_percentile(metrics: DataFrame, q: float, by: list[str] = ()) -> DataFrame:
+    """The discrete percentile of ``value`` for each group, from ranks of one distributed sort: no task holds a group's values."""
+    ranked = numbered(metrics.filter(F.col("value").isNotNull()).select(*by, "value"), [*(F.asc_nulls_first(c) for c in by), F.asc("value")], "__k")
+    sizes = ranked.groupBy(*by).agg(F.min("__k").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    at = F.col("__first") + F.greatest(F.ceil(F.lit(q) * F.col("__n")), F.lit(1)) - 1
+    wanted = sizes.withColumn("__k", at).select("__k")
+    return ranked.join(wanted, "__k").select(*by, F.col("value").alias(f"p{round(100 * q)}"))
+
+
+def finite(value: Column) -> Column:
+    """The value, null if it is not a number or infinite."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def recent(metrics: DataFrame, names: list[str], kind: str = "SUM", hours: int = 24) -> DataFrame:
+    """(metric_name, value) of the named metrics in the ``hours`` up to the newest row; the sum unless another aggregate is asked for."""
+    last = F.broadcast(metrics.agg(F.max("ts").alias("__last")))  # one row
+    rows = metrics.filter(F.col("metric_name").isin(names)).join(last, F.col("ts") > F.col("__last") - F.make_dt_interval(hours=F.lit(hours)))
+    return rows.groupBy("metric_name").agg(finite(AGGREGATES[kind](F.col("value"))).alias("value"))
+
+
+def snapshots(metrics: DataFrame, every: str = "5 minutes") -> DataFrame:
+    """Count, sum and largest value of each metric in every interval: what a periodic snapshot writes. Also runs on a stream with a watermark."""
+    w = F.window("ts", every)
+    return metrics.groupBy(w.alias("w"), "metric_name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.max("value").alias("max"))
+
+
+def retained(alerts: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Alerts but those acknowledged ``days`` ago or earlier."""
+    return alerts.filter(~(F.coalesce(F.col("acknowledged"), F.lit(False)) & (F.col("ts") < now - F.make_dt_interval(days=F.lit(days)))))
+
+
+def success_rates(records: DataFrame) -> DataFrame:
+    """(level, key, rate, n): overall, by task and by agent, in one pass over the records."""
+    levels = F.array(
+        F.struct(F.lit("overall").alias("level"), F.lit("").alias("key")), F.struct(F.lit("task").alias("level"), F.col("task_id").cast("string").alias("key")),
+        F.struct(F.lit("agent").alias("level"), F.col("agent_id").cast("string").alias("key")),
+    )
+    each = records.select(F.explode(levels).alias("l"), "success")
+    return each.groupBy("l.level", "l.key").agg(rate(F.col("success")).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+def before_after(metrics: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, before, after): the mean value of the earlier half of each group's rows, one at least, and of the later half, by ranks of one sort."""
+    ranked = numbered(metrics, [F.asc_nulls_first(by), *(F.asc(c) for c in order)], "__k")
+    sizes = ranked.groupBy(F.col(by).alias("__by")).agg(F.min("__k").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    half = F.col("__first") + F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
+    met = ranked.join(bounded_broadcast(sizes, 100_000), F.col(by).eqNullSafe(F.col("__by")))
+    mean = lambda keep: F.avg(F.when(keep, F.col("value")))
+    return met.groupBy(by).agg(mean(F.col("__k") < half).alias("before"), mean(F.col("__k") >= half).alias("after"))
+
+
 def bucket(unit: str) -> Column:
     return F.date_trunc(unit, "ts").alias("bucket")
 
@@ -71,4 +126,5 @@ def calibration(outcomes: DataFrame, bins: int = 5, closed_top: bool = False) ->
 
 def alerts(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metric rows at or above their name's enabled threshold."""
-    return metrics.join(F.broadcast(thresholds.filter("enabled")), "metric_name").filter(F.col("value") >= F.col("threshold"))  # one row for each metric name
+    few = bounded_broadcast(thresholds.filter("enabled"), 100_000)
+    return metrics.join(few, "metric_name").filter(F.col("value") >= F.col("threshold"))

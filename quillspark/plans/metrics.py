@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
+from quillspark.operators.catalog import numbered
 from quillspark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -39,7 +40,10 @@ def _scalar(kind: str):
 
     @add(f"metric_scalar_{low}", f"SELECT {_AGG_SQL[kind]} AS {low} FROM events WHERE event_type = 'purchase'")
     def body(t):
-        out = M.aggregate(_series(t).filter("metric_name = 'purchase'"), [kind])
+        rows = _series(t).filter("metric_name = 'purchase'")
+        if kind.startswith("P"):
+            return M.exact_percentile(rows, int(kind[1:]) / 100)
+        out = M.aggregate(rows, [kind])
         return out.withColumn(low, F.round(low, {"SUM": 4, "AVG": 6}[kind])) if kind in ("SUM", "AVG") else out
 
 
@@ -86,9 +90,36 @@ def _records(t):
     )
 
 
-@add("success_rates", f"WITH {_RECORDS_SQL} SELECT agent_id, round(avg(success::INT), 6) AS rate, count(*)::BIGINT AS n FROM r GROUP BY agent_id")
+@add("success_rates", f"""WITH {_RECORDS_SQL}, l AS (SELECT 'overall' AS level, '' AS key, success FROM r UNION ALL SELECT 'task', task_id::VARCHAR, success FROM r UNION ALL SELECT 'agent', agent_id::VARCHAR, success FROM r)
+SELECT level, key, round(avg(success::INT), 6) AS rate, count(*)::BIGINT AS n FROM l GROUP BY level, key""")
 def success_rates(t):
-    return _records(t).groupBy("agent_id").agg(F.round(M.rate(F.col("success")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return M.success_rates(_records(t)).withColumn("rate", F.round("rate", 6))
+
+
+@add("metrics_recent", """
+SELECT event_type AS metric_name, round(sum(value), 4) AS value FROM events WHERE event_type IN ('click', 'view', 'purchase') AND ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY 1""")
+def metrics_recent(t):
+    return M.recent(_series(t), ["click", "view", "purchase"]).withColumn("value", F.round("value", 4))
+
+
+@add("metrics_not_finite", "SELECT event_type AS metric_name, CASE WHEN event_type = 'view' THEN NULL ELSE round(max(value), 4) END AS value FROM events GROUP BY 1")
+def metrics_not_finite(t):
+    odd = F.when(F.col("metric_name") == "view", F.lit(float("inf"))).otherwise(F.col("value"))
+    return _series(t).withColumn("value", odd).groupBy("metric_name").agg(F.round(M.finite(F.max("value")), 4).alias("value"))
+
+
+@add("metric_snapshots", """
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS started, event_type AS metric_name, count(*)::BIGINT AS n, round(sum(value), 4) AS sum, max(value) AS max FROM events GROUP BY 1, 2""")
+def metric_snapshots(t):
+    s = M.snapshots(_series(t).withColumn("ts", F.col("ts").cast("timestamp")))
+    return s.select(F.col("w.start").cast("timestamp_ntz").alias("started"), "metric_name", "n", F.round("sum", 4).alias("sum"), "max")
+
+
+@add("alert_retention", """
+SELECT event_id AS id FROM events WHERE NOT (event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-20' - INTERVAL 7 DAY)""")
+def alert_retention(t):
+    a = t.events.select(F.col("event_id").alias("id"), "ts", (F.col("event_id") % 3 == 0).alias("acknowledged"))
+    return M.retained(a, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("id")
 
 
 @add("mean_duration", f"WITH {_RECORDS_SQL} SELECT task_id, trunc(avg(duration_ms))::BIGINT AS mean_ms FROM r GROUP BY task_id")
@@ -187,8 +218,7 @@ def _alerts(t):
 
 @add("alert_eval", f"WITH {_ALERTS_SQL} SELECT row_number() OVER (ORDER BY ts, id) AS alert_no, id, metric_name, severity, value FROM a")
 def alert_eval(t):
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("ts", "id")).cast("long")
-    return _alerts(t).withColumn("alert_no", n).select("alert_no", "id", "metric_name", "severity", "value")
+    return numbered(_alerts(t), [F.asc("ts"), F.asc("id")], "alert_no").select("alert_no", "id", "metric_name", "severity", "value")
 
 
 @add("alert_summary", f"WITH {_ALERTS_SQL} SELECT severity, metric_name, count(*)::BIGINT AS n FROM a GROUP BY GROUPING SETS ((severity), (metric_name))")
@@ -199,20 +229,17 @@ def alert_summary(t):
     return by(F.col("severity"), none, "severity").unionByName(by(none, F.col("metric_name"), "metric_name"))
 
 
-@add("alert_query", f"WITH {_ALERTS_SQL} SELECT id, ts, agent_id FROM a WHERE severity = 'WARNING' AND agent_id < 40 ORDER BY ts DESC, id LIMIT 30")
+@add("alert_query", f"WITH {_ALERTS_SQL} SELECT id, ts, agent_id FROM a WHERE severity = 'WARNING' ORDER BY ts DESC, id")
 def alert_query(t):
-    return _alerts(t).filter("severity = 'WARNING' AND agent_id < 40").orderBy(F.desc("ts"), "id").limit(30).select("id", "ts", "agent_id")
+    return _alerts(t).filter("severity = 'WARNING'").orderBy(F.desc("ts"), "id").select("id", "ts", "agent_id")
 
 
 @add("before_after_delta", """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(avg(value) FILTER (k <= greatest(1, n // 2)), 6) AS before, round(avg(value) FILTER (k > greatest(1, n // 2)), 6) AS after FROM r GROUP BY event_type""")
 def before_after_delta(t):
-    w = W.partitionBy("event_type")
-    r = t.events.select("event_type", "value", F.row_number().over(w.orderBy("ts", "event_id")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
-    mean = lambda keep: F.round(F.avg(F.when(keep, F.col("value"))), 6)
-    return r.groupBy("event_type").agg(mean(F.col("k") <= half).alias("before"), mean(F.col("k") > half).alias("after"))
+    out = M.before_after(t.events.select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"])
+    return out.select("event_type", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
 @add("usage_stats", "SELECT count(*)::BIGINT AS n, coalesce(sum(n_chars // 4), 0)::BIGINT AS tokens, round(coalesce(avg(n_chars), 0), 4) AS mean FROM documents")

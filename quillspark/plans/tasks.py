@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import routing as RT
 from quillspark.functions import values as VL
+from quillspark.functions import vectors as VC
 from quillspark.operators import consensus as CS
 from quillspark.operators import fileops as FO
 from quillspark.operators import memory as MM
@@ -66,9 +67,9 @@ def agent_tasks(t):
     return _tasks(t).filter(F.array_contains("assignee_ids", F.lit(42).cast("long"))).select("id")
 
 
-@add("active_tasks", f"WITH {_TASKS_SQL} SELECT id, status FROM tasks WHERE status IN ('PENDING', 'IN_PROGRESS', 'WAITING_INPUT') ORDER BY created_at, id LIMIT 500")
+@add("active_tasks", f"WITH {_TASKS_SQL} SELECT id, status FROM tasks WHERE status IN ('PENDING', 'IN_PROGRESS', 'WAITING_INPUT') ORDER BY created_at, id")
 def active_tasks(t):
-    return _tasks(t).filter(TK.matching(status=TK.ACTIVE)).orderBy("created_at", "id").limit(500).select("id", "status")
+    return _tasks(t).filter(TK.matching(status=TK.ACTIVE)).orderBy("created_at", "id").select("id", "status")
 
 
 @add("home_stats", f"WITH {_TASKS_SQL} SELECT count(*)::BIGINT AS total, count(*) FILTER (status = 'PENDING')::BIGINT AS pending, count(*) FILTER (status = 'COMPLETED')::BIGINT AS completed, count(DISTINCT assignee)::BIGINT AS agents FROM tasks")
@@ -208,21 +209,23 @@ _AGENT_NEEDS = ("CODE_GENERATION", "CODE_REVIEW", "DEBUGGING", "PLANNING")
 
 
 @add("agent_selection", """
-WITH a AS (SELECT n_nationkey AS agent_id, CASE n_nationkey % 7 WHEN 0 THEN 'OFFLINE' WHEN 1 THEN 'BUSY' ELSE 'ONLINE' END AS status, (n_nationkey % 4)::INT AS c1, ((n_nationkey // 4) % 4)::INT AS c2,
-  50.0::DOUBLE + n_nationkey * 37 % 50 AS strength, n_nationkey % 3 AS load FROM nation),
-tk AS (SELECT o_orderkey AS task_id, (o_orderkey % 4)::INT AS need FROM orders),
-m AS (SELECT task_id, agent_id, strength - CASE WHEN status = 'BUSY' THEN 10 ELSE 0 END - load AS score FROM tk JOIN a ON need = c1 OR need = c2 WHERE status <> 'OFFLINE')
-SELECT task_id, agent_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, agent_id) AS rank FROM m) WHERE rank <= 2""")
+WITH a AS (SELECT s_suppkey AS agent_id, CASE s_suppkey % 7 WHEN 0 THEN 'OFFLINE' WHEN 1 THEN 'BUSY' ELSE 'ONLINE' END AS status, (s_suppkey % 4)::INT AS c1, ((s_suppkey // 4) % 4)::INT AS c2,
+  50.0::DOUBLE + s_suppkey * 37 % 50 AS strength, s_suppkey % 3 AS load FROM supplier),
+tk AS (SELECT o_orderkey AS task_id, (o_orderkey % 4)::INT AS n1, ((o_orderkey // 4) % 4)::INT AS n2 FROM orders), w AS (SELECT DISTINCT n1, n2 FROM tk),
+m AS (SELECT n1, n2, agent_id, strength - CASE WHEN status = 'BUSY' THEN 10 ELSE 0 END - load AS score FROM w JOIN a ON n1 IN (c1, c2) AND n2 IN (c1, c2) WHERE status <> 'OFFLINE'),
+r AS (SELECT *, row_number() OVER (PARTITION BY n1, n2 ORDER BY score DESC, agent_id) AS rank FROM m)
+SELECT task_id, agent_id, score, rank::INT AS rank FROM tk JOIN r USING (n1, n2) WHERE rank <= 2""")
 def agent_selection(t):
+    """Suppliers are agents; every order needs one skill or two."""
     names = F.array(*map(F.lit, _AGENT_NEEDS))
-    k = F.col("n_nationkey")
-    c1, c2 = F.get(names, (k % 4).cast("int")), F.get(names, (F.floor(k / 4) % 4).cast("int"))
-    caps, strength = F.array_distinct(F.array(c1, c2)), F.lit(50.0) + k * 37 % 50
-    a = t.nation.select(
+    pick = lambda c, by: F.get(names, (F.floor(c / by) % 4).cast("int"))
+    k, o = F.col("s_suppkey"), F.col("o_orderkey")
+    caps, strength = F.array_distinct(F.array(pick(k, 1), pick(k, 4))), F.lit(50.0) + k * 37 % 50
+    a = t.supplier.select(
         k.alias("agent_id"), F.when(k % 7 == 0, "OFFLINE").when(k % 7 == 1, "BUSY").otherwise("ONLINE").alias("status"), (k % 3).alias("load"),
         caps.alias("capabilities"), F.map_from_arrays(caps, F.transform(caps, lambda x: strength)).alias("strengths"),
     )
-    tasks = t.orders.select(F.col("o_orderkey").alias("task_id"), F.array(F.get(names, (F.col("o_orderkey") % 4).cast("int"))).alias("needs"))
+    tasks = t.orders.select(o.alias("task_id"), F.array(pick(o, 1), pick(o, 4)).alias("needs"))
     return RT.selected_agents(tasks, a, most=2)
 
 
@@ -412,3 +415,90 @@ def latest_config(t):
 
     c = t.customer.select(F.col("c_mktsegment").alias("scope"), F.col("c_custkey").alias("config_id"), F.col("c_acctbal").alias("updated_at"))
     return config.latest_snapshots(c).select("scope", "config_id")
+
+
+@add("tasks_sorted", f"""WITH {_TASKS_SQL}, x AS (SELECT *, CASE WHEN id % 3 = 0 THEN created_at + INTERVAL 5 DAY END AS updated_at FROM tasks)
+SELECT 'status' AS sort, id FROM (SELECT * FROM x ORDER BY list_position(['PENDING', 'IN_PROGRESS', 'COMPLETED'], status) DESC, id LIMIT 30)
+UNION ALL SELECT 'agents', id FROM (SELECT * FROM x ORDER BY assignee, id LIMIT 30) UNION ALL SELECT 'nothing known', id FROM (SELECT * FROM x ORDER BY coalesce(updated_at, created_at) DESC, id LIMIT 30)""")
+def tasks_sorted(t):
+    x = _tasks(t).withColumn("updated_at", F.when(F.col("id") % 3 == 0, F.col("created_at") + F.expr("INTERVAL 5 DAY")))
+    enums = {"status": ("PENDING", "IN_PROGRESS", "COMPLETED")}
+    page = lambda by, down: x.orderBy(*TK.sort_order(by, down, enums)).limit(30).select(F.lit(by).alias("sort"), "id")
+    return page("status", True).unionByName(page("agents", False)).unionByName(page("nothing known", False))
+
+
+_DECISIONS_SQL = "d AS (SELECT l_orderkey AS task_id, max(l_orderkey * 10 + l_linenumber) AS decision_id FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)"
+
+
+def _decisions(t):
+    some = t.lineitem.filter("l_linenumber <= 2")
+    return some.select(F.col("l_orderkey").alias("task_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("decision_id"), F.col("l_linenumber").alias("decided_at")).distinct()
+
+
+@add("task_bundle", f"""WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, {_MSG_SQL}, {_DECISIONS_SQL},
+pp AS (SELECT task_id, string_agg(id::VARCHAR, ',' ORDER BY created_at, id) AS proposals FROM p GROUP BY 1), mm AS (SELECT task_id, count(*) AS n, sum(tokens) AS tokens FROM m GROUP BY 1)
+SELECT tasks.id, status, coalesce(proposals, '') AS proposals, decision_id, coalesce(n, 0)::BIGINT AS n_messages, coalesce(tokens, 0)::BIGINT AS context_tokens
+FROM tasks LEFT JOIN pp ON pp.task_id = tasks.id LEFT JOIN d ON d.task_id = tasks.id LEFT JOIN mm ON mm.task_id = tasks.id""")
+def task_bundle(t):
+    b = TK.bundles(_tasks(t).select("id", "status"), _proposals(t), _decisions(t), _msgs(t))
+    return b.withColumn("proposals", F.array_join(F.transform("proposals", lambda x: x.cast("string")), ","))
+
+
+@add("task_creation", f"""WITH {_REQUESTS_SQL}, {_CLASSIFY_SQL}, q AS (SELECT cl.*, text, (['ARCHITECTURE', 'REVIEW', 'TESTING', 'BUGFIX'])[1 + key % 4] AS kind FROM cl JOIN src USING (key))
+SELECT key, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 59) || '…' END AS title, 'PENDING' AS status, kind AS type, complexity, risk,
+  CASE WHEN risk >= 8 OR k > 0 THEN 'CONSENSUS' WHEN kind = 'ARCHITECTURE' AND complexity >= 7 THEN 'SEQUENTIAL' WHEN kind = 'REVIEW' THEN 'CONSENSUS' WHEN kind = 'TESTING' AND risk <= 4 AND complexity >= 5 THEN 'PARALLEL'
+  WHEN contains(low, 'parallel') OR contains(low, 'concurrent') OR contains(low, 'multiple') THEN 'PARALLEL' WHEN complexity >= 8 AND risk BETWEEN 4 AND 7 THEN 'SEQUENTIAL' ELSE 'SOLO' END AS routing FROM q""")
+def task_creation(t):
+    kind = F.get(F.array(*map(F.lit, ("ARCHITECTURE", "REVIEW", "TESTING", "BUGFIX"))), (F.col("key") % 4).cast("int"))
+    return TK.created(_requests(t), kind)
+
+
+@add("task_submission", f"""WITH {_TASKS_SQL}, i AS (SELECT DISTINCT l_orderkey AS task_id FROM lineitem WHERE l_linenumber = 1)
+SELECT id, CASE WHEN status = 'IN_PROGRESS' AND task_id IS NOT NULL THEN 'WAITING_INPUT' ELSE status END AS status, (status = 'IN_PROGRESS' AND task_id IS NOT NULL) AS changed FROM tasks LEFT JOIN i ON i.task_id = id""")
+def task_submission(t):
+    inputs = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("task_id"), F.col("l_suppkey").alias("agent_id"), F.col("l_returnflag").alias("content"), F.col("l_discount").alias("confidence"))
+    return TK.submitted(_tasks(t).select("id", "status"), inputs)[1]
+
+
+@add("task_continuation", f"""WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, {_MSG_SQL}, {_DECISIONS_SQL}, s AS (SELECT *, sum(tokens) OVER (PARTITION BY task_id ORDER BY ts DESC)::BIGINT AS suffix FROM m),
+mm AS (SELECT task_id, count(*) AS n, sum(tokens) AS tokens FROM s WHERE suffix <= 150 GROUP BY 1), pp AS (SELECT task_id, count(*) AS n FROM p GROUP BY 1)
+SELECT tasks.id, 'IN_PROGRESS' AS status, coalesce(pp.n, 0)::INT AS n_proposals, decision_id, coalesce(mm.n, 0)::BIGINT AS n_messages, coalesce(tokens, 0)::BIGINT AS context_tokens
+FROM tasks LEFT JOIN pp ON pp.task_id = tasks.id LEFT JOIN d ON d.task_id = tasks.id LEFT JOIN mm ON mm.task_id = tasks.id WHERE status = 'PENDING'""")
+def task_continuation(t):
+    b = TK.continued(_tasks(t).select("id", "status"), _proposals(t), _decisions(t), _msgs(t), 150)
+    return b.withColumn("n_proposals", F.size("proposals")).drop("proposals")
+
+
+@add("task_completion", f"""WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, dd AS (SELECT o_orderkey AS task_id, o_orderkey * 10 + o_custkey % 4 AS proposal_id FROM orders WHERE o_orderkey % 2 = 0),
+v AS (SELECT dd.*, p.id IS NOT NULL AS known FROM dd LEFT JOIN p ON p.task_id = dd.task_id AND p.id = dd.proposal_id), j AS (SELECT t.id, status, proposal_id, coalesce(known AND status = 'IN_PROGRESS', FALSE) AS done FROM tasks t LEFT JOIN v ON v.task_id = t.id)
+SELECT id, CASE WHEN done THEN 'COMPLETED' ELSE status END AS status, CASE WHEN done THEN proposal_id END AS selected, proposal_id IS NOT NULL AND NOT done AS refused FROM j""")
+def task_completion(t):
+    d = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 4).alias("proposal_id"))
+    return TK.completed(_tasks(t).select("id", "status"), _proposals(t).select("task_id", "id"), d)
+
+
+@add("agreement_rates", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(1.0::DOUBLE, value / 50.0::DOUBLE) WHEN event_id % 3 = 1 THEN least(1.0::DOUBLE, value / 100.0::DOUBLE) END AS rate
+FROM (SELECT event_id, round(value, 3) AS value FROM events)""")
+def agreement_rates(t):
+    """Strategies report a ratio, a percentage or neither in the JSON of their details."""
+    v, k = F.round("value", 3), F.col("event_id") % 3
+    details = F.to_json(F.struct(F.when(k == 0, v / 50.0).alias("winningOptionRatio"), F.when(k == 1, v).alias("agreementPct")))
+    read = F.from_json(details, "winningOptionRatio double, agreementPct double")
+    d = t.events.select("event_id", read.alias("d"))
+    return d.select("event_id", CS.agreement_rate(F.col("d.winningOptionRatio"), F.col("d.agreementPct")).alias("rate"))
+
+
+@add("vector_codec", "SELECT vec_id, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, TRUE AS same FROM embeddings")
+def vector_codec(t):
+    d = t.embeddings.select("vec_id", "embedding", VC.decoded(VC.encoded(F.col("embedding"))).alias("back"))
+    total = F.aggregate("back", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return d.select("vec_id", F.size("back").alias("n"), F.round(total, 5).alias("total"), (F.col("back") == F.col("embedding")).alias("same"))
+
+
+@add("reasoning_quality_json")
+def reasoning_quality_json(t):
+    """Proposals that are JSON: a conversation's texts as reasoning, steps, risks and alternatives."""
+    lines = F.split("text", "\\. ")
+    doc = F.to_json(F.struct(F.col("text").alias("reasoning"), F.struct(lines.alias("Steps"), F.slice(lines, 1, 2).alias("risks")).alias("plan"), F.slice(lines, 1, F.lit(1)).alias("alternatives")))
+    c = t.conversations.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("id"), F.col("turn").alias("created_at"), (F.col("turn") % 10 / 10.0).alias("confidence"), CS.json_features(doc).alias("f"))
+    return CS.winners(c.withColumn("score", CS.reasoning_score(F.col("f"), F.col("confidence"))), "score").select("task_id", "id", F.round("score", 6).alias("score"))
