@@ -288,3 +288,17 @@ WITH c AS (SELECT conv_id, turn, sum(length(text) // 4) OVER (PARTITION BY conv_
 def running_tokens_alert(t):
     n = F.sum(F.floor(F.length("text") / 4)).over(W.partitionBy("conv_id").orderBy("turn"))
     return t.conversations.select("conv_id", "turn", n.alias("running")).filter("running >= 200")
+
+
+@add("newest_events", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
+def newest_events(t):
+    from quillspark.streaming.events import newest
+
+    return newest(t.events, 5, "user_id").select("event_id", "user_id")
+
+
+@add("server_sent_events", """SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"id":' || event_id || ',"user":' || user_id || '}' || chr(10) || chr(10) AS text FROM events""")
+def server_sent_events(t):
+    from quillspark.streaming.events import server_sent
+
+    return t.events.select("event_id", server_sent(F.col("event_type"), F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user"))).alias("text"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 DELAY = "10 minutes"
 
@@ -36,6 +34,14 @@ def running_totals(events: DataFrame, key: str, value: str, threshold: float) ->
     return events.groupBy(key).agg(F.sum(value).alias("total")).withColumn("alert", F.col("total") >= threshold)
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run ``merge`` once for each micro-batch of what is there now; the checkpoint makes it resumable."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def newest(events: DataFrame, capacity: int, key: str | None = None) -> DataFrame:
+    """A bounded buffer that drops the oldest: the ``capacity`` newest events, of each key if one is named. For batches and micro-batches."""
+    order = [F.desc("ts"), F.desc("event_id")]
+    if key is None:
+        return events.orderBy(*order).limit(capacity)
+    return events.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("__k") <= capacity).drop("__k")
+
+
+def server_sent(name: Column, payload: Column) -> Column:
+    """An event as server-sent text: its name and its payload as JSON."""
+    return F.concat(F.lit("event: "), name, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))

@@ -1,13 +1,22 @@
-"""Incremental indexing: a file stream folded into a catalogue and its chunks."""
+"""Incremental indexing: a stream of file changes folded into a catalogue, its chunks and its symbols."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import catalog as K
-from quillspark.operators.chunkers import chunk_files
-from quillspark.session import shared_dir
+from quillspark.operators.chunkers import chunk_files, symbols
+from quillspark.session import removed, shared_dir
+
+#: The tables of an index and their columns.
+TABLES = {
+    "files": "file_id long, path string, content_hash string, indexed_at timestamp",
+    "chunks": "file_id long, ordinal int, kind string, label string, start_line int, end_line int, tokens int, content string",
+    "symbols": "file_id long, symbol_type string, name string, qualified_name string, start_line int",
+}
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -16,39 +25,89 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 class Index:
-    """A catalogue and chunk table in versions; each batch writes the next version and then makes it current.
+    """Tables in ``slots`` parts by file; a batch writes anew the parts that it touches, and then a list of where every part is.
 
-    A batch that is repeated after a failure gives the same version again.
+    The list's folder is written last and named by the batch, so an index that is opened again on its ``folder`` goes on after the last
+    whole batch, and a batch that is repeated after a failure gives the same again. Parts that neither of the last two lists names are removed.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.version = spark, shared_dir(spark, "index"), 0
-        spark.createDataFrame([], "file_id long, path string, content_hash string, indexed_at timestamp").write.parquet(self._path("files", 0))
-        spark.createDataFrame([], "file_id long, ordinal int, kind string, label string, start_line int, end_line int, tokens int, content string").write.parquet(self._path("chunks", 0))
+    def __init__(self, spark: SparkSession, folder: str | None = None, slots: int = 16):
+        self.spark, self.folder, self.slots = spark, (folder or shared_dir(spark, "index")).rstrip("/"), slots
+
+    def _names(self, folder: str) -> list[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def versions(self) -> list[int]:
+        """The batches that are whole, in order."""
+        done = [int(n) for n in self._names(f"{self.folder}/lists") if re.fullmatch(r"\d+", n)]
+        return sorted(v for v in done if "_SUCCESS" in self._names(f"{self.folder}/lists/{v}"))
+
+    def _parts(self, version: int | None) -> dict[int, int]:
+        """Slot -> the version that wrote it."""
+        if version is None:
+            return {}
+        return {r.slot: r.version for r in self.spark.read.parquet(f"{self.folder}/lists/{version}").collect()}  # a row for each slot
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.folder}/{table}-{version}"
+    def _table(self, name: str, parts: dict[int, int]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.folder}/{name}/{v}/slot={s}" for s, v in sorted(parts.items())))
+
+    def table(self, name: str) -> DataFrame:
+        done = self.versions()
+        return self._table(name, self._parts(done[-1] if done else None))
 
     def files(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("files", self.version))
+        return self.table("files")
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("chunks", self.version))
+        return self.table("chunks")
+
+    def symbols(self) -> DataFrame:
+        return self.table("symbols")
+
+    def _slot(self):
+        return F.pmod("file_id", F.lit(self.slots)).cast("int")
+
+    def _write(self, version: int, tables: dict[str, DataFrame], touched: list[int], before: dict[int, int]) -> None:
+        for name, df in tables.items():
+            for s in touched:  # every touched part has a folder, an empty one too
+                df.filter(self._slot() == s).write.mode("overwrite").parquet(f"{self.folder}/{name}/{version}/slot={s}")
+        parts = before | dict.fromkeys(touched, version)
+        self.spark.createDataFrame(sorted(parts.items()), "slot int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
+        used = {(s, v) for kept in self.versions()[-2:] for s, v in self._parts(kept).items()}
+        for name in TABLES:
+            for v in self._names(f"{self.folder}/{name}"):
+                for part in self._names(f"{self.folder}/{name}/{v}"):
+                    if part.startswith("slot=") and (int(part[5:]), int(v)) not in used:
+                        removed(self.spark, f"{self.folder}/{name}/{v}/{part}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold a batch of (path, kind, content, at) in: changed files replace their chunks, deleted ones lose them."""
-        last = latest(batch).withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
-        known = self.files().select("path", F.col("content_hash").alias("old"))
-        changed = last.join(known, "path", "left").filter((F.col("kind") == "DELETED") | F.col("old").isNull() | (F.col("old") != F.col("content_hash")))
-        changed = changed.withColumn("file_id", F.xxhash64("path"))
+        """Fold a batch of (path, kind, content, at) in: changed files replace their chunks and symbols, deleted ones lose them."""
+        version = batch_id + 1
+        older = [v for v in self.versions() if v < version]
+        before = self._parts(older[-1] if older else None)
+        last = latest(batch).withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)).withColumn("file_id", F.xxhash64("path"))
+        known = self._table("files", before).select("path", F.col("content_hash").alias("old"))
+        differs = F.when(F.col("kind") == "DELETED", F.col("old").isNotNull()).otherwise(~F.col("old").eqNullSafe(F.col("content_hash")))
+        changed = last.join(known, "path", "left").filter(differs)
+        touched = sorted(r[0] for r in changed.select(self._slot().alias("s")).distinct().collect())  # ``slots`` numbers at most
         live = changed.filter("kind <> 'DELETED'")
-        rows = live.select("file_id", "path", "content_hash", F.col("at").alias("indexed_at"))
-        files = K.without(self.files(), changed, "file_id").unionByName(rows)
-        chunks = K.without(self.chunks(), changed, "file_id").unionByName(chunk_files(live))
-        files.write.mode("overwrite").parquet(self._path("files", batch_id + 1))
-        chunks.write.mode("overwrite").parquet(self._path("chunks", batch_id + 1))
-        self.version = batch_id + 1
+        new = {"files": live.select("file_id", "path", "content_hash", F.col("at").alias("indexed_at")), "chunks": chunk_files(live), "symbols": symbols(live)}
+        held = {s: before[s] for s in touched if s in before}
+        tables = {n: K.without(self._table(n, held), changed, "file_id").unionByName(df) for n, df in new.items()}
+        self._write(version, tables, touched, before)
+
+    def rebuild(self, files: DataFrame) -> None:
+        """Replace all by the files of (path, content, at), as a batch after the last."""
+        done = self.versions()
+        rows = files.withColumn("file_id", F.xxhash64("path"))
+        hashed = F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)
+        tables = {"files": rows.select("file_id", "path", hashed.alias("content_hash"), F.col("at").alias("indexed_at")), "chunks": chunk_files(rows), "symbols": symbols(rows)}
+        self._write((done[-1] if done else 0) + 1, tables, list(range(self.slots)), {})
 
     def follow(self, stream: DataFrame, checkpoint: str):
-        """Fold in what a stream of changes has now."""
+        """Fold in what a stream of changes has now; the index and the checkpoint belong together."""
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

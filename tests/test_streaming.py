@@ -54,6 +54,28 @@ def test_incremental_index(spark, tmp_path):
     assert [r.path for r in index.files().collect()] == ["b.txt"] and [r.content for r in index.chunks().collect()] == ["one"]
 
 
+def test_index_goes_on_after_a_restart(spark, tmp_path):
+    """A new Index on the same folder and checkpoint; a batch that comes twice; symbols follow their files; a rebuild replaces all."""
+    schema, folder, home = "path string, kind string, content string, at timestamp", str(tmp_path / "changes"), str(tmp_path / "index")
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    stream = lambda: spark.readStream.schema(schema).parquet(folder)
+    batch([("a.py", "CREATED", "class A:\n    pass\n", T0), ("b.txt", "CREATED", "one\n\ntwo", T0)]).write.parquet(folder)
+    Index(spark, home, 4).follow(stream(), str(tmp_path / "cp")).awaitTermination()
+    batch([("c.txt", "CREATED", "three", T0), ("b.txt", "MODIFIED", "four", T0 + timedelta(hours=1))]).write.mode("append").parquet(folder)
+    again = Index(spark, home, 4)
+    again.follow(stream(), str(tmp_path / "cp")).awaitTermination()
+    paths = lambda index: sorted(r.path for r in index.files().collect())
+    assert paths(again) == ["a.py", "b.txt", "c.txt"] and again.versions() == [1, 2]
+    assert {r.content for r in again.chunks().collect() if "class" not in r.content} == {"three", "four"}
+    assert [(r.symbol_type, r.name) for r in again.symbols().filter("symbol_type = 'CLASS'").collect()] == [("CLASS", "A")]
+    repeated = batch([("a.py", "DELETED", None, T0 + timedelta(hours=2))])
+    again.merge(repeated, 2)
+    again.merge(repeated, 2)
+    assert paths(again) == ["b.txt", "c.txt"] and again.symbols().filter("symbol_type = 'CLASS'").count() == 0 and again.versions() == [1, 2, 3]
+    again.rebuild(spark.createDataFrame([("z.txt", "all new", T0)], "path string, content string, at timestamp"))
+    assert paths(Index(spark, home, 4)) == ["z.txt"] and [r.content for r in again.chunks().collect()] == ["all new"]
+
+
 def followed(spark, df, tmp_path, body, name, watermark=None):
     df.coalesce(1).write.parquet(str(tmp_path / name))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
