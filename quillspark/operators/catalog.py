@@ -192,3 +192,21 @@ def unified_diff(before: Column, after: Column) -> Column:
     changed = lambda p, q: F.filter(F.array(F.concat(F.lit("-"), p), F.concat(F.lit("+"), q)), lambda x: x.isNotNull())
     lines = F.zip_with(F.split(before, "\n"), F.split(after, "\n"), lambda p, q: F.when(p.eqNullSafe(q), same(p, q)).otherwise(changed(p, q)))
     return F.array_join(F.flatten(lines), "\n")
+
+
+def referring(tables: dict[str, DataFrame], column: str) -> list[tuple[str, str]]:
+    """(table, column) of every column that names another table's key: the key itself or a name that ends in it."""
+    return sorted((t, c) for t, df in tables.items() for c in df.columns if c == column or c.endswith(f"_{column}"))
+
+
+def compacted(df: DataFrame, path: str, rows_a_file: int = 5_000_000) -> None:
+    """Write a table to a new folder in few files of bounded size: what vacuum and checkpoint are to Parquet."""
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+
+def sequence_diagram(events: DataFrame) -> DataFrame:
+    """(task_id, diagram): a Mermaid sequence of each task's events (task_id, seq, sender, receiver, message) in order."""
+    clean = F.regexp_replace(F.col("message"), r"[;\r\n]+", " ")
+    line = F.concat(F.lit("    "), "sender", F.lit("->>"), "receiver", F.lit(": "), clean)
+    drawn = events.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("x")))).alias("all"))
+    return drawn.select("task_id", F.concat(F.lit("sequenceDiagram\n"), F.array_join("all.x", "\n")).alias("diagram"))

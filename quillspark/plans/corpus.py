@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import catalog as K
 from quillspark.operators import chunkers as CK
 from quillspark.operators import chunking as CH
+from quillspark.operators import embedding as E
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import Registry
 from quillspark.sources import corpus as C
@@ -17,6 +18,9 @@ from quillspark.sources import html as H
 REGISTRY = Registry()
 add = REGISTRY.add
 
+#: A word-piece vocabulary by rule: the marks, some words and endings, then every ASCII character as a piece and as a part of one.
+PIECES = {p: k for k, p in enumerate(dict.fromkeys(("[UNK]", "[CLS]", "[SEP]", "the", "what", "is", "##ing", "##s", *map(chr, range(33, 127)), *(f"##{chr(c)}" for c in range(33, 127)))))}
+
 
 @add("chunk_lines", f"WITH {C.CHUNKS_SQL} SELECT chunk_id, file_id, ordinal, start_line, end_line, token_count, md5(content) AS digest FROM chunks")
 def chunk_lines(t):
@@ -417,3 +421,105 @@ def file_grid_sorted(t):
     g = C.files(t.documents).join(n, "file_id", "left").withColumn("n_chunks", F.coalesce("n", F.lit(0))).withColumn("status", status)
     page = lambda by, down: g.orderBy(*K.grid_order(by, down)).limit(50).select(F.lit(by).alias("sort"), "file_id", "status", "n_chunks")
     return page("status", False).unionByName(page("chunks", True))
+
+
+# small files of every language, Foo standing for a part's name, and the chunks (kind, label, first and last line) and symbols (type, name, qualified name, line) that they have
+_SOURCES = {
+    "py": (
+        "import os\n\nclass Foo:\n    \"\"\"Doc.\"\"\"\n\n    def bar(self):\n        return 1\n\ndef free(x):\n    return x\n",
+        [("CODE_BLOCK", None, 1, 2), ("CODE_CLASS", "Foo", 3, 7), ("DOCSTRING", None, 4, 4), ("CODE_FUNCTION", "bar", 6, 7), ("CODE_FUNCTION", "free", 9, 10)],
+        [("IMPORT", "os", "os", 1), ("CLASS", "Foo", "Foo", 3), ("METHOD", "bar", "Foo.bar", 6), ("FUNCTION", "free", "free", 9)],
+    ),
+    "java": (
+        "package a;\n\nimport b.C;\n\npublic class Foo {\n    private int n;\n\n    public int bar() {\n        return n;\n    }\n}\n",
+        [("CODE_HEADER", None, 1, 3), ("CODE_CLASS", "Foo", 5, 11), ("CODE_METHOD", "bar", 8, 10)],
+        [("IMPORT", "b.C", "b.C", 3), ("CLASS", "Foo", "Foo", 5), ("METHOD", "bar", "Foo.bar", 8)],
+    ),
+    "kt": (
+        "package a\n\nimport b.C\n\nclass Foo(val n: Int) {\n    fun bar(): Int {\n        return n\n    }\n}\n\nfun free(x: Int) = x\n",
+        [("CODE_HEADER", None, 1, 3), ("CODE_CLASS", "Foo", 5, 9), ("CODE_METHOD", "bar", 6, 8), ("CODE_FUNCTION", "free", 11, 11)],
+        [("IMPORT", "b.C", "b.C", 3), ("CLASS", "Foo", "Foo", 5), ("METHOD", "bar", "Foo.bar", 6), ("FUNCTION", "free", "free", 11)],
+    ),
+    "cs": (
+        "using System;\n\nnamespace A {\n    public class Foo {\n        public int Bar() {\n            return 1;\n        }\n    }\n}\n",
+        [("CODE_HEADER", None, 1, 3), ("CODE_CLASS", "Foo", 4, 8), ("CODE_METHOD", "Bar", 5, 7)],
+        [("VARIABLE", n, n, 1) for n in ("using", "System", "namespace", "public", "class", "Foo", "int", "Bar", "return")],
+    ),
+    "ts": (
+        "import { C } from './c';\n\nexport class Foo {\n  bar(): number {\n    return 1;\n  }\n}\n\nexport function free(x: number) {\n  return x;\n}\n\nexport interface Shape {\n  side: number;\n}\n",
+        [("CODE_CLASS", "Foo", 3, 7), ("CODE_FUNCTION", "free", 9, 11), ("CODE_INTERFACE", "Shape", 13, 15)],
+        [("IMPORT", "./c", "./c", 1), ("CLASS", "Foo", "Foo", 3), ("FUNCTION", "free", "free", 9), ("INTERFACE", "Shape", "Shape", 13)],
+    ),
+    "sql": (
+        "-- about it\nCREATE TABLE Foo (id INT);\n\nINSERT INTO Foo VALUES (1);\n",
+        [("SQL_STATEMENT", "CREATE TABLE Foo", 1, 2), ("SQL_STATEMENT", "INSERT INTO Foo", 4, 4)],
+        [("VARIABLE", n, n, 1) for n in ("about", "CREATE", "TABLE", "Foo", "INT", "INSERT", "INTO", "VALUES")],
+    ),
+    "yaml": (
+        "name: Foo\nsteps:\n  - one\n  - two\nother:\n  key: value\n",
+        [("YAML_BLOCK", "name", 1, 1), ("YAML_BLOCK", "steps", 2, 4), ("YAML_BLOCK", "other", 5, 6)],
+        [("VARIABLE", n, n, 1) for n in ("name", "Foo", "steps", "one", "two", "other", "key", "value")],
+    ),
+    "json": (
+        '{"name": "Foo", "steps": [1, 2], "other": {"key": "value"}}',
+        [("JSON_BLOCK", "name", 1, 1), ("JSON_BLOCK", "steps", 1, 1), ("JSON_BLOCK", "other", 1, 1)],
+        [("VARIABLE", n, n, 1) for n in ("name", "Foo", "steps", "other", "key", "value")],
+    ),
+    "md": (
+        "# Foo\n\nIntro text.\n\n## Bar\n\n```py\nx = 1\n```\n\nEnd.\n",
+        [("MARKDOWN_SECTION", "Foo", 1, 4), ("MARKDOWN_SECTION", "Bar", 5, 6), ("CODE_BLOCK", "Bar", 7, 9), ("MARKDOWN_SECTION", "Bar", 10, 12)],
+        [("VARIABLE", n, n, 1) for n in ("Foo", "Intro", "text", "Bar", "End")],
+    ),
+    "txt": (
+        "First paragraph\nof two lines.\n\nFoo is next.\n",
+        [("PARAGRAPH", None, 1, 2), ("PARAGRAPH", None, 4, 4)],
+        [("VARIABLE", n, n, 1) for n in ("First", "paragraph", "two", "lines", "Foo", "next")],
+    ),
+}
+
+
+def _source_files(t):
+    """A part is a file of the language that its key picks, with a name of its own."""
+    kind, name = (F.col("p_partkey") % len(_SOURCES)).cast("int"), F.concat(F.lit("Foo"), F.col("p_partkey").cast("string"))
+    text = F.get(F.array(*(F.lit(s[0]) for s in _SOURCES.values())), kind)
+    path = F.concat(name, F.lit("."), F.get(F.array(*map(F.lit, _SOURCES)), kind))
+    return t.part.select(F.col("p_partkey").alias("file_id"), path.alias("path"), F.replace(text, F.lit("Foo"), name).alias("content"))
+
+
+def _expected_sql(which: int, names: str) -> str:
+    value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    rows = [f"({k}, {i}, {', '.join(map(value, row))})" for k, s in enumerate(_SOURCES.values()) for i, row in enumerate(s[which])]
+    return f"e(kind_no, ordinal, {names}) AS (VALUES {', '.join(rows)}), p AS (SELECT p_partkey AS file_id, p_partkey % {len(_SOURCES)} AS kind_no, 'Foo' || p_partkey AS name FROM part)"
+
+
+@add("chunk_languages", f"""WITH {_expected_sql(1, "kind, label, start_line, end_line")}
+SELECT file_id, ordinal::INT AS ordinal, kind, replace(label, 'Foo', name) AS label, start_line::INT AS start_line, end_line::INT AS end_line FROM p JOIN e USING (kind_no)""")
+def chunk_languages(t):
+    """Files of ten languages through the chunkers by extension."""
+    return CK.chunk_files(_source_files(t)).select("file_id", "ordinal", "kind", "label", "start_line", "end_line")
+
+
+@add("symbols_by_language", f"""WITH {_expected_sql(2, "symbol_type, symbol, qualified, start_line")}
+SELECT file_id, symbol_type, replace(symbol, 'Foo', name) AS name, replace(qualified, 'Foo', name) AS qualified_name, start_line::INT AS start_line FROM p JOIN e USING (kind_no)""")
+def symbols_by_language(t):
+    return CK.symbols(_source_files(t))
+
+
+@add("sequence_diagrams", """
+SELECT conv_id AS task_id, 'sequenceDiagram' || chr(10) || string_agg('    ' || role || '->>' || CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END || ': ' || regexp_replace(left(text, 40), '[;\r\n]+', ' ', 'g'), chr(10) ORDER BY turn) AS diagram
+FROM conversations GROUP BY 1""")
+def sequence_diagrams(t):
+    other = F.when(F.col("role") == "user", "assistant").otherwise("user")
+    return K.sequence_diagram(t.conversations.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), F.col("role").alias("sender"), other.alias("receiver"), F.substring("text", 1, 40).alias("message")))
+
+
+@add("word_pieces")
+def word_pieces(t):
+    """Benchmark items as word pieces of a vocabulary of single letters, digits and a few words."""
+    return t.benchmark.select("item_id", E.word_piece_ids(F.col("text"), PIECES).alias("ids"))
+
+
+@add("embedded_chunks")
+def embedded_chunks(t):
+    """Chunks through a model that hashes words, in Arrow batches."""
+    return E.embedded(C.chunks(t.documents), "chunk_id", "content", lambda: E.hashing_model(32), "hashing")

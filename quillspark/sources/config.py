@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Files that mark a project, and folders of which two make one likely.
-MANIFESTS = ("package.json", "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle.kts", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py")
+MANIFESTS = ("package.json", "pom.xml", "build.gradle", "build.gradle.kts", "Cargo.toml", "pyproject.toml", "setup.py", "go.mod")
 FOLDERS = ("src", "tests", "test", "lib")
 
 
@@ -30,7 +30,7 @@ def load(text: str, env: dict[str, str] | None = None) -> dict:
 
 
 def project_root(start: Path) -> tuple[Path, str]:
-    """The project's root above ``start`` and how sure that is: HIGH by .git, MEDIUM by a manifest, LOW by folders, NONE."""
+    """The project's root above ``start`` and how sure that is: HIGH by .git, MEDIUM by a manifest, LOW by folders or by nothing at all."""
     up = [start, *start.parents]
     for level, is_root in (
         ("HIGH", lambda p: (p / ".git").exists()),
@@ -40,7 +40,7 @@ def project_root(start: Path) -> tuple[Path, str]:
         for p in up:
             if is_root(p):
                 return p, level
-    return start, "NONE"
+    return start, "LOW"
 
 
 def latest_snapshots(configs: DataFrame) -> DataFrame:
