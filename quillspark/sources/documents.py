@@ -17,7 +17,7 @@ ship(__name__)
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.DOTALL)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*]\b|'|\bET\b", re.DOTALL)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT(?:[dDm]\b|\*)|'|\bET\b", re.DOTALL)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 
