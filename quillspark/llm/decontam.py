@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.workers import forget
 from quillspark.session import ship, written
 
 ship(__name__)
@@ -199,6 +200,7 @@ def contaminated_texts(
     shared = spark.sparkContext.broadcast(np.packbits(sieve))
 
     def run(batches):
+        forget()
         bits, vocabulary = np.unpackbits(shared.value).astype(bool), Words()
         for b in batches:
             for lo in range(0, b.num_rows, 256):

@@ -13,8 +13,6 @@ from __future__ import annotations
 import array
 import itertools
 import os
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.files import filesystem
+from quillspark.llm.workers import kept
 from quillspark.session import shared_dir, ship
 
 ship(__name__)
@@ -252,12 +251,10 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """The worker's encoder, held by a module of its own, which outlives the tasks that bring this one by value."""
-    state = sys.modules.setdefault("quillspark_worker_state", types.ModuleType("quillspark_worker_state"))
-    held = state.__dict__.setdefault("encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    """The worker's encoder, which later tasks of the worker find again."""
+    if path not in kept():
+        kept()[path] = Encoder(path)
+    return kept()[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str | None = None) -> DataFrame:
