@@ -252,9 +252,7 @@ class Encoder:
 
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, which later tasks of the worker find again."""
-    if path not in kept():
-        kept()[path] = Encoder(path)
-    return kept()[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str | None = None) -> DataFrame:
@@ -273,12 +271,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
     fs.create_dir(root, recursive=True)
 
     def run(batches):
-        encoder, task = _encoder(tokenizer), TaskContext.get()
+        task = TaskContext.get()
         fs, top = filesystem(base)
         path, writer, stream = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok", None, None
         for b in batches:
             for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
+                part, encoder = b.slice(k, 2048), _encoder(tokenizer)
                 if writer is None:
                     stream = fs.open_output_stream(path)
                     writer = TokenWriter(stream, encoder.vocabulary)

@@ -1,20 +1,48 @@
-"""What a Python worker keeps between tasks: a module of its own, as tasks bring this library's modules by value."""
+"""What a Python worker keeps between tasks: in a module of its own, as tasks bring this library's modules by value."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
+import threading
+import time
 import types
+from collections.abc import Callable
 
 from quillspark.session import ship
 
 ship(__name__)
 
+IDLE_SECONDS = 3.0
 
-def kept() -> dict:
-    """The worker's state; it outlives tasks."""
+
+def _state() -> dict:
     return sys.modules.setdefault("quillspark_worker_state", types.ModuleType("quillspark_worker_state")).__dict__.setdefault("kept", {})
 
 
 def forget() -> None:
-    """A worker that turns to other work lets go what it kept."""
-    kept().clear()
+    """Let go what the worker keeps, and give the memory back to the system."""
+    if _state():
+        _state().clear()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def _watch() -> None:
+    while state := _state():
+        time.sleep(0.5)
+        if time.monotonic() - state.get("used", 0) > IDLE_SECONDS:
+            forget()
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time; a worker that has not asked for ``IDLE_SECONDS`` lets it go, as it may wait for long or do other work."""
+    state = _state()
+    state["used"] = time.monotonic()
+    if name not in state:
+        watched = "watch" in state and state["watch"].is_alive()
+        state[name] = make()
+        if not watched:
+            state["watch"] = threading.Thread(target=_watch, daemon=True)
+            state["watch"].start()
+    return state[name]
