@@ -392,7 +392,10 @@ def mean_pooling(t):
     return pooled.select("vec_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.round(F.get("p", F.lit(7)), 6).alias("last"))
 
 
-@add("hashed_token_ids")
+@add("hashed_token_ids", r"""
+WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1:510] AS ws FROM benchmark),
+i AS (SELECT item_id, list_transform(ws, lambda w: list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) % 2147483648 % 29522 + 1000) AS ids FROM w)
+SELECT item_id, (len(ids) + 2)::INT AS n, array_to_string(list_concat([101], ids, [102]), ',') AS ids FROM i""")
 def hashed_token_ids(t):
     ids = t.benchmark.select("item_id", VL.hashed_ids(F.col("text")).alias("ids"))
     return ids.select("item_id", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
