@@ -151,6 +151,37 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
 
 
+# Extensions and media types of files that are not text, and the application types that are.
+BINARY_EXTENSIONS = (
+    "exe", "dll", "so", "dylib", "bin", "dat", "class", "jar", "war", "ear", "zip", "gz", "gzip", "tgz", "tar", "bz2", "7z", "jpg", "jpeg", "png", "gif", "bmp", "svgz", "ico", "heic",
+    "pdf", "mp3", "wav", "flac", "aac", "ogg", "mp4", "mkv", "avi", "mov", "wmv", "sqlite", "db", "duckdb",
+)
+TEXT_TYPES = (
+    "application/json", "application/xml", "application/javascript", "application/x-javascript", "application/x-sh", "application/x-shellscript", "application/x-yaml", "application/yaml",
+)
+BINARY_PREFIXES = ("image/", "audio/", "video/", "font/", "model/")
+BINARY_TYPES = (
+    "application/octet-stream", "application/pdf", "application/zip", "application/x-zip-compressed", "application/x-tar", "application/gzip", "application/x-gzip",
+    "application/x-7z-compressed", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/x-msdownload",
+)
+
+
+def binary_by_name(path: Column) -> Column:
+    """Whether the extension is that of a file that is not text."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    return F.contains(name, F.lit(".")) & F.substring_index(name, ".", -1).isin(list(BINARY_EXTENSIONS))
+
+
+def binary_by_type(media_type: Column) -> Column:
+    """Whether a media type is that of a file that is not text; unknown types are text."""
+    low = F.lower(media_type)
+    prefixed = F.lit(False)
+    for p in BINARY_PREFIXES:
+        prefixed = prefixed | low.startswith(p)
+    return F.coalesce(~(low.startswith("text/") | low.isin(list(TEXT_TYPES))) & (low.isin(list(BINARY_TYPES)) | prefixed), F.lit(False))
+
+
 def is_binary(content: Column) -> Column:
     """A NUL in the first 8 KiB, more than 5 % undecodable characters, or 85 % or less printable ones."""
     text = F.make_valid_utf8(F.substring(content, 1, 8192).cast("string"))

@@ -382,6 +382,7 @@ def sql_text(text: str) -> Iterator[Piece]:
 
 
 BY_EXTENSION: dict[str, Callable[[str], Iterator[Piece]]] = {
+    **dict.fromkeys(("txt", "doc", "docx", "pdf"), plain_text),
     "md": markdown, "py": python, "json": json_text, "yaml": yaml_text, "yml": yaml_text, "sql": sql_text, "java": braces("java"), "cs": braces("csharp"),
     "kt": braces("kotlin"), "kts": braces("kotlin"), **{e: braces("typescript") for e in ("ts", "tsx", "js", "jsx")},
 }

@@ -73,10 +73,10 @@ def register(name: str):
     return add
 
 
-def _hits(df: DataFrame, name: str, limit: int) -> DataFrame:
+def _hits(df: DataFrame, name: str, limit: int, order: list[Column] | None = None) -> DataFrame:
     """``limit`` hits of a provider in their order; the score to nine decimals, so that sums in another order rank alike."""
     rounded = df.withColumn("score", F.round("score", 9)).withColumn("tokens", F.col("tokens").cast("long")).withColumn("provider", F.lit(name))
-    return rounded.select(*HIT).orderBy(*R.by_rank()).limit(limit)
+    return rounded.orderBy(*(order or R.by_rank())).limit(limit).select(*HIT)
 
 
 @register("full_text")
@@ -100,7 +100,8 @@ def symbol(corpus: Corpus, request: Request) -> DataFrame:
     inside = F.when(F.col("s0").isNull(), F.col("ordinal") == 0).otherwise((F.col("start_line") <= F.col("s0")) & (F.col("end_line") >= F.coalesce("s1", "s0")))
     few = F.broadcast(best.select("file_id", "file_path", "score", "s0", "s1"))  # ``limit`` rows
     held = corpus.chunks.join(few, "file_id").filter(inside).withColumn("tokens", F.col("token_count"))
-    return _hits(held, "symbol", request.limit)
+    shortest = [F.desc("score"), F.asc("tokens"), F.asc(F.lower("summary")), F.asc("file_path"), F.asc("chunk_id")]
+    return _hits(held, "symbol", request.limit, shortest)
 
 
 def named_files(files: DataFrame, query: str, paths: tuple[str, ...] = ()) -> DataFrame:

@@ -523,3 +523,15 @@ def word_pieces(t):
 def embedded_chunks(t):
     """Chunks through a model that hashes words, in Arrow batches."""
     return E.embedded(C.chunks(t.documents), "chunk_id", "content", lambda: E.hashing_model(32), "hashing")
+
+
+_TYPES = ("text/x-java", "application/json", "image/png", "application/pdf", "video/mp4", "application/unknown", None)
+
+
+@add("binary_files", f"""
+WITH f AS (SELECT doc_id, source || '/a.b/' || doc_id || CASE WHEN doc_id % 7 = 6 THEN '' ELSE '.' || (['PNG', 'txt', 'db', 'md', 'Jar', 'svg'])[1 + doc_id % 7] END AS path, (['text/x-java', 'application/json', 'image/png', 'application/pdf', 'video/mp4', 'application/unknown'])[1 + doc_id % 8] AS type FROM documents)
+SELECT doc_id, doc_id % 7 IN (0, 2, 4) AS by_name, coalesce(type IN ('image/png', 'application/pdf', 'video/mp4'), FALSE) AS by_type FROM f""")
+def binary_files(t):
+    ends = F.get(F.array(*map(F.lit, (".PNG", ".txt", ".db", ".md", ".Jar", ".svg", ""))), (F.col("doc_id") % 7).cast("int"))
+    path, kind = F.concat("source", F.lit("/a.b/"), F.col("doc_id").cast("string"), ends), F.get(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 8).cast("int"))
+    return t.documents.select("doc_id", K.binary_by_name(path).alias("by_name"), K.binary_by_type(kind).alias("by_type"))

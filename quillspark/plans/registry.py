@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """The tables of one folder, read when named."""
+    """The tables of one folder, opened when first named."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # its schema is read once
+        return table
 
 
 class Registry:
