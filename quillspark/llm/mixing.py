@@ -185,10 +185,11 @@ def _slot_blocks(spark: SparkSession, sources: DataFrame, plan: list[dict], bloc
 
 
 def _takes(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
-    """Pieces of documents in blocks, with how often the block is taken ``whole``, how many words of it in ``part``, and its first shard."""
+    """Pieces of documents in blocks, with how often the block is taken ``whole``, how many words of it in ``part``, and the first shard of either."""
     cut = F.col("words") < block_words
     takes = slots.groupBy("__s", "block").agg(
-        F.sum(F.when(cut, 0).otherwise(1)).alias("whole"), F.max(F.when(cut, F.col("words")).otherwise(0)).alias("part"), F.min("shard").alias("shard")
+        F.sum(F.when(cut, 0).otherwise(1)).alias("whole"), F.max(F.when(cut, F.col("words")).otherwise(0)).alias("part"),
+        F.min(F.when(~cut, F.col("shard"))).alias("shard"), F.min(F.when(cut, F.col("shard"))).alias("cut_shard"),
     )
     # slots grow out of a small table of counts, whose size would make Spark broadcast them
     return _pieces(placed, block_words).join(takes.hint("merge"), ["__s", "block"])
@@ -221,7 +222,7 @@ def mix_sources(
         return placed.select("__row.*", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
     slots = _slot_blocks(docs.sparkSession, sources, plan, block_words, shard_slots, seed, draw_seed)
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", "part") - F.col("a"))
-    shard = F.min(F.when(got > 0, F.col("shard")))
+    shard = F.min(F.least(F.col("shard"), F.when(F.least("b", "part") > F.col("a"), F.col("cut_shard"))))
     taken = _takes(placed, slots, block_words).groupBy("__s", "__bin", "__rn").agg(F.sum(got).cast("long").alias("taken"), shard.alias("first_shard"))
     out = placed.join(taken, ["__s", "__bin", "__rn"], "left")
     return out.select("__row.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
