@@ -26,3 +26,27 @@ def test_columns_are_pruned(spark):
 def test_no_cartesian_products(spark):
     for name in ("symbol_containment_join", "neighbour_expand", "co_change", "query_context", "agent_selection"):
         assert "Cartesian" not in plan(spark, name), name
+
+
+def test_texts_are_not_read_again_and_again(spark):
+    """A score or a count is in the plan once, however often filters, sorts and results name it."""
+    for name, most in (("token_estimate_model", 7), ("fulltext_topk", 2), ("query_context", 12), ("scoped_context", 3)):
+        assert plan(spark, name).count("regexp_") <= most, name
+
+
+def test_no_window_over_all_rows(spark):
+    """Numbers and ranks over whole tables come from ranges; what windows without a key there are see few rows."""
+    for name in ("surrogate_keys", "alert_eval", "before_after_delta", "metric_scalar_p99"):
+        p = plan(spark, name)
+        assert "Window [row_number" not in p and "Window [percentile" not in p, name
+    assert "WindowGroupLimit" in plan(spark, "rrf_fusion")
+
+
+def test_snippets_meet_the_chunks_by_broadcast(spark):
+    p = plan(spark, "query_context")
+    assert "BroadcastHashJoin [file_id" in p and "TakeOrderedAndProject(limit=64" in p
+
+
+def test_agents_are_ranked_once_for_each_set_of_needs(spark):
+    p = plan(spark, "agent_selection")
+    assert "BroadcastHashJoin [needs" in p
