@@ -30,6 +30,7 @@ ship(__name__)
 
 MAGIC = b"QSTOKEN1"
 BLOCK = 65536
+ROWS = 2048  # texts that are encoded together
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
@@ -197,21 +198,22 @@ class Encoder:
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of pieces that stand behind a blank."""
-        look = lambda: np.fromiter(map(self.numbers.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
-        found = look()
+        found = np.fromiter(map(self.numbers.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
         if len(self.numbers) + np.count_nonzero(found < 0) > self.max_pieces:
             self._reset()
             found[:] = -1
         plain, odd = [], []
         for k in np.flatnonzero(found < 0).tolist():
             p = pieces[k]
-            (plain if p and p == p.strip() else odd).append(p)
-        for new, ids in ((plain, self._joined), (odd, lambda ps: self._library([" " + p for p in ps]))):
-            if new:
+            (plain if p and p == p.strip() else odd).append(k)
+        for at, ids in ((plain, self._joined), (odd, lambda ps: self._library([" " + p for p in ps]))):
+            if at:
+                new, first = [pieces[k] for k in at], len(self.lengths)
                 own, lengths = ids(new)
-                self.numbers.update(zip(new, itertools.count(len(self.lengths)), strict=False))
+                self.numbers.update(zip(new, range(first, first + len(new)), strict=True))
                 self.ids, self.lengths = np.concatenate([self.ids, own]), np.concatenate([self.lengths, lengths])
-        return look() if plain or odd else found
+                found[at] = np.arange(first, first + len(new))
+        return found
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, ``end`` behind each text, and the number of ids of each text."""
@@ -220,34 +222,36 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        behind = np.ones(len(codes), dtype=bool)
-        behind[at[:-1]] = False
-        used = np.flatnonzero(np.bincount(codes[behind], minlength=len(coded.dictionary)))
-        number = np.zeros(len(coded.dictionary), dtype=np.int64)
+        codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+        behind = np.bincount(codes, minlength=size) - np.bincount(codes[at[:-1]], minlength=size)
+        used, number = np.flatnonzero(behind), np.zeros(size, dtype=np.int32)
         number[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
         # behind the shared pieces: each text's first piece, whole texts that are not cut, the end
         heads = self._library(split.values.take(pa.array(at[:-1])).to_pylist())
         whole = self._library(texts.take(pa.array(odd)).to_pylist())
         pool = np.concatenate([self.ids, heads[0], whole[0], np.array([end], np.uint32)])
-        lengths = np.concatenate([self.lengths, heads[1], whole[1], [1]])
-        first, codes = len(self.lengths), number[codes]
+        lengths = np.concatenate([self.lengths, heads[1], whole[1], [1]]).astype(np.int32)
+        starts, first = (np.cumsum(lengths) - lengths).astype(np.int32), len(self.lengths)
+        codes = number[codes]
+        del split, coded, number, behind
         codes[at[:-1]] = first + np.arange(len(texts))
-        keep = np.ones(len(codes), dtype=bool)
-        for k, t in enumerate(odd.tolist()):
-            keep[at[t] + 1 : at[t + 1]] = False
-            codes[at[t]] = first + len(texts) + k
-        kept_before = np.concatenate([[0], np.cumsum(keep)])[at]
-        codes = np.insert(codes[keep], kept_before[1:], len(lengths) - 1)
-        starts = np.cumsum(lengths) - lengths
+        if len(odd):
+            keep = np.ones(len(codes), dtype=bool)
+            for k, t in enumerate(odd.tolist()):
+                keep[at[t] + 1 : at[t + 1]] = False
+                codes[at[t]] = first + len(texts) + k
+            codes, at = codes[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+        codes = np.insert(codes, at[1:], len(lengths) - 1)
         n = lengths[codes]
-        behind_n = np.cumsum(n)
+        stops = np.cumsum(n)
         # ids i of a piece come from its place in the pool: the piece's offset repeated, plus i (batches stay below 2 ** 31 ids)
-        jump = np.repeat((starts[codes] - (behind_n - n)).astype(np.int32), n)
+        base = stops.astype(np.int32)
+        base -= n
+        np.subtract(starts[codes], base, out=base)
+        jump = np.repeat(base, n)
         jump += np.arange(len(jump), dtype=np.int32)
-        ids = pool[jump]
-        last = np.concatenate([[0], behind_n])[kept_before + np.arange(len(kept_before))]
-        return ids, np.diff(last)
+        last = np.concatenate([[0], stops])[at + np.arange(len(at))]
+        return pool[jump], np.diff(last)
 
 
 def _encoder(path: str) -> Encoder:
@@ -275,8 +279,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
         fs, top = filesystem(base)
         path, writer, stream = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok", None, None
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part, encoder = b.slice(k, 2048), _encoder(tokenizer)
+            for k in range(0, b.num_rows, ROWS):
+                part, encoder = b.slice(k, ROWS), _encoder(tokenizer)
                 if writer is None:
                     stream = fs.open_output_stream(path)
                     writer = TokenWriter(stream, encoder.vocabulary)
