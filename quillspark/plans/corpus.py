@@ -24,7 +24,7 @@ PIECES = {p: k for k, p in enumerate(dict.fromkeys(("[UNK]", "[CLS]", "[SEP]", "
 
 @add("chunk_lines", f"WITH {C.CHUNKS_SQL} SELECT chunk_id, file_id, ordinal, start_line, end_line, token_count, md5(content) AS digest FROM chunks")
 def chunk_lines(t):
-    return C.chunks(t.documents).select("chunk_id", "file_id", "ordinal", "start_line", "end_line", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
+    return C.chunks(t.spread("documents")).select("chunk_id", "file_id", "ordinal", "start_line", "end_line", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @add("chunk_sentences", r"""
@@ -78,7 +78,7 @@ SELECT doc_id, """ + ", ".join(
 
 @add("token_estimate_model", _MODEL_SQL)
 def token_estimate_model(t):
-    counted = t.documents.select("doc_id", T.char_counts(F.col("text")).alias("c"))
+    counted = t.spread("documents").select("doc_id", T.char_counts(F.col("text")).alias("c"))
     return counted.select("doc_id", *(T.model_tokens(F.col("c"), m).alias(m.lower()) for m in ("OPENAI", "CLAUDE", "CODEX")))
 
 
@@ -100,7 +100,7 @@ def _scrub_sql() -> str:
 @add("scrub_secrets", f"SELECT doc_id, md5({_scrub_sql()}) AS digest, length(text) <> length({_scrub_sql()}) AS changed FROM documents")
 def scrub_secrets(t):
     s = T.scrubbed(F.col("text"))
-    return t.documents.select("doc_id", F.md5(s.cast("binary")).alias("digest"), (F.length("text") != F.length(s)).alias("changed"))
+    return t.spread("documents").select("doc_id", F.md5(s.cast("binary")).alias("digest"), (F.length("text") != F.length(s)).alias("changed"))
 
 
 @add("language_distribution", "SELECT coalesce(lang, 'unknown') AS language, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -117,7 +117,7 @@ def storage_stats(t):
 
 @add("chunk_count_per_file", f"WITH {C.CHUNKS_SQL} SELECT d.doc_id AS file_id, count(c.chunk_id)::BIGINT AS n FROM documents d LEFT JOIN chunks c ON c.file_id = d.doc_id GROUP BY 1")
 def chunk_count_per_file(t):
-    n = C.chunks(t.documents).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    n = C.chunks(t.spread("documents")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     return t.documents.select(F.col("doc_id").alias("file_id")).join(n, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -197,7 +197,7 @@ WITH {C.CHUNKS_SQL}, j AS (SELECT c.*, e.vec_id AS embedding_id FROM chunks c LE
 SELECT file_id, count(*)::INT AS n_chunks, count(embedding_id)::INT AS n_embedded, array_to_string(list(chunk_id::VARCHAR ORDER BY ordinal), ',') AS chunks FROM j GROUP BY file_id""")
 def artifacts_assembly(t):
     e = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("vec_id").alias("embedding_id"))
-    a = K.artifacts(C.chunks(t.documents).select("file_id", "chunk_id", "ordinal"), e)
+    a = K.artifacts(C.chunks(t.spread("documents")).select("file_id", "chunk_id", "ordinal"), e)
     return a.select(
         "file_id", F.size("chunks").alias("n_chunks"), F.size(F.filter("chunks", lambda x: x["embedding_id"].isNotNull())).alias("n_embedded"),
         F.array_join(F.transform("chunks", lambda x: x["chunk_id"].cast("string")), ",").alias("chunks"),
@@ -213,7 +213,7 @@ def replace_artifacts(t):
 @add("delete_artifacts", f"WITH {C.CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_artifacts(t):
     gone = t.labels.filter("toxic = 1").select(F.col("doc_id").alias("file_id"))
-    return K.without(C.chunks(t.documents), gone, "file_id").select("chunk_id")
+    return K.without(C.chunks(t.spread("documents")), gone, "file_id").select("chunk_id")
 
 
 @add("surrogate_keys", "SELECT 1000 + row_number() OVER (ORDER BY page_id) AS id, url FROM pages")
@@ -307,7 +307,7 @@ kept AS (SELECT * FROM (SELECT *, sum(tokens) OVER (ORDER BY score DESC, file_pa
 
 
 def _snippets(t):
-    c = C.chunks(t.documents).filter(F.contains("content", F.lit("ing"))).join(C.files(t.documents).filter(~F.col("is_deleted")), "file_id")
+    c = C.chunks(t.spread("documents")).filter(F.contains("content", F.lit("ing"))).join(C.files(t.documents).filter(~F.col("is_deleted")), "file_id")
     return c.select(
         "chunk_id", F.col("summary").alias("label"), "kind", F.col("content").alias("text"), "start_line", "end_line", F.col("token_count").cast("long").alias("tokens"),
         F.col("abs_path").alias("file_path"), "language", (F.col("token_count") % 50 / 50.0).alias("score"),
@@ -331,7 +331,7 @@ def task_context_xml(t):
 @add("row_invariants", f"""
 WITH {C.CHUNKS_SQL} SELECT count(*)::BIGINT AS n, count(*) FILTER (ordinal < 0)::BIGINT AS bad_ordinal, count(*) FILTER (start_line > end_line)::BIGINT AS bad_lines, count(*) FILTER (token_count < 1)::BIGINT AS bad_tokens FROM chunks""")
 def row_invariants(t):
-    return C.chunks(t.documents).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ordinal") < 0).alias("bad_ordinal"), F.count_if(F.col("start_line") > F.col("end_line")).alias("bad_lines"), F.count_if(F.col("token_count") < 1).alias("bad_tokens"))
+    return C.chunks(t.spread("documents")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ordinal") < 0).alias("bad_ordinal"), F.count_if(F.col("start_line") > F.col("end_line")).alias("bad_lines"), F.count_if(F.col("token_count") < 1).alias("bad_tokens"))
 
 
 @add("chunk_formats")
@@ -360,7 +360,7 @@ def live_files(t):
 
 @add("chunks_by_kind", f"WITH {C.CHUNKS_SQL} SELECT chunk_id, file_id, ordinal, kind, summary FROM chunks WHERE kind = 'TABLE' AND summary LIKE 'src1%' ORDER BY file_id, ordinal")
 def chunks_by_kind(t):
-    found = C.chunks(t.documents).filter((F.col("kind") == "TABLE") & F.col("summary").startswith("src1"))
+    found = C.chunks(t.spread("documents")).filter((F.col("kind") == "TABLE") & F.col("summary").startswith("src1"))
     return found.select("chunk_id", "file_id", "ordinal", "kind", "summary").orderBy("file_id", "ordinal")
 
 
@@ -416,7 +416,7 @@ SELECT 'status' AS sort, file_id, status, n_chunks FROM (SELECT * FROM g ORDER B
 UNION ALL SELECT 'chunks', file_id, status, n_chunks FROM (SELECT * FROM g ORDER BY n_chunks DESC, abs_path LIMIT 50)""")
 def file_grid_sorted(t):
     """Pages of the grid by status and by chunk count."""
-    n = C.chunks(t.documents).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    n = C.chunks(t.spread("documents")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     status = K.file_status(F.col("is_deleted"), F.when(F.col("size_bytes") < 100, "").otherwise("h"), F.col("file_id") % 7, F.lit(3))
     g = C.files(t.documents).join(n, "file_id", "left").withColumn("n_chunks", F.coalesce("n", F.lit(0))).withColumn("status", status)
     page = lambda by, down: g.orderBy(*K.grid_order(by, down)).limit(50).select(F.lit(by).alias("sort"), "file_id", "status", "n_chunks")
@@ -522,7 +522,7 @@ def word_pieces(t):
 @add("embedded_chunks")
 def embedded_chunks(t):
     """Chunks through a model that hashes words, in Arrow batches."""
-    return E.embedded(C.chunks(t.documents), "chunk_id", "content", lambda: E.hashing_model(32), "hashing")
+    return E.embedded(C.chunks(t.spread("documents")), "chunk_id", "content", lambda: E.hashing_model(32), "hashing")
 
 
 _TYPES = ("text/x-java", "application/json", "image/png", "application/pdf", "video/mp4", "application/unknown", None)

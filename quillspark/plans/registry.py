@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL_BYTES = 128 << 20
+
+
 class Tables:
     """The tables of one folder, opened when first named."""
 
@@ -20,6 +23,13 @@ class Tables:
         setattr(self, name, table)  # its schema is read once
         return table
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are long texts: one below ``SMALL_BYTES`` is a row group or two, which few tasks would read, so its rows are dealt to all cores."""
+        table = getattr(self, name)
+        if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
+            return table
+        return table.repartition(self.spark.sparkContext.defaultParallelism)
+
 
 class Registry:
     def __init__(self):

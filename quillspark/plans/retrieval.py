@@ -98,19 +98,19 @@ def file_lookup(t):
 @add("chunk_lookup", f"""
 WITH {C.CHUNKS_SQL} SELECT chunk_id, file_id, ordinal, token_count FROM chunks WHERE file_id IN (1, 2, 3) ORDER BY file_id, ordinal""")
 def chunk_lookup(t):
-    return C.chunks(t.documents.filter("doc_id IN (1, 2, 3)")).select("chunk_id", "file_id", "ordinal", "token_count").orderBy("file_id", "ordinal")
+    return C.chunks(t.spread("documents").filter("doc_id IN (1, 2, 3)")).select("chunk_id", "file_id", "ordinal", "token_count").orderBy("file_id", "ordinal")
 
 
 @add("first_chunk_of_file", f"""
 WITH {C.CHUNKS_SQL} SELECT file_id, arg_min(chunk_id, ordinal) AS chunk_id, arg_min(content, ordinal) AS content FROM chunks GROUP BY file_id""")
 def first_chunk_of_file(t):
-    return C.chunks(t.documents).groupBy("file_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"), F.min_by("content", "ordinal").alias("content"))
+    return C.chunks(t.spread("documents")).groupBy("file_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"), F.min_by("content", "ordinal").alias("content"))
 
 
 @add("keyword_and", f"""
 WITH {C.CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE """ + " AND ".join(f"contains(lower(content), '{w}')" for w in ASKED))
 def keyword_and(t):
-    return C.chunks(t.documents).filter(T.contains_all(F.col("content"), ASKED)).select("chunk_id")
+    return C.chunks(t.spread("documents")).filter(T.contains_all(F.col("content"), ASKED)).select("chunk_id")
 
 
 def _lexical_sql(words: list[str], content: str = "content") -> str:
@@ -141,7 +141,7 @@ _BASE_SQL = r"""base AS (SELECT chunk_id, file_id, ordinal, token_count, content
 
 @add("lexical_score", f"""WITH {C.CHUNKS_SQL}, {_BASE_SQL} SELECT chunk_id, round(score, 6) AS score FROM {_lexical_sql(ASKED)} WHERE score > 0""")
 def lexical_score(t):
-    scored = C.chunks(t.documents).select("chunk_id", T.keyword_relevance(F.col("content"), ASKED).alias("score"))
+    scored = C.chunks(t.spread("documents")).select("chunk_id", T.keyword_relevance(F.col("content"), ASKED).alias("score"))
     return scored.filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -151,7 +151,7 @@ _FULLTEXT_SQL = f"""{C.CHUNKS_SQL}, {C.FILES_SQL}, {_BASE_SQL}, ft AS (
 
 
 def _full_text(t):
-    return R.full_text(C.chunks(t.documents), C.files(t.documents), "this ing")
+    return R.full_text(C.chunks(t.spread("documents")), C.files(t.documents), "this ing")
 
 
 @add("fulltext_topk", f"""WITH {_FULLTEXT_SQL} SELECT chunk_id, file_path, round(score, 6) AS score FROM ft ORDER BY score DESC, file_path, chunk_id LIMIT 50""")
@@ -350,7 +350,7 @@ SELECT rank::INT AS rank, chunk_id, file_path, score, sources, used FROM b WHERE
 @add("hybrid_context", _HYBRID_SQL)
 def hybrid_context(t):
     """Two providers by rank fusion: thresholds, boosts, top k and the token budget in one plan."""
-    chunks, files = C.chunks(t.documents), C.files(t.documents)
+    chunks, files = C.chunks(t.spread("documents")), C.files(t.documents)
     first = chunks.filter("ordinal = 0").join(files, "file_id")
     vectors = t.embeddings.select(F.col("vec_id").alias("file_id"), F.col("embedding").alias("vector")).join(first, "file_id").select("vector", "chunk_id", F.col("abs_path").alias("file_path"), "language", F.col("token_count").alias("tokens"))
     sem = R.semantic(vectors, _query_vector(t), k=64, least=0.1).withColumn("provider", F.lit("semantic"))
@@ -372,7 +372,7 @@ _ASKED = X.Request(
 
 def _corpus(t) -> X.Corpus:
     vectors = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("m").alias("model"))
-    return X.Corpus(C.chunks(t.documents), C.files(t.documents), vectors, C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id"), C.commits(t.lineitem))
+    return X.Corpus(C.chunks(t.spread("documents")), C.files(t.documents), vectors, C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id"), C.commits(t.lineitem))
 
 
 def _asked(t, **changes) -> X.Request:

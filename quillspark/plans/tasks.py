@@ -279,7 +279,7 @@ _REQUESTS_SQL = "src AS (SELECT doc_id AS key, ([" + ", ".join(f"'{p}'" for p in
 
 def _requests(t):
     phrase = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 8).cast("int"))
-    return t.documents.select(F.col("doc_id").alias("key"), F.concat(phrase, F.lit(" "), "text").alias("text"))
+    return t.spread("documents").select(F.col("doc_id").alias("key"), F.concat(phrase, F.lit(" "), "text").alias("text"))
 
 
 @add("classify_text", f"WITH {_REQUESTS_SQL}, {_CLASSIFY_SQL} SELECT key, complexity, risk, k::INT AS n_critical, round(confidence, 6) AS confidence FROM cl")
