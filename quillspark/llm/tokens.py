@@ -145,6 +145,10 @@ class TokenFile:
             yield (int(row["id"]) if row["known"] else None), int(row["n"]), crc
 
 
+#: White space as the library's patterns know it.
+_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 class Encoder:
     """Whole texts to ids, with a cache of the library's answers for repeated pieces.
 
@@ -152,7 +156,7 @@ class Encoder:
     something other than white space, so the pieces between single blanks are
     encoded apart. Pieces go through the library once while the cache holds
     them (it starts anew beyond ``max_pieces``); texts with two blanks in a
-    row go through it whole. The cache numbers the pieces; their ids lie one after the other in one array.
+    row, or a blank between other white space, go through it whole. The cache numbers the pieces; their ids lie one after the other in one array.
     """
 
     def __init__(self, path: str, max_pieces: int = 1_000_000):
@@ -215,14 +219,22 @@ class Encoder:
                 found[at] = np.arange(first, first + len(new))
         return found
 
+    def _run_over(self, pieces: pa.Array, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts in which white space stands on both sides of a blank, or before a blank at the end: it is split as one run."""
+        told = lambda pattern: pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False)
+        starts, ends = told(f"^({_SPACE}|$)"), told(f"(^|{_SPACE})$")
+        met = ends[codes[:-1]] & starts[codes[1:]]
+        met[at[1:-1] - 1] = False  # from one text to the next
+        return np.unique(np.searchsorted(at, np.flatnonzero(met), side="right") - 1)
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, ``end`` behind each text, and the number of ids of each text."""
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False))
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
         codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+        odd = np.union1d(np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)), self._run_over(coded.dictionary, codes, at))
         behind = np.bincount(codes, minlength=size) - np.bincount(codes[at[:-1]], minlength=size)
         used, number = np.flatnonzero(behind), np.zeros(size, dtype=np.int32)
         number[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())

@@ -157,7 +157,7 @@ def test_token_file_random_access():
 
 TRICKY = [
     None, "", " ", "  ", "a  b", " x", "x ", "a\n\n b\n", "a \n b", "é ü\xa0 z", "don't 's", "<|endoftext|> x", "\n", "x\n y", "a\t b", " \n x", "日本 語", "a" * 300 + " b",
-    "1,000.5 -- !? ...", "\x85 a", "a \x85b  c", "  a", "Ġ ĠA Ġ",
+    "a \n \n b", "a\n \nb", "a \n ", "a \xa0 \xa0", " \n \n", "a \t \n b \n", "\u3000 \u3000x", "x\n ", "\n \n", "1,000.5 -- !? ...", "\x85 a", "a \x85b  c", "  a", "Ġ ĠA Ġ",
 ]
 
 
@@ -173,6 +173,17 @@ def test_encoder_equals_the_library(most):
         assert [c.tolist() for c in np.split(ids, np.cumsum(n)[:-1])] == [[*library_ids(encoder, t), 0] for t in TRICKY]
 
 
+def test_encoder_equals_the_library_on_random_texts():
+    rnd, encoder = random.Random(6), tokens.Encoder(entries.tokenizer_path(), 3000)
+    bits = [*".,;:!?\n\t", "a", "É", "word", "Don't", "x²", "½", "日本", "İ", "1", "_", "\xa0", "\u3000", "\u2028", "\x1c", *[" "] * 12]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 16))) for _ in range(30_000)]
+    for k in range(0, len(texts), 2000):
+        part = texts[k : k + 2000]
+        ids, n = encoder.encode(pa.array(part), 0)
+        want = [[*e.ids, 0] for e in encoder.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        assert [c.tolist() for c in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_token_files(spark):
     rows = [(k * 7 % 23 if k % 5 else None, t) for k, t in enumerate([*TRICKY, *ODD])]
     encoder, start, want = tokens.Encoder(entries.tokenizer_path()), 0, []
