@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, langid, linededup, mixing, quality, simhash, substrings, tokens, warc
+from quillspark.llm import chat, clusters, decontam, langid, linededup, mixing, quality, simhash, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 #: Every row is a document, so rows are numbered: ids may repeat or be null.
@@ -199,9 +204,40 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    """Inner products of integers below 2**53 are exact in doubles; ``s - mod`` is divided without a rest, which gives the floor."""
+    parts = [f"""v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p
+  FROM (SELECT coalesce(sha256('1:' || vec_id), 'null') AS h, p FROM v ORDER BY h, p LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+  SELECT rid, vec_id, p, m.d AS d, m.c AS c
+  FROM (SELECT rid, any_value(v.vec_id) AS vec_id, any_value(v.p) AS p,
+               min({{'d': (list_inner_product(v.p, v.p) - 2 * list_inner_product(v.p, c{r}.p) + list_inner_product(c{r}.p, c{r}.p))::BIGINT, 'c': c{r}.c}}) AS m
+        FROM v CROSS JOIN c{r} GROUP BY rid)
+)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY dim)::DOUBLE[] AS p
+  FROM (SELECT c, dim, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(p)::BIGINT AS x, unnest(range(64)) AS dim FROM a{r}) GROUP BY c, dim) GROUP BY c
+), c{r + 1} AS (
+  SELECT c{r}.c, coalesce(m{r}.p, c{r}.p) AS p FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{rounds}.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c{rounds}.p, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
 ORACLES = {
     "op2_line_dedup": _OP2_SQL,
     "op4_quality_rules": _OP4_SQL,
     "op8_warc": _OP8_SQL,
     "op9_chat_formatting": _OP9_SQL,
+    "op13_centroid_clustering": _op13_sql(),
 }
