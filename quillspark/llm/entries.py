@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, clusters, decontam, langid, linededup, mixing, quality, simhash, substrings, tokens, warc
+from quillspark.llm import chat, clusters, decontam, langid, linededup, mixing, quality, simhash, spelling, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"), least=6, occurrences=5, every=199, ratio=5)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
