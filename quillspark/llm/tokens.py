@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.files import filesystem
-from quillspark.llm.workers import kept
+from quillspark.llm.workers import kept, trimmed
 from quillspark.session import shared_dir, ship
 
 ship(__name__)
 
 MAGIC = b"QSTOKEN1"
 BLOCK = 65536
-ROWS = 2048  # texts that are encoded together
+#: Texts that are encoded together: so many, of so many bytes together (one text may have more); characters that go to the library in one call.
+ROWS, BYTES, CALL = 1024, 4 << 20, 1 << 18
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
@@ -180,9 +181,17 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum())), lengths
+        ids, lengths, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= CALL:
+                size += len(texts[stop])
+                stop += 1
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:stop], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths[-1].sum())))
+            at = stop
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces with a blank before each, many pieces in a call.
@@ -266,6 +275,16 @@ class Encoder:
         return pool[jump], np.diff(last)
 
 
+def portions(texts: pa.Array):
+    """Places where to cut an array of texts, so that each part has ``ROWS`` texts and ``BYTES`` bytes at most, or one text."""
+    sizes, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(sizes):
+        before = sizes[at - 1] if at else 0
+        stop = min(at + ROWS, max(at + 1, int(np.searchsorted(sizes, before + BYTES, side="right"))), len(sizes))
+        yield at, stop
+        at = stop
+
+
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, which later tasks of the worker find again."""
     return kept(path, lambda: Encoder(path))
@@ -278,7 +297,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
     order of documents. A task writes a file under a name of its own attempt and
     reports it, so that a repeated task leaves no doubt which file counts. A
     null text has the end id only; repeated rows are written each; rows of one doc_id, or without one, are ordered by a hash of their
-    text and may lie in several files; texts may be of any length, 2,048 of them are held at a time; other columns are not read, so their names cannot clash; an empty
+    text and may lie in several files; texts may be of any length, 4 MB of them or one are encoded at a time; other columns are not read, so their names cannot clash; an empty
     table gives no file.
     """
     spark = docs.sparkSession
@@ -291,8 +310,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
         fs, top = filesystem(base)
         path, writer, stream = f"{top}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok", None, None
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part, encoder = b.slice(k, ROWS), _encoder(tokenizer)
+            for at, stop in portions(b.column(1)):
+                part, encoder = b.slice(at, stop - at), _encoder(tokenizer)
                 if writer is None:
                     stream = fs.open_output_stream(path)
                     writer = TokenWriter(stream, encoder.vocabulary)
@@ -301,6 +320,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
         if writer:
             writer.close()
             stream.close()
+            trimmed()
             name = base.rstrip("/") + path[len(top) :]
             row = [[task.partitionId()], [name], [len(writer.counts)], [writer.n]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["shard", "path", "n_docs", "n_tokens"])

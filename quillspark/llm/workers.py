@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import threading
-import time
 import types
 from collections.abc import Callable
 
@@ -13,36 +11,30 @@ from quillspark.session import ship
 
 ship(__name__)
 
-IDLE_SECONDS = 3.0
-
 
 def _state() -> dict:
     return sys.modules.setdefault("quillspark_worker_state", types.ModuleType("quillspark_worker_state")).__dict__.setdefault("kept", {})
 
 
+def trimmed() -> None:
+    """Give memory that is free back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget() -> None:
-    """Let go what the worker keeps, and give the memory back to the system."""
+    """Let go what the worker keeps: for tasks that need the room, at their start."""
     if _state():
         _state().clear()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
-
-
-def _watch() -> None:
-    while state := _state():
-        time.sleep(0.5)
-        if time.monotonic() - state.get("used", 0) > IDLE_SECONDS:
-            forget()
+        trimmed()
 
 
 def kept(name: str, make: Callable[[], object]) -> object:
-    """What ``make`` gave the first time; a worker that has not asked for ``IDLE_SECONDS`` lets it go, as it may wait for long or do other work."""
+    """What ``make`` gave the first time. Only a task's own thread comes here, and a worker runs one task at a time."""
     state = _state()
-    state["used"] = time.monotonic()
     if name not in state:
-        watched = "watch" in state and state["watch"].is_alive()
         state[name] = make()
-        if not watched:
-            state["watch"] = threading.Thread(target=_watch, daemon=True)
-            state["watch"].start()
     return state[name]
