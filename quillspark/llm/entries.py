@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, clusters, decontam, langid, linededup, mixing, quality, simhash, spelling, substrings, tokens, warc
+from quillspark.llm import chat, clusters, decontam, langid, linededup, mixing, quality, simhash, spelling, substrings, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = _table(spark, sf_dir, "documents"), lambda i: F.crc32(F.encode(i.cast("string"), "UTF-8")) % 5
+    rows = docs.select("doc_id", F.coalesce(rest(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score_toxicity(rows, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), lambda i: rest(i) != 0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_table(spark, sf_dir, "documents"), least=6, occurrences=5, every=199, ratio=5)
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

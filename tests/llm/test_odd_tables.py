@@ -24,6 +24,8 @@ def folders(spark, tmp_path_factory):
         tables = {
             "documents": (DOCS, SCHEMA), "pages": ([(*p, "clash") for p in PAGES], "page_id long, url string, html string, digest string"),
             "benchmark": ([(1, LONG[:400]), (None, "a benchmark item without an id of its own here"), (2, None)], "item_id long, text string"),
+            "labels": ([(7, 1, 1, "clash"), (7, 0, 0, "y"), (8, 0, 0, "y"), (None, 1, 1, "y"), (9, None, None, "y"), (404, 0, 1, "y"), (11, 0, 5, "y")], "doc_id long, quality int, toxic int, score string"),
+            "embeddings": ([(1, [0.5] * 64, 0, 9), (None, [0.25] * 64, 0, 9), (2, None, None, 9), (3, [None] * 64, 1, 9), (1, [0.5] * 64, 0, 9)], "vec_id long, embedding array<float>, label int, cluster int"),
             "conversations": ([(*c, "clash") for c in TALKS], "conv_id long, turn int, role string, text string, kind string"),
         }
         for name, (rows, schema) in tables.items():
@@ -36,7 +38,7 @@ def folders(spark, tmp_path_factory):
 def test_odd_and_empty_tables(spark, folders, name):
     rows = entries.QUERIES[name](spark, folders[0]).collect()
     none = entries.QUERIES[name](spark, folders[1]).collect()
-    per_row = {"op8_warc": len(PAGES), "op9_chat_formatting": 4, "op7_decontamination": 2}.get(name, len(DOCS))
+    per_row = {"op8_warc": len(PAGES), "op9_chat_formatting": 4, "op7_decontamination": 2, "op12_spelling_variants": 0, "op13_centroid_clustering": 3}.get(name, len(DOCS))
     assert len(rows) == per_row, rows
     assert [r.conv_id for r in none] == [-7] if name == "op9_chat_formatting" else none == []
     if per_row == len(DOCS):
