@@ -31,7 +31,7 @@ ship(__name__)
 MAGIC = b"QSTOKEN1"
 BLOCK = 65536
 #: Texts that are encoded together: so many, of so many bytes together (one text may have more); characters that go to the library in one call.
-ROWS, BYTES, CALL = 1024, 4 << 20, 1 << 18
+ROWS, BYTES, CALL = 2048, 8 << 20, 1 << 20
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
@@ -297,7 +297,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, out_dir: str
     order of documents. A task writes a file under a name of its own attempt and
     reports it, so that a repeated task leaves no doubt which file counts. A
     null text has the end id only; repeated rows are written each; rows of one doc_id, or without one, are ordered by a hash of their
-    text and may lie in several files; texts may be of any length, 4 MB of them or one are encoded at a time; other columns are not read, so their names cannot clash; an empty
+    text and may lie in several files; texts may be of any length, 8 MB of them or one are encoded at a time; other columns are not read, so their names cannot clash; an empty
     table gives no file.
     """
     spark = docs.sparkSession
