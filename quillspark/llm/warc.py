@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.files import filesystem
-from quillspark.session import bounded_broadcast, shared_dir, ship
+from quillspark.llm.skew import heavy_keys, skew_join
+from quillspark.session import shared_dir, ship, written
 
 ship(__name__)
 
@@ -81,48 +82,59 @@ def _parsed(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, after + 4
 
 
-def _member(raw: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at ``at``, whose checksum zlib verifies, and where it ends."""
+def _member(raw: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds, whose checksum zlib verifies, and where it ends; of a broken one what comes before the damage, and None."""
     packer, out, view, fed = zlib.decompressobj(31), [], memoryview(raw), at
-    try:
-        while not packer.eof and fed < len(raw):
+    while not packer.eof and fed < len(raw):
+        before = packer.copy()
+        try:
             out.append(packer.decompress(view[fed : fed + 65536]))
-            fed = min(len(raw), fed + 65536)
-    except zlib.error:
-        return None
-    return (b"".join(out), fed - len(packer.unused_data)) if packer.eof else None
-
-
-def salvage(raw: bytes):
-    """("record", offset, headers, block) and ("gap", start, end, reason) in the order of the file."""
+        except zlib.error:
+            try:  # again byte by byte, up to the damage
+                for k in range(fed, min(len(raw), fed + 65536)):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None
+        fed = min(len(raw), fed + 65536)
+    return b"".join(out), fed - len(packer.unused_data) if packer.eof else None
+
+
+def salvage(raw: bytes, members: bool = True):
+    """("record", offset, headers, block) and ("gap", start, end, reason) in the order of the file.
+
+    Records within a gzip member have the member's offset. In a member of several records those around a damaged one are recovered by their version
+    lines, and the gap is the member with the bytes of its content that are lost; of a member that cannot be unpacked to its end, the
+    records before the damage.
+    """
     at, gap = 0, None
     while at < len(raw):
         found, stop = [], None
-        if raw[at : at + 3] == b"\x1f\x8b\x08":
-            member, reason = _member(raw, at), "broken member"
-            if member:
-                inner, reason = 0, "broken record in a member"
-                while inner < len(member[0]) and (one := _parsed(member[0], inner)):
-                    found.append((one[0], one[1]))
-                    inner = one[2]
-                if found and inner == len(member[0]):
-                    stop = member[1]
-                else:
-                    found = []
+        if members and raw[at : at + 3] == b"\x1f\x8b\x08":
+            inside, stop = _member(raw, at)
+            reason, parts = "broken member", list(salvage(inside, members=False))
+            records = [p for p in parts if p[0] == "record"]
+            if stop is None or not records:
+                found, stop = records, None
+            else:
+                found = [p if p[0] == "record" else ("gap", at, stop, f"broken record in a member, bytes {p[1]}-{p[2]} of its content") for p in parts]
         else:
             one, reason = _parsed(raw, at), "no valid record"
             if one:
-                found, stop = [(one[0], one[1])], one[2]
+                found, stop = [("record", at, one[0], one[1])], one[2]
+        if found and gap:
+            yield "gap", gap[0], at, gap[1]
+            gap = None
+        for part in found:
+            yield ("record", at, *part[2:]) if part[0] == "record" else part
         if stop is not None:
             if gap:
                 yield "gap", gap[0], at, gap[1]
                 gap = None
-            for headers, block in found:
-                yield "record", at, headers, block
             at = stop
             continue
         gap = gap or (at, reason)
-        line, member = _VERSION.search(raw, at + 1), raw.find(b"\x1f\x8b\x08", at + 1)
+        line, member = _VERSION.search(raw, at + 1), raw.find(b"\x1f\x8b\x08", at + 1) if members else -1
         at = min(line.start() if line else len(raw), member if member > 0 else len(raw))
     if gap:
         yield "gap", gap[0], len(raw), gap[1]
@@ -138,8 +150,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = 100, broadcast_rows: int =
     html = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
     large = own.filter(F.octet_length("html") >= min_bytes)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = own.join(bounded_broadcast(first, broadcast_rows), "digest", "left")
+    first = written(large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-repeated")
+    if first.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = own.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:  # a payload that many pages have is not gathered in one task
+        joined = skew_join(own, first.drop("n"), ["digest"], heavy_keys(first, ["digest"], pages.count()), "left")
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to"))
 
 
