@@ -36,7 +36,8 @@ def test_records_before_the_damage_of_a_member():
     raw[len(raw) // 2] ^= 255
     got = list(warc.salvage(bytes(raw) + behind))
     found = ids(got)
-    assert found[-1] == "<urn:page:99>" and 10 <= len(found) - 1 < 40 and found[:-1] == [f"<urn:page:{n}>" for n in range(len(found) - 1)]
+    numbers = [int(f[10:-1]) for f in found]  # what unpacks is judged by its digests
+    assert numbers[-1] == 99 and 10 <= len(numbers) - 1 < 40 and numbers[:-1] == sorted(set(numbers[:-1])) and numbers[-2] < 40
     gaps = [f for f in got if f[0] == "gap"]
     assert [(g[1], g[2]) for g in gaps] == [(0, len(raw))]
     assert ids(warc.salvage(bytes(raw[: len(raw) // 3]))) == [f"<urn:page:{n}>" for n in range(len(ids(warc.salvage(bytes(raw[: len(raw) // 3])))))]
