@@ -113,7 +113,8 @@ def length_idf_column(mean: Column) -> Column:
 
 
 def keyword_relevance(text: Column, words: list[str]) -> Column:
-    """Lexical score with the length factor, and 0.3 of it for chunks below 50 characters."""
+    """Lexical score with the length factor, and 0.3 of it for chunks below 50 characters; 0 for a null text."""
+    text = F.coalesce(text, F.lit(""))
     boosted = F.least(F.lit(1.0), lexical_score(text, words) * length_idf(words))
     return boosted * F.when(F.length(text) < 50, 0.3).otherwise(1.0)
 

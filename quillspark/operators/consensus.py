@@ -20,11 +20,20 @@ EDGE_TERMS = ("edge case", "edge-case", "risk", "limitation", "failure mode", "p
 TRADE_TERMS = ("trade-off", "tradeoff", "pros", "cons", "alternative", "compare", "versus")
 
 
-def voting(proposals: DataFrame, threshold: float = 0.75) -> DataFrame:
+def canonical(content: Column) -> Column:
+    """A JSON text in one form, names in order and numbers without zeros behind the point; any other text as it stands."""
+    value = F.try_parse_json(content)
+    return F.when(value.isNotNull(), F.concat(F.lit("json "), F.to_json(value))).otherwise(F.concat(F.lit("text "), content))
+
+
+def voting(proposals: DataFrame, threshold: float = 0.75, by_structure: bool = False) -> DataFrame:
     """(task_id, total, votes, leaders, agreed, winner): the content most propose, if alone and at ``threshold`` of all.
 
-    The winner is the content's proposal of highest confidence, then earliest id.
+    The winner is the content's proposal of highest confidence, then earliest id. With ``by_structure`` JSON contents are one vote if they are the same
+    value, however it is written.
     """
+    if by_structure:
+        proposals = proposals.withColumn("content", canonical(F.col("content")))
     best = F.max_by("id", F.struct(F.col("confidence"), -F.col("id")))
     votes = proposals.groupBy("task_id", "content").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
     top = F.max("n").over(W.partitionBy("task_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
+from quillspark.operators import terms as TT
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Corpus:
     vectors: DataFrame | None = None
     symbols: DataFrame | None = None
     commits: DataFrame | None = None
+    terms: TT.TermTable | None = None  # with it, full text reads postings and not all texts
 
     def located(self, chunks: DataFrame | None = None) -> DataFrame:
         """Chunks with the path and language of their live files."""
@@ -81,6 +83,8 @@ def _hits(df: DataFrame, name: str, limit: int, order: list[Column] | None = Non
 
 @register("full_text")
 def full_text(corpus: Corpus, request: Request) -> DataFrame:
+    if corpus.terms is not None:
+        return _hits(TT.full_text(corpus.terms, corpus.files, request.query, request.scope.column(kinds=False), summary=True, kinds=request.scope.kinds), "full_text", request.limit)
     found = R.full_text(corpus.chunks.filter(F.col("kind").isin(list(request.scope.kinds)) if request.scope.kinds else F.lit(True)), corpus.files, request.query, summary=True)
     return _hits(found.filter(request.scope.column(kinds=False)), "full_text", request.limit)
 
@@ -136,7 +140,7 @@ def hybrid(corpus: Corpus, request: Request, over: tuple[str, ...] = ("semantic"
     """The other providers' hits by reciprocal rank fusion."""
     hits = gathered(corpus, request, over)
     place = hits.groupBy("chunk_id").agg(F.max("tokens").alias("tokens"), F.max("file_id").alias("file_id"), F.max("ordinal").alias("ordinal"))
-    return _hits(R.fuse(hits).join(place, "chunk_id"), "hybrid", request.limit)
+    return _hits(R.fuse(hits, limit=request.limit).join(place, "chunk_id"), "hybrid", request.limit)
 
 
 def gathered(corpus: Corpus, request: Request, names: tuple[str, ...] | None = None) -> DataFrame:

@@ -6,17 +6,14 @@ tokens). Every order is total: score down, then path, then chunk_id.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.session import ship
-
-ship(__name__)
+from quillspark.operators.catalog import numbered
+from quillspark.session import written
 
 # Type weights of symbols, and the chunk kind that a symbol stands for.
 SYMBOL_WEIGHT = {"CLASS": 1.0, "INTERFACE": 1.0, "ENUM": 1.0, "METHOD": 0.85, "FUNCTION": 0.85, "PROPERTY": 0.75, "VARIABLE": 0.75, "CONSTANT": 0.75}
@@ -120,17 +117,24 @@ def containing_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     return s.join(c, (F.col("s.file_id") == F.col("c.file_id")) & inside, "left")
 
 
-def fuse(hits: DataFrame, by: list[str] = (), k: int = 60, weights: dict[str, float] | None = None, top: int = 1000) -> DataFrame:
-    """Reciprocal rank fusion of (provider, chunk_id, file_path, score): the sum of weight / (k + rank) over each provider's ``top`` hits.
+def fuse(hits: DataFrame, by: list[str] = (), k: int = 60, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of (provider, chunk_id, file_path, score): the sum of weight / (k + rank) over all hits of each provider.
 
-    Every task keeps its own ``top`` hits of a provider before they are ranked.
+    Ranks come from one sort by ranges, so no task holds a provider's hits. With a ``limit`` that the providers state themselves, every
+    task keeps its own best ``limit`` of a provider, which are ranked in a window.
     """
-    rank = F.row_number().over(W.partitionBy(*by, "provider").orderBy(*by_rank()))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("provider") == name, w).otherwise(weight)
-    ranked = hits.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("part", weight / (k + F.col("rank")))
-    return ranked.groupBy(*by, "chunk_id", "file_path").agg(
+    if limit is not None:
+        rank = F.row_number().over(W.partitionBy(*by, "provider").orderBy(*by_rank()))
+        ranked = hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    else:
+        few = [*by, "provider"]
+        placed = numbered(hits.select(*few, "chunk_id", "file_path", "score"), [*(F.asc_nulls_first(c) for c in few), *by_rank()], "__k")
+        first = F.broadcast(placed.groupBy(*few).agg(F.min("__k").alias("__first"))) if not by else placed.groupBy(*few).agg(F.min("__k").alias("__first"))  # a row for each provider
+        ranked = placed.join(first, few).withColumn("rank", F.col("__k") - F.col("__first") + 1)
+    return ranked.withColumn("part", weight / (k + F.col("rank"))).groupBy(*by, "chunk_id", "file_path").agg(
         F.sum("part").alias("score"), F.countDistinct("provider").alias("agreement"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("sources")
     )
 
@@ -205,31 +209,39 @@ def budget_greedy(hits: DataFrame, limit: int, by: list[str], order: list[str])
 def mmr(hits: DataFrame, by: str, k: int, weight: float, budget: int) -> DataFrame:
     """Maximal marginal relevance over (by, chunk_id, score, tokens, vector), at most ``k`` for each group.
 
-    The first is the best that fits; each next one has the largest
-    weight * score - (1 - weight) * (largest dot product to those chosen), ties by
-    score. Groups are a query's candidates, bounded by the providers' k.
+    The first is the best that fits; each next one has the largest weight * score - (1 - weight) * (largest dot product to those chosen), to nine
+    decimals, ties by score and chunk_id. A group is one query's candidates, bounded by the providers' limits: a table of their dot products, and a fold that
+    keeps for each candidate its largest product to those chosen.
     """
+    norm = F.greatest(F.sqrt(V.squared_norm(F.col("vector"))), F.lit(1e-12))
+    one = hits.withColumn("__norm", norm).select(
+        by, F.struct((-F.col("score")).alias("s"), "chunk_id", "score", F.col("tokens").cast("long").alias("tokens"), F.transform("vector", lambda x: x.cast("double") / F.col("__norm")).alias("u")).alias("x")
+    )
+    groups = one.groupBy(by).agg(F.sort_array(F.collect_list("x")).alias("all"))
+    alike = F.transform("all", lambda a: F.transform("all", lambda b: V.dot(a["u"], b["u"])))
+    table = groups.select(by, F.transform("all", lambda x: x.dropFields("u", "s")).alias("rows"), F.explode(F.array(alike)).alias("alike"))
+
+    def step(state: Column, _: Column) -> Column:
+        def value(x: Column, i: Column) -> Column:
+            marginal = F.when(F.size(state["chosen"]) == 0, x["score"]).otherwise(weight * x["score"] - (1 - weight) * F.get(state["near"], i))
+            free = ~F.array_contains(state["chosen"], i) & (state["used"] + x["tokens"] <= budget)
+            return F.when(free, F.struct(F.round(marginal, 9).alias("value"), x["score"].alias("score"), (-i).alias("back")))
+
+        def taken(best: Column) -> Column:
+            at = -best["back"]
+            return F.when(best.isNull(), state).otherwise(
+                F.struct(
+                    F.array_append(state["chosen"], at).alias("chosen"), (state["used"] + F.get(F.col("rows"), at)["tokens"]).alias("used"),
+                    F.zip_with(state["near"], F.get(F.col("alike"), at), lambda a, b: F.greatest(a, b)).alias("near"),
+                )
+            )
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "chunk_id"], ascending=[False, True]).reset_index(drop=True)
-        vectors = np.array([np.asarray(v, dtype=float) / max(np.linalg.norm(v), 1e-12) for v in group.vector])
-        alike = vectors @ vectors.T
-        chosen, used = [], 0
-        while len(chosen) < k:
-            near = alike[:, chosen].max(axis=1) if chosen else np.zeros(len(group))
-            value = group.score.to_numpy() if not chosen else weight * group.score.to_numpy() - (1 - weight) * near
-            free = [i for i in range(len(group)) if i not in chosen and used + group.tokens[i] <= budget]
-            if not free:
-                break
-            best = max(free, key=lambda i: (value[i], group.score[i], -i))
-            chosen.append(best)
-            used += int(group.tokens[best])
-        out = group.loc[chosen, [by, "chunk_id", "score"]].copy()
-        out["rank"] = range(1, len(chosen) + 1)
-        return out
-
-    kind = dict(hits.dtypes)
-    return hits.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, chunk_id long, score double, rank long")
+        return T.let(F.array_max(F.transform("rows", value)), taken)
+
+    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.lit(0).cast("long").alias("used"), F.transform("rows", lambda x: F.lit(float("-inf"))).alias("near"))
+    chosen = table.select(by, "rows", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["chosen"].alias("chosen"))
+    each = chosen.select(by, "rows", F.posexplode("chosen").alias("rank", "at"))
+    return each.select(by, F.get(F.col("rows"), F.col("at")).alias("x"), (F.col("rank") + 1).cast("long").alias("rank")).select(by, "x.chunk_id", "x.score", "rank")
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1, factor: float = 0.5) -> DataFrame:
@@ -247,18 +259,41 @@ def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1, factor: float
     )
 
 
+#: Files of a commit that meet as many others in one task.
+TILE = 1000
+
+
 def co_changes(changes: DataFrame, least: int = 2) -> DataFrame:
     """(file, other, n): files that at least ``least`` commits of (commit, file) change together, both ways round.
 
-    A commit's files are one sorted array, and each file meets those behind it, so every pair is made once; pairs are summed before
-    they are mirrored.
+    Files in fewer than ``least`` commits go first. With ``least`` above 1 a pair shares more than one commit, so it shares one that is not the largest commit
+    of either file: each file leaves its largest out when pairs are made, and it is looked up for the pairs that were made. A commit of many files is dealt in tiles
+    of pairs. Nulls are in no pair; repeated rows count once.
     """
-    sets = changes.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files") > 1)
-    first = sets.select("files", F.posexplode("files").alias("at", "file"))
-    pairs = first.select("file", F.explode(F.slice("files", F.col("at") + 2, F.size("files"))).alias("other"))
-    counted = pairs.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    ways = F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other")))
-    return counted.select(F.explode(ways).alias("p"), "n").select("p.file", "p.other", "n")
+    rows = changes.filter("commit IS NOT NULL AND file IS NOT NULL").select("commit", "file").distinct()
+    often = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("file")
+    kept = rows.join(often, "file", "left_semi")
+    sized = kept.groupBy("commit").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    live = written(kept.join(sized, "commit"), "co-changes")
+    made, largest = live, None
+    if least > 1:
+        largest = live.groupBy("file").agg(F.max(F.struct("size", "commit")).alias("top")).select("file", F.col("top.commit").alias("left_out"))  # a row for each file
+        made = live.join(largest, "file").filter(F.col("commit") != F.col("left_out"))
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    tile = F.pmod(F.xxhash64("file"), tiles).cast("int")
+    every = F.sequence(F.lit(0), tiles - 1)
+    one = made.select("commit", F.col("file").alias("a"), tile.alias("x"), F.explode(every).alias("y"))
+    two = made.select("commit", F.col("file").alias("b"), F.explode(every).alias("x"), tile.alias("y"))
+    pairs = one.join(two, ["commit", "x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if largest is not None:
+        out = lambda c: largest.select(F.col("file").alias(c), F.col("left_out").alias(f"out_{c}"))
+        has = lambda c, o: live.select(F.col("commit").alias(f"out_{c}"), F.col("file").alias(o), F.lit(1).alias(f"has_{o}"))
+        known = pairs.join(out("a"), "a").join(out("b"), "b")
+        met = known.join(has("a", "b"), ["out_a", "b"], "left").join(has("b", "a"), ["out_b", "a"], "left")
+        once_more = F.coalesce("has_b", F.lit(0)) + F.when(F.col("out_a") != F.col("out_b"), F.coalesce("has_a", F.lit(0))).otherwise(0)
+        pairs = met.select("a", "b", (F.col("n") + once_more).alias("n"))
+    ways = F.array(F.struct(F.col("a").alias("file"), F.col("b").alias("other")), F.struct(F.col("b").alias("file"), F.col("a").alias("other")))
+    return pairs.filter(F.col("n") >= least).select(F.explode(ways).alias("p"), "n").select("p.file", "p.other", "n")
 
 
 def co_changed_with(changes: DataFrame, paths: DataFrame, recent: int = 20, least: int = 2) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
+from quillspark.operators import cells as CT
 from quillspark.operators import context as X
 from quillspark.operators import retrieval as R
+from quillspark.operators import terms as TT
 from quillspark.plans.registry import Registry, Tables
 from quillspark.sources import corpus as C
 
@@ -46,6 +48,31 @@ def semantic_filtered(t):
     return R.semantic(v, _query_vector(t), k=20, least=0.2).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@add("semantic_cells", f"""
+WITH s AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN least(0.99, {_COS} * 1.35) ELSE {_COS} END AS c FROM embeddings)
+SELECT vec_id AS chunk_id, round(c, 6) AS score FROM s WHERE c >= 0.3 ORDER BY round(c, 9) DESC, vec_id LIMIT 64""")
+def semantic_cells(t):
+    """The scan's result from the cells that can hold it."""
+    table = _cells(t.embeddings)
+    return CT.semantic(table, _query_vector(t), k=64).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def _cells(embeddings):
+    v = embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "document").otherwise("code").alias("language"))
+    return CT.build_cells(v, 64)
+
+
+@add("nearest_vectors", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.e, v.e) AS c FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM s)
+SELECT query_id, chunk_id, rank::INT AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 10""")
+def nearest_vectors(t):
+    """The ten nearest vectors of every twentieth one, among all."""
+    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return CT.nearest(_cells(t.embeddings), asked, 10).select("query_id", "chunk_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 @add("vector_norms", """
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""")
 def vector_norms(t):
@@ -150,8 +177,13 @@ _FULLTEXT_SQL = f"""{C.CHUNKS_SQL}, {C.FILES_SQL}, {_BASE_SQL}, ft AS (
   FROM {_lexical_sql(["this", "of"][:1] + ["ing"])} x JOIN files USING (file_id) WHERE contains(low, 'this') AND contains(low, 'ing') AND score > 0 AND NOT is_deleted)"""
 
 
+def _terms(t) -> TT.TermTable:
+    """Stored chunks, postings and terms of the documents; made once for each state of the table."""
+    return TT.terms_of_table(t.documents, f"{t.folder}/documents", C.chunks)
+
+
 def _full_text(t):
-    return R.full_text(C.chunks(t.spread("documents")), C.files(t.documents), "this ing")
+    return TT.full_text(_terms(t), C.files(t.documents), "this ing")
 
 
 @add("fulltext_topk", f"""WITH {_FULLTEXT_SQL} SELECT chunk_id, file_path, round(score, 6) AS score FROM ft ORDER BY score DESC, file_path, chunk_id LIMIT 50""")
@@ -224,7 +256,7 @@ def _hits(t):
 def _rrf_sql(weights: str) -> str:
     return f"""WITH {_HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, file_path, chunk_id) AS rank FROM hits)
 SELECT chunk_id, file_path, round(sum({weights} / (60 + rank)), 9) AS score, count(DISTINCT provider)::BIGINT AS agreement, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources
-FROM r WHERE rank <= 1000 GROUP BY chunk_id, file_path"""
+FROM r GROUP BY chunk_id, file_path"""
 
 
 @add("rrf_fusion", _rrf_sql("1.0::DOUBLE"))
@@ -287,7 +319,24 @@ def budget_skip(t):
     return R.budget_greedy(_messages(t), 120, ["conv_id"], ["turn"])
 
 
-@add("mmr_rerank")
+_MMR_SQL = """cand AS (SELECT *, (row_number() OVER (ORDER BY score DESC, chunk_id))::INT AS i FROM top),
+alike AS (SELECT a.i AS a, b.i AS b, list_inner_product(a.u, b.u) AS s FROM cand a, cand b),
+pick AS (
+  SELECT 0 AS rank, []::INT[] AS chosen, 0::BIGINT AS used
+  UNION ALL
+  SELECT rank + 1, list_append(chosen, arg_max(i, ord)), used + arg_max(tokens, ord)
+  FROM (SELECT rank, chosen, used, c.i, c.tokens, {{'v': round(CASE WHEN len(chosen) = 0 THEN c.score ELSE {w}::DOUBLE * c.score - {v}::DOUBLE * max(s) END, 9), 's': c.score, 'b': -c.i}} AS ord
+    FROM pick JOIN cand c ON NOT list_contains(chosen, c.i) AND used + c.tokens <= {budget} LEFT JOIN alike ON alike.a = c.i AND list_contains(chosen, alike.b)
+    WHERE rank < {k} GROUP BY rank, chosen, used, c.i, c.tokens, c.score)
+  GROUP BY rank, chosen, used),
+chosen AS (SELECT rank, chosen[rank] AS i FROM pick WHERE rank > 0)"""
+
+
+@add("mmr_rerank", f"""
+WITH RECURSIVE s AS (SELECT vec_id AS chunk_id, {_COS} AS score, (vec_id % 50 + 10)::BIGINT AS tokens, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+top AS (SELECT chunk_id, score, tokens, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM s WHERE score >= 0 ORDER BY round(score, 9) DESC, chunk_id LIMIT 64),
+{_MMR_SQL.format(w=0.5, v=0.5, budget=400, k=10)}
+SELECT 'q0' AS query, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM chosen JOIN cand USING (i)""")
 def mmr_rerank(t):
     q = _query_vector(t)
     v = t.embeddings.select(F.lit("q0").alias("query"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("v").alias("language"), (F.col("vec_id") % 50 + 10).cast("long").alias("tokens"))
@@ -358,7 +407,7 @@ def hybrid_context(t):
     cols = ["provider", "chunk_id", "file_path", "language", "tokens", F.round("score", 9).alias("score")]
     hits = sem.select(*cols).unionByName(lex.select(*cols))
     hits = hits.withColumn("score", R.boosted(F.col("score"), F.col("file_path"), F.col("language"), {"src1": 1.2}, {}))
-    fused = R.fuse(hits).withColumn("score", F.round("score", 9)).join(hits.groupBy("chunk_id").agg(F.max("tokens").alias("tokens")), "chunk_id")
+    fused = R.fuse(hits, limit=64).withColumn("score", F.round("score", 9)).join(hits.groupBy("chunk_id").agg(F.max("tokens").alias("tokens")), "chunk_id")
     top = fused.orderBy(*R.by_rank()).limit(30)
     kept = R.budget_prefix(top, 4000, [F.lit(0)], R.by_rank())
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*R.by_rank()))
@@ -370,9 +419,12 @@ _ASKED = X.Request(
 )
 
 
-def _corpus(t) -> X.Corpus:
+def _corpus(t, indexed: bool = True) -> X.Corpus:
     vectors = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("m").alias("model"))
-    return X.Corpus(C.chunks(t.spread("documents")), C.files(t.documents), vectors, C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id"), C.commits(t.lineitem))
+    symbols = C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id")
+    terms = _terms(t) if indexed else None
+    chunks = terms.chunks.drop("n_chars") if indexed else C.chunks(t.spread("documents"))
+    return X.Corpus(chunks, C.files(t.documents), vectors, symbols, C.commits(t.lineitem), terms)
 
 
 def _asked(t, **changes) -> X.Request:
@@ -421,7 +473,18 @@ def query_context(t):
     return X.query_context(_corpus(t), _asked(t))
 
 
-@add("query_context_mmr")
+_MMR_QUERY_SQL = f"""WITH RECURSIVE {_PROVIDERS_SQL},
+best AS (SELECT chunk_id, file_path, max(score) AS score, max(tokens) AS tokens, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources FROM al GROUP BY 1, 2),
+vecs AS (SELECT vec_id * 100000 AS chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+top AS (SELECT b.*, CASE WHEN e IS NULL THEN list_transform(range(64), lambda x: 0.0::DOUBLE) ELSE list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) END AS u
+  FROM (SELECT * FROM best WHERE score >= 0.3 ORDER BY score DESC, file_path, chunk_id LIMIT 10) b LEFT JOIN vecs USING (chunk_id)),
+{_MMR_SQL.format(w=0.5, v=0.5, budget=4000, k=10)},
+found AS (SELECT * FROM chosen JOIN cand USING (i)),
+ranked AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS used FROM found WINDOW w AS (ORDER BY score DESC, file_path, chunk_id))
+SELECT place::INT AS rank, chunk_id, score, file_path, sources, used::BIGINT AS used FROM ranked WHERE used <= 4000 AND place <= 10"""
+
+
+@add("query_context_mmr", _MMR_QUERY_SQL)
 def query_context_mmr(t):
     """The same with the diversity step instead of neighbours."""
     found = X.query_context(_corpus(t), _asked(t, window=0, diversity=0.5, k=10, path_boosts={}, language_boosts={}))
@@ -450,7 +513,7 @@ ORDER BY 3 DESC, 2, 1 LIMIT 64""")
 def scoped_context(t):
     """One scope for a provider: path prefix, language, kind, glob."""
     scope = X.Scope(paths=("src1",), languages=("EN",), kinds=("PARAGRAPH",), exclude=("**/*7.txt",))
-    return X.gathered(_corpus(t), _asked(t, query="this ing", scope=scope), ("full_text",)).select("chunk_id", "file_path", "score")
+    return X.gathered(_corpus(t, indexed=False), _asked(t, query="this ing", scope=scope), ("full_text",)).select("chunk_id", "file_path", "score")
 
 
 @add("paths_in_query", r"""

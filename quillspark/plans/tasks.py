@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import routing as RT
 from quillspark.functions import values as VL
 from quillspark.functions import vectors as VC
+from quillspark.operators import completion as CP
 from quillspark.operators import consensus as CS
 from quillspark.operators import fileops as FO
 from quillspark.operators import memory as MM
@@ -140,6 +141,16 @@ def _scored_winner(t):
     return CS.winners(_proposals(t).withColumn("score", F.col("confidence") / F.col("tokens")), "score")
 
 
+@add("voting_structure", f"""WITH {_PROPOSALS_SQL.replace("l_returnflag || l_linestatus AS content", "l_returnflag AS content")}, {_VOTING_SQL} SELECT * FROM vote""")
+def voting_structure(t):
+    """Proposals that write one JSON value in different ways: order of names, blanks, 1 and 1.0."""
+    flag, n = F.substring("content", 1, 1), F.col("id") % 3
+    one = F.concat(F.lit('{"v": "'), flag, F.lit('", "n": [1, {"b": 2, "a": null}]}'))
+    two = F.concat(F.lit('{"n":[1.0,{"a":null,"b":2.00}],"v":"'), flag, F.lit('"}'))
+    three = F.concat(F.lit('\n{ "v":"'), flag, F.lit('","n":[ 1,{"b":2.0,"a":null} ] }'))
+    return CS.voting(_proposals(t).withColumn("content", F.when(n == 0, one).when(n == 1, two).otherwise(three)), by_structure=True)
+
+
 @add("consensus_winner", f"WITH {_PROPOSALS_SQL}, {_WIN_SQL} SELECT task_id, id, round(confidence, 6) AS confidence FROM w")
 def consensus_winner(t):
     return _scored_winner(t).select("task_id", "id", F.round("confidence", 6).alias("confidence"))
@@ -259,7 +270,18 @@ def history_window(t):
     return _msgs(t).withColumn("k", k).filter("k <= 3").select("task_id", "ts", "role")
 
 
-@add("history_summarise")
+@add("history_summarise", f"""
+WITH RECURSIVE {_MSG_SQL},
+h AS (SELECT task_id, 0 AS step, list({{'ts': ts::BIGINT, 'role': role, 'tokens': coalesce(tokens, 0)}} ORDER BY ts, role, tokens) AS r FROM m GROUP BY task_id),
+f AS (
+  SELECT * FROM h
+  UNION ALL
+  SELECT task_id, step + 1, list_concat([{{'ts': r[1].ts, 'role': 'SUMMARY', 'tokens': greatest(1, list_sum(list_transform(r[1:n], lambda x: x.tokens))::BIGINT // 4)}}], r[n + 1:])
+  FROM (SELECT *, greatest(2, floor(len(r) * 0.35::DOUBLE))::INT AS n FROM f) WHERE len(r) > 3 AND list_sum(list_transform(r, lambda x: x.tokens)) > 200
+),
+e AS (SELECT task_id, unnest(r) AS x, generate_subscripts(r, 1) AS place FROM (SELECT task_id, arg_max(r, step) AS r FROM f GROUP BY task_id)),
+k AS (SELECT task_id, x, sum(x.tokens) OVER (PARTITION BY task_id ORDER BY place DESC) AS later FROM e)
+SELECT task_id, x.ts AS ts, x.role AS role, x.tokens AS tokens FROM k WHERE later <= 200""")
 def history_summarise(t):
     return MM.summarised(_msgs(t), 200)
 
@@ -480,6 +502,70 @@ def task_completion(t):
     return TK.completed(_tasks(t).select("id", "status"), _proposals(t).select("task_id", "id"), d)
 
 
+_REQUESTS_DONE_SQL = """rt AS (SELECT id, CASE WHEN status = 'COMPLETED' AND id % 2 = 0 THEN 'FAILED' ELSE status END AS status, CASE WHEN risk >= 8 THEN 'CONSENSUS' ELSE 'SOLO' END AS routing FROM tasks),
+g AS (SELECT task_id, list_sort(list(id)) AS ids FROM p GROUP BY task_id),
+rq AS (SELECT rt.id AS task_id, CASE WHEN rt.id % 11 = 0 THEN NULL WHEN rt.id % 13 = 0 THEN list_append(g.ids, 5) WHEN rt.id % 17 = 0 THEN list_append(g.ids, -1) ELSE g.ids END AS considered,
+  CASE WHEN rt.id % 3 = 0 THEN g.ids[1:1] ELSE [] END AS selected, CASE WHEN rt.id % 19 = 0 THEN 7 ELSE g.ids[1] END AS winner, CASE WHEN rt.id % 23 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS agreement,
+  CASE WHEN rt.id % 2 = 0 THEN rt.id END AS input_tokens, CASE WHEN rt.id % 5 = 0 THEN rt.id * 2 END AS output_tokens, CASE WHEN rt.id % 4 = 0 THEN repeat('s', (rt.id % 50)::INT) END AS summary
+  FROM rt LEFT JOIN g ON g.task_id = rt.id WHERE rt.id % 10 < 9 UNION ALL SELECT -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+mt AS (SELECT task_id, count(*) FILTER (o IS NULL) AS unknown, count(*) FILTER (o <> task_id) AS foreign_, coalesce(sum(tokens), 0) AS considered_tokens,
+    coalesce(sum(tokens) FILTER (CASE WHEN len(coalesce(selected, [])) > 0 THEN list_contains(selected, q.pid) ELSE q.pid = winner END), 0) AS selected_tokens
+  FROM (SELECT task_id, selected, winner, unnest(list_distinct(considered)) AS pid FROM rq) q LEFT JOIN (SELECT id AS pid, task_id AS o, tokens FROM p) w USING (pid) GROUP BY task_id),
+jd AS (SELECT rq.*, rt.status, CASE WHEN rt.status IS NULL THEN 'task not found' WHEN rt.status = 'COMPLETED' THEN 'already completed' WHEN routing = 'CONSENSUS' AND len(coalesce(considered, [])) = 0 THEN 'consensus needs considered proposals'
+    WHEN coalesce(unknown, 0) > 0 THEN 'proposal not found' WHEN coalesce(foreign_, 0) > 0 THEN 'proposal of another task' WHEN winner IS NOT NULL AND NOT list_contains(coalesce(considered, []), winner) THEN 'winner not considered'
+    WHEN len(list_filter(coalesce(selected, []), lambda x: NOT list_contains(coalesce(considered, []), x))) > 0 THEN 'selected not considered' WHEN NOT coalesce(agreement BETWEEN 0 AND 1, TRUE) THEN 'agreement rate out of range' END AS refused,
+    greatest(considered_tokens - selected_tokens, 0) AS saved, considered_tokens FROM rq LEFT JOIN rt ON rt.id = rq.task_id LEFT JOIN mt ON mt.task_id = rq.task_id)"""
+
+
+def _completions(t):
+    """Tasks, proposals, messages and one request for most tasks: some without considered proposals, some with one too many, some with a foreign winner."""
+    tasks = _tasks(t).select("id", F.when((F.col("status") == "COMPLETED") & (F.col("id") % 2 == 0), "FAILED").otherwise(F.col("status")).alias("status"), F.when(F.col("risk") >= 8, "CONSENSUS").otherwise("SOLO").alias("routing"))
+    proposals = _proposals(t).select("id", "task_id", "tokens")
+    ids, n, none = proposals.groupBy("task_id").agg(F.array_sort(F.collect_list("id")).alias("ids")), F.col("id"), F.array().cast("array<bigint>")
+    more = lambda x: F.array_append("ids", F.lit(x).cast("long"))
+    requests = tasks.filter("id % 10 < 9").join(ids.withColumnRenamed("task_id", "id"), "id", "left").select(
+        n.alias("task_id"), F.concat(F.lit("agent"), (n % 3).cast("string")).alias("completed_by"), F.when(n % 11 == 0, None).when(n % 13 == 0, more(5)).when(n % 17 == 0, more(-1)).otherwise(F.col("ids")).alias("considered"),
+        F.when(n % 3 == 0, F.slice("ids", 1, 1)).otherwise(none).alias("selected"), F.when(n % 19 == 0, 7).otherwise(F.get("ids", F.lit(0))).alias("winner"), F.when(n % 23 == 0, 1.5).otherwise(0.5).alias("agreement"), F.lit("best").alias("rationale"),
+        F.when(n % 2 == 0, n).alias("input_tokens"), F.when(n % 5 == 0, n * 2).alias("output_tokens"), F.when(n % 4 == 0, F.repeat(F.lit("s"), (n % 50).cast("int"))).alias("summary"), F.when(n % 7 == 0, '{"a": 1}').alias("artifacts"),
+    )
+    lost = requests.sparkSession.range(1).select(F.lit(-1).cast("long").alias("task_id"), *(F.lit(None).cast(kind).alias(c) for c, kind in requests.dtypes if c != "task_id"))
+    return CP.judged(tasks, proposals, requests.unionByName(lost))
+
+
+@add("completion_outcomes", f"WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, {_REQUESTS_DONE_SQL} SELECT task_id, refused, CASE WHEN refused IS NULL AND status = 'FAILED' THEN 'was FAILED' END AS warning FROM jd")
+def completion_outcomes(t):
+    return _completions(t).select("task_id", "refused", "warning")
+
+
+@add("completion_metrics", f"""WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, {_MSG_SQL}, {_REQUESTS_DONE_SQL}, d AS (SELECT jd.*, b.before, CASE WHEN length(trim(coalesce(summary, ''))) > 0 THEN greatest(length(summary) // 4, 1) END AS said
+  FROM jd LEFT JOIN (SELECT task_id, sum(tokens) AS before FROM m GROUP BY 1) b USING (task_id) WHERE refused IS NULL)
+SELECT task_id, 'decision.token_savings.absolute' AS name, coalesce(saved, 0)::DOUBLE AS value FROM d WHERE considered IS NOT NULL
+UNION ALL SELECT task_id, 'decision.token_savings.percent', round(CASE WHEN considered_tokens > 0 THEN saved / considered_tokens::DOUBLE ELSE 0 END, 9) FROM d WHERE considered IS NOT NULL
+UNION ALL SELECT task_id, 'task.tokens.input', input_tokens::DOUBLE FROM d WHERE input_tokens IS NOT NULL UNION ALL SELECT task_id, 'task.tokens.output', output_tokens::DOUBLE FROM d WHERE output_tokens IS NOT NULL
+UNION ALL SELECT task_id, 'task.tokens.total', (coalesce(input_tokens, 0) + coalesce(output_tokens, 0))::DOUBLE FROM d WHERE input_tokens IS NOT NULL OR output_tokens IS NOT NULL
+UNION ALL SELECT task_id, 'task.conversation.tokens.total', (coalesce(before, 0) + coalesce(said, 0))::DOUBLE FROM d""")
+def completion_metrics(t):
+    return CP.rows(_completions(t), _msgs(t))["metrics"].withColumn("value", F.round("value", 9))
+
+
+@add("completion_records", f"""WITH {_PROPOSALS_SQL}, {_TASKS_SQL}, {_REQUESTS_DONE_SQL}
+SELECT 'decision' AS kind, task_id, coalesce(list_aggregate(list_sort(list_distinct(considered)), 'string_agg', ','), '') || '|' || coalesce(list_aggregate(list_sort(selected), 'string_agg', ','), '') || '|' || winner AS detail FROM jd WHERE refused IS NULL AND considered IS NOT NULL
+UNION ALL SELECT 'message', task_id, summary FROM jd WHERE refused IS NULL AND length(trim(coalesce(summary, ''))) > 0 UNION ALL SELECT 'snapshot', task_id, '{{"a": 1}}' FROM jd WHERE refused IS NULL AND task_id % 7 = 0""")
+def completion_records(t):
+    """The decision, message and snapshot rows that completing leaves."""
+    r, text = CP.rows(_completions(t), _msgs(t)), lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    decisions = r["decisions"].select(F.lit("decision").alias("kind"), "task_id", F.concat(text("considered"), F.lit("|"), text("selected"), F.lit("|"), F.col("winner").cast("string")).alias("detail"))
+    messages = r["messages"].select(F.lit("message").alias("kind"), "task_id", F.col("content").alias("detail"))
+    return decisions.unionByName(messages).unionByName(r["snapshots"].select(F.lit("snapshot").alias("kind"), "task_id", F.col("snapshot").alias("detail")))
+
+
+@add("submitted_proposals", f"""WITH {_TASKS_SQL} SELECT l_orderkey AS task_id, l_suppkey AS agent_id, l_returnflag AS content, l_discount AS confidence FROM lineitem JOIN tasks ON tasks.id = l_orderkey AND status <> 'COMPLETED'""")
+def submitted_proposals(t):
+    """The proposals that inputs to unfinished tasks become."""
+    inputs = t.lineitem.select(F.col("l_orderkey").alias("task_id"), F.col("l_suppkey").alias("agent_id"), F.col("l_returnflag").alias("content"), F.col("l_discount").alias("confidence"))
+    return TK.submitted(_tasks(t).select("id", "status"), inputs)[0]
+
+
 @add("agreement_rates", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(1.0::DOUBLE, value / 50.0::DOUBLE) WHEN event_id % 3 = 1 THEN least(1.0::DOUBLE, value / 100.0::DOUBLE) END AS rate
 FROM (SELECT event_id, round(value, 3) AS value FROM events)""")
 def agreement_rates(t):

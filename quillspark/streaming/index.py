@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import catalog as K
 from quillspark.operators.chunkers import chunk_files, symbols
-from quillspark.session import removed, shared_dir
+from quillspark.session import recorded_dirs, removed, shared_dir, written
 
 #: The tables of an index and their columns.
 TABLES = {
@@ -44,11 +44,12 @@ class Index:
         done = [int(n) for n in self._names(f"{self.folder}/lists") if re.fullmatch(r"\d+", n)]
         return sorted(v for v in done if "_SUCCESS" in self._names(f"{self.folder}/lists/{v}"))
 
-    def _parts(self, version: int | None) -> dict[int, int]:
-        """Slot -> the version that wrote it."""
-        if version is None:
-            return {}
-        return {r.slot: r.version for r in self.spark.read.parquet(f"{self.folder}/lists/{version}").collect()}  # a row for each slot
+    def _parts(self, version: int | None) -> dict[str, dict[int, int]]:
+        """Table -> slot -> the version that wrote it; a slot without rows has none."""
+        parts: dict[str, dict[int, int]] = {name: {} for name in TABLES}
+        for r in [] if version is None else self.spark.read.parquet(f"{self.folder}/lists/{version}").collect():  # a row for each table and slot
+            parts[r.name][r.slot] = r.version
+        return parts
 
     def _table(self, name: str, parts: dict[int, int]) -> DataFrame:
         if not parts:
@@ -57,7 +58,7 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         done = self.versions()
-        return self._table(name, self._parts(done[-1] if done else None))
+        return self._table(name, self._parts(done[-1] if done else None)[name])
 
     def files(self) -> DataFrame:
         return self.table("files")
@@ -71,17 +72,19 @@ class Index:
     def _slot(self):
         return F.pmod("file_id", F.lit(self.slots)).cast("int")
 
-    def _write(self, version: int, tables: dict[str, DataFrame], touched: list[int], before: dict[int, int]) -> None:
+    def _write(self, version: int, tables: dict[str, DataFrame], touched: list[int], before: dict[str, dict[int, int]]) -> None:
+        """Each table's touched parts in one job, then the list, then the removal of parts that are in no list that is kept."""
+        parts = {name: {s: v for s, v in before.get(name, {}).items() if s not in touched} for name in TABLES}
         for name, df in tables.items():
-            for s in touched:  # every touched part has a folder, an empty one too
-                df.filter(self._slot() == s).write.mode("overwrite").parquet(f"{self.folder}/{name}/{version}/slot={s}")
-        parts = before | dict.fromkeys(touched, version)
-        self.spark.createDataFrame(sorted(parts.items()), "slot int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
-        used = {(s, v) for kept in self.versions()[-2:] for s, v in self._parts(kept).items()}
+            df.withColumn("slot", self._slot()).write.partitionBy("slot").mode("overwrite").parquet(f"{self.folder}/{name}/{version}")
+            parts[name] |= {int(n[5:]): version for n in self._names(f"{self.folder}/{name}/{version}") if n.startswith("slot=")}
+        rows = [(name, s, v) for name, own in parts.items() for s, v in sorted(own.items())]
+        self.spark.createDataFrame(rows, "name string, slot int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
+        used = {(name, s, v) for kept in self.versions()[-2:] for name, own in self._parts(kept).items() for s, v in own.items()}
         for name in TABLES:
             for v in self._names(f"{self.folder}/{name}"):
                 for part in self._names(f"{self.folder}/{name}/{v}"):
-                    if part.startswith("slot=") and (int(part[5:]), int(v)) not in used:
+                    if part.startswith("slot=") and (name, int(part[5:]), int(v)) not in used:
                         removed(self.spark, f"{self.folder}/{name}/{v}/{part}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
@@ -90,15 +93,18 @@ class Index:
         older = [v for v in self.versions() if v < version]
         before = self._parts(older[-1] if older else None)
         last = latest(batch).withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)).withColumn("file_id", F.xxhash64("path"))
-        known = self._table("files", before).select("path", F.col("content_hash").alias("old"))
+        known = self._table("files", before["files"]).select("path", F.col("content_hash").alias("old"))
         differs = F.when(F.col("kind") == "DELETED", F.col("old").isNotNull()).otherwise(~F.col("old").eqNullSafe(F.col("content_hash")))
-        changed = last.join(known, "path", "left").filter(differs)
+        with recorded_dirs() as made:
+            changed = written(last.join(known, "path", "left").filter(differs), "index-batch")  # read, hashed and compared once
         touched = sorted(r[0] for r in changed.select(self._slot().alias("s")).distinct().collect())  # ``slots`` numbers at most
         live = changed.filter("kind <> 'DELETED'")
         new = {"files": live.select("file_id", "path", "content_hash", F.col("at").alias("indexed_at")), "chunks": chunk_files(live), "symbols": symbols(live)}
-        held = {s: before[s] for s in touched if s in before}
-        tables = {n: K.without(self._table(n, held), changed, "file_id").unionByName(df) for n, df in new.items()}
+        held = {n: {s: v for s, v in before[n].items() if s in touched} for n in new}
+        tables = {n: K.without(self._table(n, held[n]), changed, "file_id").unionByName(df) for n, df in new.items()}
         self._write(version, tables, touched, before)
+        for folder in made:
+            removed(self.spark, folder)
 
     def rebuild(self, files: DataFrame) -> None:
         """Replace all by the files of (path, content, at), as a batch after the last."""

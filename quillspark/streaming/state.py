@@ -14,13 +14,17 @@ from quillspark.session import ship
 ship(__name__)
 
 
+def _milliseconds(span: str) -> int:
+    amount, unit = span.split()
+    return int(amount) * {"millisecond": 1, "second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
 def awaited(proposals: DataFrame, wanted: int, timeout: str = "10 minutes") -> DataFrame:
     """(task_id, n, outcome): ``complete`` once a task has ``wanted`` proposals, ``timeout`` when its event time runs out.
 
     ``proposals`` has task_id and ts with a watermark; the timer starts with the first.
     """
-    amount, unit = timeout.split()
-    wait = int(amount) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
+    wait = _milliseconds(timeout)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = lambda n, what: pd.DataFrame([(key[0], n, what)], columns=["task_id", "n", "outcome"])

@@ -95,3 +95,41 @@ def test_workflow_states(spark, tmp_path):
     rows = [(1, k, s) for k, s in enumerate(("PENDING", "COMPLETED", "IN_PROGRESS", "COMPLETED", "PENDING"))] + [(2, 0, "FAILED")]
     got = followed(spark, spark.createDataFrame(rows, "task_id long, seq long, status string"), tmp_path, st.workflow_states, "flows")
     assert {(r.task_id, r.seq): r.accepted for r in got} == {(1, 0): True, (1, 1): False, (1, 2): True, (1, 3): True, (1, 4): False, (2, 0): False}
+
+
+def test_folder_changes_with_deletions_and_a_restart(spark, tmp_path):
+    from quillspark.sources.changes import folder_changes
+
+    home = tmp_path / "repo"
+    (home / "sub").mkdir(parents=True)
+    put = lambda name, text: (home / name).write_text(text)
+    put("a.txt", "one"), put("sub/b.md", "# two"), put("skip.bin", "x")
+    index = Index(spark, str(tmp_path / "index"), 4)
+    run = lambda ix: ix.follow(folder_changes(spark, str(home), str(tmp_path / "listings"), r"[.](txt|md)$", 1), str(tmp_path / "cp")).awaitTermination()
+    names = lambda ix: sorted(r.path for r in ix.files().collect())
+    run(index)
+    assert names(index) == ["a.txt", "sub/b.md"]
+    put("a.txt", "one changed"), (home / "sub/b.md").unlink(), put("c.txt", "three")
+    again = Index(spark, str(tmp_path / "index"), 4)
+    run(again)
+    assert names(again) == ["a.txt", "c.txt"] and {r.content for r in again.chunks().collect()} == {"one changed", "three"}
+    run(again)
+    assert names(again) == ["a.txt", "c.txt"]
+    (home / "c.txt").unlink(), (home / "a.txt").unlink()
+    run(again)
+    assert names(again) == []
+
+
+def test_a_batch_of_the_index_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    schema = "path string, kind string, content string, at timestamp"
+    batch = spark.createDataFrame([(f"f{n}.txt", "CREATED", "x", T0) for n in range(50)], schema).mapInArrow(counted, schema)
+    index = Index(spark, str(tmp_path / "index"))
+    index.merge(batch, 0)
+    assert reads.value == 50 and index.files().count() == 50
