@@ -504,7 +504,7 @@ def task_completion(t):
 
 _REQUESTS_DONE_SQL = """rt AS (SELECT id, CASE WHEN status = 'COMPLETED' AND id % 2 = 0 THEN 'FAILED' ELSE status END AS status, CASE WHEN risk >= 8 THEN 'CONSENSUS' ELSE 'SOLO' END AS routing FROM tasks),
 g AS (SELECT task_id, list_sort(list(id)) AS ids FROM p GROUP BY task_id),
-rq AS (SELECT rt.id AS task_id, CASE WHEN rt.id % 11 = 0 THEN NULL WHEN rt.id % 13 = 0 THEN list_append(g.ids, 5) WHEN rt.id % 17 = 0 THEN list_append(g.ids, -1) ELSE g.ids END AS considered,
+rq AS (SELECT rt.id AS task_id, CASE WHEN rt.id % 11 = 0 OR g.ids IS NULL THEN NULL WHEN rt.id % 13 = 0 THEN list_append(g.ids, 5) WHEN rt.id % 17 = 0 THEN list_append(g.ids, -1) ELSE g.ids END AS considered,
   CASE WHEN rt.id % 3 = 0 THEN g.ids[1:1] ELSE [] END AS selected, CASE WHEN rt.id % 19 = 0 THEN 7 ELSE g.ids[1] END AS winner, CASE WHEN rt.id % 23 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS agreement,
   CASE WHEN rt.id % 2 = 0 THEN rt.id END AS input_tokens, CASE WHEN rt.id % 5 = 0 THEN rt.id * 2 END AS output_tokens, CASE WHEN rt.id % 4 = 0 THEN repeat('s', (rt.id % 50)::INT) END AS summary
   FROM rt LEFT JOIN g ON g.task_id = rt.id WHERE rt.id % 10 < 9 UNION ALL SELECT -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
