@@ -39,7 +39,7 @@ def test_no_window_over_all_rows(spark):
     for name in ("surrogate_keys", "alert_eval", "before_after_delta", "metric_scalar_p99"):
         p = plan(spark, name)
         assert "Window [row_number" not in p and "Window [percentile" not in p, name
-    assert "WindowGroupLimit" in plan(spark, "rrf_fusion")
+    assert "Window [row_number" not in plan(spark, "rrf_fusion") and "WindowGroupLimit" in plan(spark, "hybrid_context")
 
 
 def test_snippets_meet_the_chunks_by_broadcast(spark):
