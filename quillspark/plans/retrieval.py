@@ -183,7 +183,7 @@ def _terms(t) -> TT.TermTable:
 
 
 def _full_text(t):
-    return TT.full_text(_terms(t), C.files(t.documents), "this ing")
+    return R.full_text(C.chunks(t.spread("documents")), C.files(t.documents), "this ing")
 
 
 @add("fulltext_topk", f"""WITH {_FULLTEXT_SQL} SELECT chunk_id, file_path, round(score, 6) AS score FROM ft ORDER BY score DESC, file_path, chunk_id LIMIT 50""")
@@ -191,6 +191,12 @@ def fulltext_topk(t):
     return _full_text(t).orderBy(*R.by_rank()).limit(50).select("chunk_id", "file_path", F.round("score", 6).alias("score"))
 
 
+@add("fulltext_indexed", f"""WITH {_FULLTEXT_SQL} SELECT chunk_id, file_path, round(score, 6) AS score FROM ft ORDER BY score DESC, file_path, chunk_id LIMIT 50""")
+def fulltext_indexed(t):
+    """The same by the term table: postings are read, and no text."""
+    return TT.full_text(_terms(t), C.files(t.documents), "this ing").orderBy(*R.by_rank()).limit(50).select("chunk_id", "file_path", F.round("score", 6).alias("score"))
+
+
 @add("length_idf", r"""
 WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\W+'),
   lambda w: length(w) >= 2 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','of','on','or','that','the','to','was','will','with'))) AS ks FROM benchmark),
@@ -419,7 +425,7 @@ _ASKED = X.Request(
 )
 
 
-def _corpus(t, indexed: bool = True) -> X.Corpus:
+def _corpus(t, indexed: bool = False) -> X.Corpus:
     vectors = t.embeddings.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("m").alias("model"))
     symbols = C.symbols(t.documents).drop("language").join(C.files(t.documents).select("file_id", "language"), "file_id")
     terms = _terms(t) if indexed else None
@@ -496,8 +502,8 @@ _PROVIDER_SQL = f"""WITH {_PROVIDERS_SQL} SELECT provider, chunk_id, file_path,
 
 @add("provider_hits", _PROVIDER_SQL)
 def provider_hits(t):
-    """What each provider gives on its own."""
-    return X.gathered(_corpus(t), _asked(t))
+    """What each provider gives on its own, full text by the term table."""
+    return X.gathered(_corpus(t, indexed=True), _asked(t))
 
 
 @add("hybrid_provider", f"""WITH {_PROVIDERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, file_path, chunk_id) AS rank FROM al)
@@ -513,7 +519,7 @@ ORDER BY 3 DESC, 2, 1 LIMIT 64""")
 def scoped_context(t):
     """One scope for a provider: path prefix, language, kind, glob."""
     scope = X.Scope(paths=("src1",), languages=("EN",), kinds=("PARAGRAPH",), exclude=("**/*7.txt",))
-    return X.gathered(_corpus(t, indexed=False), _asked(t, query="this ing", scope=scope), ("full_text",)).select("chunk_id", "file_path", "score")
+    return X.gathered(_corpus(t), _asked(t, query="this ing", scope=scope), ("full_text",)).select("chunk_id", "file_path", "score")
 
 
 @add("paths_in_query", r"""
