@@ -99,6 +99,26 @@ def test_nearest_of_many_queries(spark):
     assert found == want
 
 
+def test_nearest_by_units(spark, monkeypatch):
+    """Units in parts, copies beyond k, vectors at cosine 0 and ungrouped ones; pairs are summed in tasks, not by an expression for each pair."""
+    monkeypatch.setattr(cells, "UNIT", 8)
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=16)]) for k in range(120)] + [(k, [1.0] * 16) for k in range(120, 200)] + [(k, [0.0] * 16) for k in range(200, 230)] + [(230, [None] + [1.0] * 15)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = [rows[0], rows[17], rows[125], (-1, [-1.0] * 16), (-2, [float("inf")] * 16)]
+    table = cells.build_cells(vectors, 16)
+    got = cells.nearest(table, spark.createDataFrame(asked, "query_id long, vector array<double>"), 60)
+    found = sorted((r.query_id, r["rank"], r.chunk_id, r.cosine) for r in got.collect())
+    unit = [np.zeros(16) if None in v or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    want = []
+    for q, v in asked[:4]:
+        cos = [round(float(np.array(v) / np.linalg.norm(v) @ u), 9) + 0.0 for u in unit]
+        want += [(q, n, k, c) for n, (c, k) in enumerate(sorted(((c, k) for k, c in enumerate(cos)), key=lambda x: (-x[0], x[1]))[:60], 1)]
+    assert [x[:3] for x in found] == [x[:3] for x in sorted(want)]
+    assert all(abs(a[3] - b[3]) < 2e-9 for a, b in zip(found, sorted(want), strict=True))
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString().lower().replace("zipwith", "zip_with")
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_percentiles(spark, seed, monkeypatch):
     monkeypatch.setattr(metrics, "LEFT", 5)
