@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,10 +94,21 @@ def classified(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _hits(text: Column, patterns: dict[str, float]) -> Column:
+def words_of(pattern: str) -> list[str]:
+    """Runs of letters that every match of a pattern of the tables above holds, the longest first: what is optional, a group or a class is left out."""
+    bare = re.sub(r"\([^)]*\)|\[[^\]]*\]|\\.[+*?]?|.[?*]", " ", pattern)
+    return sorted(set(re.findall("[a-z]{2,}", bare)), key=lambda w: (-len(w), w))
+
+
+def _holds(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text holds the words without which a pattern has no match: far cheaper than the pattern."""
+    return reduce(and_, [F.contains(low, F.lit(w)) for w in words_of(pattern)])
+
+
+def _hits(text: Column, low: Column, patterns: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for p, w in patterns.items():
-        out = out + F.regexp_count(text, F.lit(rf"(?i)\b{p}\b")) * w
+        out = out + F.when(~_holds(low, p), 0.0).otherwise(F.regexp_count(text, F.lit(rf"(?i)\b{p}\b")) * w)  # null for a null text
     return out
 
 
@@ -106,8 +121,12 @@ def directives(df: DataFrame, text: str, agents: list[str]) -> DataFrame:
 
     Names count if they are ``agents`` or within an edit distance of two of one.
     """
-    t = F.regexp_replace(F.btrim(F.col(text)), r"\s+", " ")
+    joined = F.regexp_replace(F.btrim(F.col(text)), r"\s+", " ")
+    # made once for each row: expressions above a generator do not repeat it
+    out = df.select("*", F.explode(F.array(joined)).alias("__t")).select("*", F.explode(F.array(F.lower("__t"))).alias("__low"))
+    t, low = F.col("__t"), F.col("__low")
     names = F.array(*map(F.lit, agents))
+    none = F.array().cast("array<struct<a:string,force:double,own:double>>")
 
     def known(name: Column) -> Column:
         close = F.transform(names, lambda a: F.struct(F.levenshtein(name, a).alias("d"), a.alias("a")))
@@ -117,27 +136,32 @@ def directives(df: DataFrame, text: str, agents: list[str]) -> DataFrame:
     def captured(pattern: str, weight: float, own: float) -> Column:
         raw = F.regexp_extract_all(t, F.lit(rf"(?i)\b{pattern}\b"), F.lit(1))
         clean = F.transform(raw, lambda x: known(F.regexp_replace(F.lower(x), r"('s|[',.!?:])+$", "")))
-        return F.transform(F.filter(clean, lambda a: a.isNotNull()), lambda a: F.struct(a.alias("a"), F.lit(weight).alias("force"), F.lit(own).alias("own")))
+        found = F.transform(F.filter(clean, lambda a: a.isNotNull()), lambda a: F.struct(a.alias("a"), F.lit(weight).alias("force"), F.lit(own).alias("own")))
+        return F.when(_holds(low, pattern), found)
 
     mentions = [captured(p, w, own) for p, (w, own) in FORCE_AGENT.items()]
+    shortest, longest = min(map(len, agents), default=0) - ALIAS_DISTANCE, max(map(len, agents), default=0) + ALIAS_DISTANCE
     mention = lambda pattern, w: F.transform(
-        F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: known(F.lower(x))), lambda a: a.isNotNull()),
+        F.filter(F.transform(F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.length(x).between(shortest, longest)), lambda x: known(F.lower(x))), lambda a: a.isNotNull()),
         lambda a: F.struct(a.alias("a"), F.lit(0.0).alias("force"), F.lit(w).alias("own")),
     )
-    mentions += [mention(r"(?i)@([a-z0-9_-]+)", MENTION), mention(r"(?i)\b(?:and|&)\s+([a-z0-9_'-]+)\b", CONJUNCTION)]
+    mentions += [F.when(F.contains(low, F.lit("@")), mention(r"(?i)@([a-z0-9_-]+)", MENTION)), mention(r"(?i)\b(?:and|&)\s+([a-z0-9_'-]+)\b", CONJUNCTION)]
     for a in agents:
+        said = []
         for phrase, w in AGENT_PHRASES.items():
             n = F.regexp_count(t, F.lit(r"(?i)\b" + phrase % a))
-            mentions.append(F.array_repeat(F.struct(F.lit(a).alias("a"), F.lit(0.0).alias("force"), F.lit(w).alias("own")), n))
-    out = df.withColumn("__m", F.concat(*mentions))
+            said.append(F.array_repeat(F.struct(F.lit(a).alias("a"), F.lit(0.0).alias("force"), F.lit(w).alias("own")), n))
+        mentions.append(F.when(F.contains(low, F.lit(a.lower())), F.concat(*said)))
+    # a null text has no mentions, and its array stays null
+    out = out.withColumn("__m", F.when(t.isNotNull(), F.concat(*(F.coalesce(m, none) for m in mentions))))
     total = lambda field: F.aggregate("__m", F.lit(0.0), lambda acc, x: acc + x[field])
 
     def assigned(a: str) -> Column:
         return F.aggregate("__m", F.lit(0.0), lambda acc, x: acc + F.when(x["a"] == a, x["own"]).otherwise(0.0))
 
     by_agent = F.array(*[F.struct(assigned(a).alias("s"), F.lit(a).alias("a")) for a in agents])
-    out = out.withColumn("__best", F.array_max(by_agent)).withColumn("__force", _hits(t, FORCE) + total("force")).withColumn("__prevent", _hits(t, PREVENT)).withColumn("__emergency", _hits(t, EMERGENCY))
-    negated, soft = t.rlike(NEGATION), F.when(t.rlike(SOFTENER), 0.9).otherwise(1.0)
+    out = out.withColumn("__best", F.array_max(by_agent)).withColumn("__force", _hits(t, low, FORCE) + total("force")).withColumn("__prevent", _hits(t, low, PREVENT)).withColumn("__emergency", _hits(t, low, EMERGENCY))
+    negated, soft = F.contains(low, F.lit("consensus")) & t.rlike(NEGATION), F.when(t.rlike(SOFTENER), 0.9).otherwise(1.0)
     several = F.size(F.array_distinct(F.transform("__m", lambda x: x["a"]))) >= 2
     force = F.col("__force") * F.when(negated, 0.25).otherwise(1.0) * soft + F.when(several, SEVERAL_AGENTS).otherwise(0.0)
     prevent = (F.col("__prevent") + F.when(negated, 0.9).otherwise(0.0)) * soft

@@ -112,6 +112,18 @@ def test_classified(spark):
     assert {"oauth", "authentication", "payment", "jwt", "token"} <= set(a.critical) and (b.complexity, b.risk, b.confidence) == (1, 1, 0.2)
 
 
+def test_directive_patterns_hold_their_words(spark):
+    """A pattern is tried only on texts with its words, and the text is joined once for each row."""
+    assert routing.words_of(r"get\s+([a-z0-9_'-]+)\s*'?s?\s+input") == ["input", "get"] and routing.words_of(r"i'?ll\s+handle\s+this") == ["handle", "this", "ll"]
+    assert routing.words_of("sev[0-1]") == ["sev"] and all(map(routing.words_of, [*routing.FORCE, *routing.FORCE_AGENT, *routing.PREVENT, *routing.EMERGENCY]))
+    said = ["Ill  HANDLE\tthis", "I'LL handle this", "PRODUCTION\n down, Sev1", "have Codexx look at it, GET claude's input", "@clade & codx, and x", "İ nEed  Consensus", None, ""]
+    df = routing.directives(spark.createDataFrame([(s,) for s in said], "t string"), "t", ["codex", "claude"])
+    got = [(r.force, r.prevent, r.emergency, r.agent) for r in df.collect()]
+    assert got == [(False, True, False, None), (False, True, False, None), (False, True, True, None), (True, False, False, "claude"), (False, False, False, "claude"), (True, False, False, None), (None, None, None, None), (False, False, False, None)]
+    assert df.filter("t IS NULL").first()[1:] == (None, None, None, 1.0, 1.0, 1.0, None, 0.0)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(t") == 1
+
+
 def test_directives(spark):
     said = ["need consensus on this", "no consensus, just implement", "ask codex to fix it", "urgent: production down", "do not need consensus", ""]
     got = routing.directives(spark.createDataFrame([(s,) for s in said], "t string"), "t", ["codex", "claude"]).collect()
