@@ -483,7 +483,8 @@ def _source_files(t):
     kind, name = (F.col("p_partkey") % len(_SOURCES)).cast("int"), F.concat(F.lit("Foo"), F.col("p_partkey").cast("string"))
     text = F.get(F.array(*(F.lit(s[0]) for s in _SOURCES.values())), kind)
     path = F.concat(name, F.lit("."), F.get(F.array(*map(F.lit, _SOURCES)), kind))
-    return t.part.select(F.col("p_partkey").alias("file_id"), path.alias("path"), F.replace(text, F.lit("Foo"), name).alias("content"))
+    parts = t.part.select("p_partkey").repartition(t.spark.sparkContext.defaultParallelism)  # a row is short, its parsing is not: a file of a few MB would be one task
+    return parts.select(F.col("p_partkey").alias("file_id"), path.alias("path"), F.replace(text, F.lit("Foo"), name).alias("content"))
 
 
 def _expected_sql(which: int, names: str) -> str:

@@ -50,3 +50,11 @@ def test_snippets_meet_the_chunks_by_broadcast(spark):
 def test_agents_are_ranked_once_for_each_set_of_needs(spark):
     p = plan(spark, "agent_selection")
     assert "BroadcastHashJoin [needs" in p
+
+
+def test_source_files_are_dealt_to_all_cores(spark):
+    """Parts are a file of short rows, which one task would parse alone."""
+    from quillspark.plans.corpus import _source_files
+    from quillspark.plans.registry import Tables
+
+    assert _source_files(Tables(spark, DATA)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
