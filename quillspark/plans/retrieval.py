@@ -502,8 +502,8 @@ _PROVIDER_SQL = f"""WITH {_PROVIDERS_SQL} SELECT provider, chunk_id, file_path,
 
 @add("provider_hits", _PROVIDER_SQL)
 def provider_hits(t):
-    """What each provider gives on its own, full text by the term table."""
-    return X.gathered(_corpus(t, indexed=True), _asked(t))
+    """What each provider gives on its own, full text by one scan: a term table pays for many searches, and this is one."""
+    return X.gathered(_corpus(t), _asked(t))
 
 
 @add("hybrid_provider", f"""WITH {_PROVIDERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, file_path, chunk_id) AS rank FROM al)

@@ -58,3 +58,17 @@ def test_source_files_are_dealt_to_all_cores(spark):
     from quillspark.plans.registry import Tables
 
     assert _source_files(Tables(spark, DATA)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_provider_hits_make_no_term_table(spark, monkeypatch):
+    """One search scans the texts; with the term table the provider's hits are the same."""
+    from quillspark.operators import context, terms
+    from quillspark.plans import retrieval as plans
+    from quillspark.plans.registry import Tables
+
+    t, made, given = Tables(spark, DATA), [], terms.build_terms
+    monkeypatch.setattr(terms, "_KNOWN", {})
+    monkeypatch.setattr(terms, "build_terms", lambda chunks: made.append(1) or given(chunks))
+    scanned = plans.provider_hits(t).filter("provider = 'full_text'").collect()
+    assert scanned and not made
+    assert context.gathered(plans._corpus(t, indexed=True), plans._asked(t), ("full_text",)).collect() == scanned and made
